@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
+from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -16,6 +18,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the public tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,6 +51,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op3_bpe": op3_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_jaccard_join": op7_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
