@@ -4,12 +4,14 @@
 2. Classes meet by their prefixes: of a set in one fixed global order, linked sets share one of the
    first ``size - T + 1`` shingles.  The order puts shingles that many documents share last, so a
    common line or passage brings nobody together.  Which shingles count as common changes the work
-   only, never the result.  Meeting classes of compatible size form clusters.
-3. In a cluster each set is a query against the inverted lists of the others: short lists are merged
+   only, never the result.
+3. Sets that meet by chance part again by their parity bitmaps, whose distance is a lower bound of the
+   number of shingles that only one of two sets has.  What stays together forms clusters.
+4. In a cluster each set is a query against the inverted lists of the others: short lists are merged
    by a heap, the longest are set aside and probed by binary search for candidates with enough
    occurrences (``divide_skip``).  Sets that already belong together are not probed again, which is
    exact for components and spares a group of thousands of near copies its millions of pairs.
-4. Links give components; the smallest id of a component names it.
+5. Links give components; the smallest id of a component names it.
 
 A cluster with more than ``BLOCK_SHINGLES`` shingles is dealt to tasks by pairs of blocks.
 
@@ -82,13 +84,13 @@ def _common(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 
 def _sketch(n: int, low: int, high: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, tag, size, sig, prefix) of every text; ``common`` is sorted from common to rare."""
+    """(id, tag, size, sig, prefix, bits) of every text; ``common`` is sorted from common to rare."""
     by_hash = np.argsort(common)
     ordered = common[by_hash]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, lengths, prefixes = [], [], [], []
+            size, sig, lengths, prefixes, bits = [], [], [], [], []
             for _, _, data, offsets in X.chunks(batch.column(2)):
                 sets = list(shingle_sets(data, offsets, n))
                 bounds = np.append(0, np.cumsum([len(s) for s in sets]))
@@ -105,38 +107,148 @@ def _sketch(n: int, low: int, high: int, common: np.ndarray) -> Callable[[Iterat
                     p = place[a:b]
                     prefixes.append(s[np.argsort(p, kind="stable")[:k]] if p.any() else s[:k])
                     lengths.append(k)
+                    bits.append(parity(s))
                     size.append(len(s))
             if not size:
                 continue
             flat = pa.array(np.concatenate(prefixes).view(np.int64))
             column = pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(np.concatenate(sig).view(np.int64)), column], names=["id", "tag", "size", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(np.concatenate(sig).view(np.int64)), column, pa.array(bits, pa.binary())], names=["id", "tag", "size", "sig", "prefix", "bits"])
 
     return sketch
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit ``h mod b`` is the parity of the hashes ``h`` that fall on it; ``b`` is a power of two of at
+    least the size of the set.  The upper half folded onto the lower gives the bitmap for ``b / 2``."""
+    b = 1 << max(6, (max(1, len(s)) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(bool), bitorder="little").tobytes()
+
+
 def _meetings(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (shingle, size, node) rows in order: edges that chain the nodes of a shingle, broken where sizes part."""
+    """Of (shingle, size, node) rows in order: (group, size, node) of groups of several nodes.
+
+    A group has one shingle and sizes without a gap that no linked pair could bridge.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = None  # shingle, size, node, group, already returned
         for batch in batches:
             shingle, size, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if len(node) == 0:
                 continue
-            before = last or (shingle[0] - 1 if shingle[0] else 1, 0, 0, 0)
-            apart = np.append(shingle[0] != before[0], shingle[1:] != shingle[:-1])
-            apart |= high * np.append(before[1], size[:-1]) < low * size
-            heads = np.flatnonzero(apart)
-            which = np.cumsum(apart) - 1
-            head = np.where(which >= 0, node[heads[np.maximum(which, 0)]] if len(heads) else node, before[3])
-            last = (shingle[-1], size[-1], node[-1], head[-1])
-            pairs = np.unique(np.stack([head[~apart], node[~apart]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if last is not None:
+                shingle, size, node = (np.append(x, y) for x, y in zip(last[:3], (shingle, size, node), strict=True))
+            apart = np.append(True, (shingle[1:] != shingle[:-1]) | (high * size[:-1] < low * size[1:]))
+            head = np.flatnonzero(apart)[np.cumsum(apart) - 1]
+            group = X.mix(shingle[head].view(np.uint64) ^ X.mix(node[head].view(np.uint64))).view(np.int64)
+            if last is not None:
+                group[head == 0] = last[3]
+            keep = ~apart | np.append(~apart[1:], False)
+            done = bool(keep[-1])
+            if last is not None and last[4]:
+                keep[0] = False
+            last = (shingle[-1], size[-1], node[-1], group[-1], done or (len(node) == 1 and last is not None and last[4]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (group, size, node)], names=["group", "size", "node"])
 
     return meet
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
+
+
+class Leaders:
+    """Sets of one group, in ascending size, that stand for the sets around them.
+
+    With ``r = high / low - 1``, a set is *tight* to a leader if its bitmap is within ``r`` times the
+    leader's size and its size within ``high / low`` times.  A set that links with a tight one is then
+    within ``r`` times both sizes of the leader (triangle inequality), and no more than
+    ``(high / low) ** 2`` times as large; older leaders need no comparison.
+    """
+
+    def __init__(self, low: int, high: int):
+        self.r, self.ratio = (high - low) / low, high / low
+        self.nodes: list[int] = []
+        self.sizes: list[int] = []
+        self.bits: list[np.ndarray] = []
+        self.from_, self.matrix = 0, np.zeros((0, 1), np.uint64)
+
+    def _fit(self) -> None:
+        """Matrix of the live leaders at the width of the narrowest, with room for more."""
+        live = self.bits[self.from_ :]
+        self.matrix = np.zeros((2 * len(live) + 4, len(live[0]) if live else 1), np.uint64)
+        for k, b in enumerate(live):
+            self.matrix[k] = fold(b, self.matrix.shape[1])
+
+    def place(self, size: int, node: int, bits: np.ndarray) -> list[int]:
+        """Leaders that the set may be linked with, through whatever sets; the set leads if it is tight to none."""
+        if self.from_ < len(self.sizes) and self.sizes[self.from_] * self.ratio**2 < size - 1e-6:
+            while self.from_ < len(self.sizes) and self.sizes[self.from_] * self.ratio**2 < size - 1e-6:
+                self.from_ += 1
+            self._fit()
+        live = len(self.sizes) - self.from_
+        found, tight = [], False
+        if live:
+            sizes = np.array(self.sizes[self.from_ :])
+            apart = np.bitwise_count(self.matrix[:live] ^ fold(bits, self.matrix.shape[1])).sum(1)
+            near = np.flatnonzero(apart <= self.r * (sizes + size) + 1e-6)
+            found = [self.nodes[self.from_ + k] for k in near.tolist()]
+            tight = bool(((apart[near] <= self.r * sizes[near]) & (size <= self.ratio * sizes[near])).any())
+        if not tight:
+            self.nodes.append(node)
+            self.sizes.append(size)
+            self.bits.append(bits)
+            if live == 0 or live == len(self.matrix):
+                self._fit()
+            else:
+                self.matrix[live] = fold(bits, self.matrix.shape[1])
+        return found
+
+
+class Connected:
+    """Which nodes a task has connected already; forgets everything at ``limit`` nodes, which only costs edges."""
+
+    def __init__(self, limit: int = 300_000):
+        self.up: dict[int, int] = {}
+        self.limit = limit
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """True if the two were not connected before."""
+        if len(self.up) > self.limit:
+            self.up.clear()
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+def _near(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (group, size, node, bits) rows in order: edges that connect all nodes that may be linked or
+    linked through others.  A task returns a forest, so fewer edges than it has rows."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, connected = None, Leaders(low, high), Connected()
+        for batch in batches:
+            edges = []
+            for group, size, node, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if group != key:
+                    key, leaders = group, Leaders(low, high)
+                edges += [(leader, node) for leader in leaders.place(size, node, np.frombuffer(raw, np.uint64)) if connected.join(leader, node)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return near
+
+
 def divide_skip(lists: list[list[int]], needed: int, skip: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
     """Members that occur in at least ``needed`` of the sorted lists, with their number of occurrences.
 
@@ -270,12 +382,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _sketch(shingle, low, high, common.value)(batches)
 
-    sketches = stored(search.mapInArrow(sketch, "id long, tag long, size long, sig long, prefix array<long>"))
+    shape = "id long, tag long, size long, sig long, prefix array<long>, bits binary"
+    sketches = stored(search.mapInArrow(sketch, shape))
     filled = sketches.filter("size > 0")
     nodes = filled.groupBy("sig").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     postings = nodes.select(F.explode("prefix").alias("shingle"), "size", F.col("sig").alias("node"))
     postings = postings.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    clusters = stored(components(postings.mapInArrow(_meetings(low, high), "a long, b long")))
+    met = postings.mapInArrow(_meetings(low, high), "group long, size long, node long")
+    bitmaps = filled.groupBy("sig").agg(F.first("bits").alias("bits"))
+    met = met.join(bitmaps, met.node == bitmaps.sig).select("group", "size", "node", "bits")
+    met = met.repartition("group").sortWithinPartitions("group", "size", "node")
+    clusters = stored(components(met.mapInArrow(_near(low, high), "a long, b long")))
 
     members = filled.groupBy("sig").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("size").alias("size"))
     members = members.join(clusters, members.sig == clusters.node).select("rep.id", "rep.tag", "sig", "size", "component")
@@ -293,5 +410,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.filter("size > 0").groupBy("group").agg(F.min("id").alias("least"))
     out = named.join(least, "group", "left").select("id", "tag", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     known = rows.filter("id is not null").select("id", "tag").join(out, ["id", "tag"]).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
-    unnamed = rows.filter("id is null").mapInArrow(sketch, "id long, tag long, size long, sig long, prefix array<long>")
+    unnamed = rows.filter("id is null").mapInArrow(sketch, shape)
     return known.unionByName(unnamed.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
