@@ -50,7 +50,7 @@ def test_toxicity_on_held_out_rows(tables):
     assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     area, right, caught, clean = figures(rows, truth, "toxic")
     print("toxicity", area, right, caught, clean)
-    assert area > 0.97 and caught > 0.85 and clean > 0.97
+    assert area > 0.95 and caught > 0.85 and clean > 0.95
 
 
 def test_edge_rows_and_missing_labels(spark, tables):
