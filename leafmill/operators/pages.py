@@ -116,6 +116,22 @@ def whole(doc: Document, value: Any) -> int | None:
     return int(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """(path, page, content): the decoded, joined content streams of every page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    doc = parse(bytes(content) if content is not None else b"")
+                except (PdfError, ValueError, RecursionError):
+                    continue
+                for n, page in enumerate(doc.pages(), 1):
+                    yield pd.DataFrame([(path, n, page_content(doc, page)[0])], columns=["path", "page", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, content binary")
+
+
 def placements(files: DataFrame) -> DataFrame:
     """Where every image of every page is drawn; position is the matrix' translation."""
 
