@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 # The word pattern, the base phrases, and public licence wording.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before A-Z are lower-cased
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = [
     # label, wording, mandatory key phrases
@@ -63,6 +64,23 @@ class Index:
         return sorted(dict.fromkeys(text.split()), key=lambda w: (-self.weight[w], w))
 
 
+    def agreeing(self, text: str) -> tuple[list[str], int]:
+        """Rare words of a notice, and how many of them must agree on a start."""
+        rare = self.rare(text)[:RARE_WORDS]
+        return rare, math.ceil(AGREEING * len(rare))
+
+    def keys(self) -> list[str]:
+        """Words of which any file with a phrase or notice holds one: the rarest word of each phrase, and
+        of the mandatory key phrases of each notice."""
+        groups = [t.split() for t in self.phrases] + [[w for k in n[2] for w in k.split()] for n in self.notices]
+        return sorted({min(g, key=lambda w: (-self.weight[w], -len(w), w)) for g in groups})
+
+
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words_of(text: Column) -> Column:
     lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
@@ -77,7 +95,8 @@ def build_index(docs: DataFrame, text_col: str = "text", phrases: dict[str, str]
     phrases = PHRASES if phrases is None else phrases
     notices = NOTICES if notices is None else notices
     vocabulary = sorted({w for t in [*phrases, *(n[1] for n in notices), *(k for n in notices for k in n[2])] for w in t.split()})
-    found = docs.select(F.array_intersect(_strings(vocabulary), words_of(F.col(f"`{text_col}`"))).alias("w"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    found = docs.select(F.array_intersect(_strings(vocabulary), words).alias("w"))
     counts = found.select(F.explode(F.when(F.size("w") > 0, F.concat("w", F.array(F.lit("")))).otherwise(F.array(F.lit("")))).alias("w")).groupBy("w").count()
     n = {r["w"]: r["count"] for r in counts.collect()}  # one row per vocabulary word at most
     total = n.get("", 0)
@@ -112,40 +131,51 @@ def _named(starts: Column, label: str) -> Column:
 def _notice_share(hits: Column, index: Index, text: str, keys: list[str]) -> Column:
     """Largest share of a notice's weight in place over all acceptable starts, else 0."""
     words = text.split()
-    rare = index.rare(text)[:RARE_WORDS]
-    votes = [_starts(hits, w, _places(text, w)) for w in rare]
-    need = math.ceil(AGREEING * len(rare))
-    starts = F.filter(F.array_distinct(F.concat(*votes)), lambda s: reduce(lambda a, b: a + b, [F.array_contains(v, s).cast("int") for v in votes]) >= need)
+    rare, need = index.agreeing(text)
     total = sum(index.weight[w] for w in words)
-    weights = F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.lit(index.weight[w]))])
-    expected = _strings(words)
+    expected, weights = _strings(words), F.array(*[F.lit(index.weight[w]) for w in words])
+
+    def agreed(votes: Column) -> Column:
+        # a start that enough words agree on has the vote of one of the rarest
+        starts = F.array_distinct(F.flatten(F.slice(votes, 1, len(rare) - need + 1)))
+        return F.filter(starts, lambda s: F.size(F.filter(votes, lambda v: F.array_contains(v, s))) >= need)
 
     def share(s: Column) -> Column:
         inside = F.filter(hits, lambda h: (h["i"] >= s) & (h["i"] < s + len(words)))
-        right = F.filter(inside, lambda h: F.try_element_at(expected, h["i"] - s + 1) == h["w"])
-        return F.aggregate(right, F.lit(0.0), lambda a, h: a + F.coalesce(F.try_element_at(weights, h["w"]), F.lit(0.0))) / total
+        right = F.filter(inside, lambda h: F.get(expected, h["i"] - s) == h["w"])
+        return F.aggregate(right, F.lit(0.0), lambda a, h: a + F.get(weights, h["i"] - s)) / total
+
+    def verified(s: Column, places: Column) -> Column:
+        return reduce(lambda a, b: a & b, [_within(places[k], s, len(words) - len(key.split())) for k, key in enumerate(keys)])
+
+    def best(starts: Column) -> Column:
+        places = F.array(*[_phrase_starts(hits, index, k) for k in keys])
+        good = F.when(F.size(starts) > 0, bind(places, lambda p: F.filter(starts, lambda s: verified(s, p))))
+        return F.array_max(F.filter(F.transform(good, share), lambda x: x >= IN_PLACE))
 
-    def verified(s: Column) -> Column:
-        return reduce(lambda a, b: a & b, [inside(_phrase_starts(hits, index, k), s, len(k.split())) for k in keys])
+    votes = F.array(*[_starts(hits, w, _places(text, w)) for w in rare])
+    return F.coalesce(bind(bind(votes, agreed), best), F.lit(0.0))
 
-    def inside(starts: Column, s: Column, n: int) -> Column:
-        return F.exists(starts, lambda p: (p >= s) & (p + n <= s + len(words)))
 
-    return F.coalesce(F.array_max(F.filter(F.transform(F.filter(starts, verified), share), lambda x: x >= IN_PLACE)), F.lit(0.0))
+def _within(places: Column, s: Column, room: int) -> Column:
+    return F.exists(places, lambda p: (p >= s) & (p <= s + room))
 
 
 def scan_licenses(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start)."""
     vocabulary = list(index.weight)
-    keys = sorted({index.rare(t)[0] for t in index.phrases} | {w for n in index.notices for w in index.rare(n[1])[:RARE_WORDS]})
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words_of(F.col(f"`{text_col}`")).alias("w"))
-    known = F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.when(F.arrays_overlap("w", _strings(keys)), F.filter(known, lambda h: h["w"].isin(vocabulary)))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
-    h = F.col("hits")
-    base = F.concat(*[_named(_phrase_starts(h, index, p), label) for p, label in index.phrases.items()])
-    shares = F.array(*[F.struct(F.lit(label).alias("label"), _notice_share(h, index, text, keys).alias("share")) for label, text, keys in index.notices])
-    rows = rows.select("doc_id", "n_words", F.when(h.isNotNull(), base).alias("base"), F.when(h.isNotNull(), F.filter(shares, lambda x: x["share"] > 0)).alias("notices"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # a cheap test that no file with a phrase or notice fails; only what passes is taken apart
+    maybe = bind(F.lower(text), lambda t: reduce(lambda a, b: a | b, [t.contains(k) for k in index.keys()]))
+    known = F.filter(F.transform(words_of(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
+
+    def look(h: Column) -> Column:
+        base = F.concat(*[_named(_phrase_starts(h, index, p), label) for p, label in index.phrases.items()])
+        shares = F.array(*[F.struct(F.lit(label).alias("label"), _notice_share(h, index, notice, keys).alias("share")) for label, notice, keys in index.notices])
+        return F.struct(base.alias("base"), F.filter(shares, lambda x: x["share"] > 0).alias("notices"))
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(maybe, bind(known, look)).alias("found"))
+    rows = rows.select("doc_id", "n_words", F.col("found.base").alias("base"), F.col("found.notices").alias("notices"))
     empty = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), empty)
     more = F.coalesce(F.transform("notices", lambda x: x["label"]), empty)
