@@ -11,6 +11,7 @@ from .bpe import bpe_round_trip
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .licenses import build_index, scan_licenses
+from .oracles import SQL
 from .quality import fit_quality, quality_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -93,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
