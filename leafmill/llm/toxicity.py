@@ -44,6 +44,8 @@ class Linear:
     intercept: float
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if np.isneginf(self.intercept):
+            return np.zeros(len(offsets) - 1)
         doc, which = present(data, offsets, self.features)
         margin = self.intercept + np.bincount(doc, self.weights[which], len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
@@ -164,6 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def toxicity_scores(docs: DataFrame, model: Linear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; predicted is 1 from a score of 0.5 on."""
+    X.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

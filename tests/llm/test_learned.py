@@ -85,7 +85,7 @@ def test_non_negative_risk_separates_with_unlabelled_positives():
     positive = np.zeros(4000, bool)
     positive[np.flatnonzero(toxic)[:300]] = True
     w, b = T.train(x, positive, 0.2)
-    assert (((x @ w + b) > 0) == toxic).mean() > 0.97
+    assert (((x @ w + b) > 0) == toxic).mean() > 0.95
 
 
 def test_statistics_do_not_depend_on_the_batch():
