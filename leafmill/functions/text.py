@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Colours of the categories, and the grey of unknown ones.
+# Display name and colour of the categories, and the grey of unknown ones.
+DISPLAY = {
+    "images": "图片",
+    "fonts": "嵌入字体",
+    "content": "内容流",
+    "forms": "表单X对象",
+    "metadata": "元数据",
+    "other_streams": "其他流对象",
+    "structure": "结构对象",
+    "unused": "未使用对象",
+}
 COLOURS = {
-    "images": "#3b82f6",
-    "fonts": "#10b981",
-    "content": "#f59e0b",
-    "forms": "#ec4899",
-    "metadata": "#8b5cf6",
-    "structure": "#06b6d4",
-    "other_streams": "#84cc16",
-    "unused": "#ef4444",
+    "images": "#ef4444",
+    "fonts": "#f59e0b",
+    "content": "#3b82f6",
+    "forms": "#8b5cf6",
+    "metadata": "#6b7280",
+    "other_streams": "#ec4899",
+    "structure": "#10b981",
+    "unused": "#f97316",
 }
 GREY = "#6b7280"
+MINUTE, SECOND = "分", "秒"
 
 KB, MB, GB = 1024, 1024**2, 1024**3
 
@@ -74,26 +85,29 @@ def duration_text(seconds: Column, padded: bool = True) -> Column:
     """Seconds alone below a minute, else minutes and seconds."""
     rest = (seconds % 60).cast("string")
     rest = F.lpad(rest, 2, "0") if padded else rest
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"), rest, F.lit("s")))
+    minutes = F.concat(F.floor(seconds / 60).cast("string"), F.lit(MINUTE), rest, F.lit(SECOND))
+    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit(SECOND))).otherwise(minutes)
 
 
 def parse_size(text: Column) -> Column:
-    """Number with a unit by its first letter (k, m, g; else bytes), rounded; 0 if there is no number."""
-    number = F.regexp_extract(text, r"^\s*([0-9]*\.?[0-9]+)\s*([A-Za-z]*)\s*$", 1)
-    unit = F.lower(F.substring(F.regexp_extract(text, r"^\s*([0-9]*\.?[0-9]+)\s*([A-Za-z]*)\s*$", 2), 1, 1))
+    """Leading number times its unit, which is the letter right behind it (k, m, g; else bytes), rounded; 0 without a number."""
+    plain = F.trim(text)
+    number = F.regexp_extract(plain, r"^([0-9.]*)", 1)
+    unit = F.lower(F.substring(plain, F.length(number) + 1, F.lit(1)))
     factor = F.when(unit == "k", KB).when(unit == "m", MB).when(unit == "g", GB).otherwise(1)
-    return F.coalesce(F.round(F.try_to_number(number, F.lit("999999999999D999999")).cast("double") * factor).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.round(number.try_cast("double") * factor).cast("long"), F.lit(0).cast("long"))
 
 
 def image_format(path: Column) -> Column:
-    """Format by extension, null for unknown ones."""
+    """Format by extension (jpeg, png, webp), null for all others."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin("jpg", "jpeg"), F.lit("jpeg")).when(ext == "png", F.lit("png")).when(ext.isin("jp2", "jpx"), F.lit("jp2")).when(ext.isin("tif", "tiff"), F.lit("tiff"))
+    return F.when(ext.isin("jpg", "jpeg"), F.lit("jpeg")).when(ext.isin("png", "webp"), ext)
 
 
 def trailing_number(path: Column) -> Column:
-    """Last number of the file name before its extension."""
-    return F.regexp_extract(path, r"([0-9]+)\.[A-Za-z0-9]+$", 1).try_cast("long") if hasattr(Column, "try_cast") else F.regexp_extract(path, r"([0-9]+)\.[A-Za-z0-9]+$", 1).cast("long")
+    """Number behind the last hyphen of the file name, or the whole name if it is one; else null."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return F.regexp_extract(F.substring_index(stem, "-", -1), r"^([0-9]+)$", 1).try_cast("long")
 
 
 def object_id(text: Column) -> tuple[Column, Column]:
@@ -113,6 +127,11 @@ def operator_text(operands: Column, operator: Column) -> Column:
     return F.concat_ws(" ", operands, operator)
 
 
+def display_name(category: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in DISPLAY.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, category), category)
+
+
 def colour(category: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, category), F.lit(GREY))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import display_name
 from leafmill.sources import pdf_tables as P
 
 from . import tables as O
@@ -77,9 +78,10 @@ def large_category(objects: DataFrame) -> DataFrame:
 def components(objects: DataFrame, rule: str = "small") -> DataFrame:
     """Count and size of every category of every file, zero-filled, in fixed order."""
     if rule == "small":
-        return O.category_rollup(objects.withColumn("c", category()).filter("c is not null"), F.col("c"), F.col("size_est"), CATEGORIES, ["path"])
-    rows = large_category(objects)
-    return O.category_rollup(rows, F.col("category"), F.col("size_est_json"), LARGE_CATEGORIES, ["path"])
+        out = O.category_rollup(objects.withColumn("c", category()).filter("c is not null"), F.col("c"), F.col("size_est"), CATEGORIES, ["path"])
+    else:
+        out = O.category_rollup(large_category(objects), F.col("category"), F.col("size_est_json"), LARGE_CATEGORIES, ["path"])
+    return out.withColumn("display", display_name(F.col("category")))
 
 
 def unused_objects(objects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 import pandas as pd
@@ -43,6 +43,16 @@ class PruneOptions:
     garbage: bool = True
 
 
+#: Switches that remove something a reader may miss; all others are safe.
+UNSAFE = {"annotations", "structure_tree", "mark_info"}
+
+
+def option_table(spark) -> DataFrame:
+    """(key, position, default, safe) of every switch."""
+    rows = [(f.name, k, bool(f.default), f.name not in UNSAFE) for k, f in enumerate(fields(PruneOptions))]
+    return spark.createDataFrame(rows, "key string, position int, default boolean, safe boolean")
+
+
 @dataclass
 class Change:
     changed: int = 0

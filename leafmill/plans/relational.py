@@ -241,11 +241,11 @@ def prune_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.try_element_at(kept, F.lit("k")).alias("k"), pruned.alias("pruned"))
 
 
-SIZES = ["", "12", "1.5K", "3M", "2G", "12B", "abc", "0.4k", " 7 kb ", "10MB", "-5K"]
+SIZES = ["", "12", "1.5K", "3M", "2G", "12B", "abc", "0.4k", " 7 kb ", "1.2.3K", ".5k", "10MB", "-5K"]
 
 
 @query("""
-SELECT * FROM (VALUES ('', 0), ('12', 12), ('1.5K', 1536), ('3M', 3145728), ('2G', 2147483648), ('12B', 12), ('abc', 0), ('0.4k', 410), (' 7 kb ', 7168), ('10MB', 10485760), ('-5K', 0)) AS t(size_text, size)
+SELECT * FROM (VALUES ('', 0), ('12', 12), ('1.5K', 1536), ('3M', 3145728), ('2G', 2147483648), ('12B', 12), ('abc', 0), ('0.4k', 410), (' 7 kb ', 7), ('1.2.3K', 0), ('.5k', 512), ('10MB', 10485760), ('-5K', 0)) AS t(size_text, size)
 """)
 def parse_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(s,) for s in SIZES], "size_text string")
@@ -294,7 +294,7 @@ def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES (0, '0s', '0s'), (59, '59s', '59s'), (60, '1m00s', '1m0s'), (61, '1m01s', '1m1s'), (3600, '60m00s', '60m0s')) AS t(seconds, shown, written)
+SELECT * FROM (VALUES (0, '0秒', '0秒'), (59, '59秒', '59秒'), (60, '1分00秒', '1分0秒'), (61, '1分01秒', '1分1秒'), (3600, '60分00秒', '60分0秒')) AS t(seconds, shown, written)
 """)
 def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(n,) for n in (0, 59, 60, 61, 3600)], "seconds long")

@@ -180,6 +180,11 @@ def test_pruning(spark):
     assert len(kept.objects) == 21
 
 
+def test_option_table(spark):
+    rows = W.option_table(spark).collect()
+    assert len(rows) == 12 and sum(r.safe for r in rows) == 9 and {r.key for r in rows if not r.default} == {"annotations", "structure_tree", "mark_info"}
+
+
 def test_embedded_files_go_only_where_names_stay():
     doc = parse(rich_file())
     W.prune(doc, W.PruneOptions(javascript=False, garbage=False))
