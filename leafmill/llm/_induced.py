@@ -26,6 +26,8 @@ import numpy as np
 
 TUPLE = np.dtype([("pos", "<i8"), ("prev", "<u8"), ("lcp", "u1")])
 MEMORY_TUPLES = 2_000_000
+#: Names of a recursion level that are sorted in memory (about 40 bytes each), per tuple held in memory.
+NAMES_PER_TUPLE = 2
 _AHEAD = 7  # preceding bytes that a tuple carries
 
 
@@ -258,10 +260,15 @@ def suffix_order(names: np.ndarray, limit: int) -> np.ndarray:
 
 
 class Sorter:
-    """Sorts all suffixes of ``text``, an array of bytes whose last byte is 0 (``np.memmap`` will do)."""
+    """Sorts all suffixes of a text of bytes whose last byte is 0.
 
-    def __init__(self, text: np.ndarray, limit: int = MEMORY_TUPLES):
+    ``padded`` is the text with 8 more zero bytes behind it (``np.memmap`` will do).
+    """
+
+    def __init__(self, padded: np.ndarray, limit: int = MEMORY_TUPLES):
+        text = padded[:-8]
         self.text, self.limit, self.n = text, limit, len(text)
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)
         self.letters = np.flatnonzero(np.bincount(text, minlength=256)) if self.n < 1 << 24 else np.arange(256)
 
     def _ahead(self, pos: np.ndarray) -> np.ndarray:
@@ -282,19 +289,21 @@ class Sorter:
         differ = np.flatnonzero(x[:m] != y[:m])
         return int(differ[0]) if len(differ) else m
 
-    def _words(self, pos: np.ndarray) -> np.ndarray:
-        at = pos[:, None] + np.arange(8)
-        return np.where(at < self.n, self.text[np.minimum(at, self.n - 1)], 0)
+    def _equal_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many of the next 8 bytes of two places agree; bytes behind the text count as 0."""
+        x, y = (np.ascontiguousarray(self.words[np.minimum(p, self.n)]).view("<u8")[:, 0] for p in (a, b))
+        x ^= y
+        return np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
 
-    def _common_many(self, a: np.ndarray, b: np.ndarray, stop: int) -> np.ndarray:
-        """Common prefixes of suffix pairs, up to ``stop``."""
+    def _common_many(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray | int) -> np.ndarray:
+        """Common prefixes of suffix pairs, up to ``stop`` and the end of the text."""
         out = np.zeros(len(a), np.int64)
+        stop = np.minimum(stop, self.n - np.maximum(a, b))
         live = np.arange(len(a))
         while len(live):
-            same = self._words(a[live] + out[live]) == self._words(b[live] + out[live])
-            full = same.all(1)
-            out[live] += np.where(full, 8, np.argmin(same, 1))
-            live = live[full & (out[live] < stop)]
+            more = self._equal_bytes(a[live] + out[live], b[live] + out[live])
+            out[live] += more
+            live = live[(more == 8) & (out[live] < stop[live])]
         return np.minimum(out, stop)
 
     def _spread(self, block: np.ndarray, take: np.ndarray, queues: dict[int, Queue], low: np.ndarray | None) -> None:
@@ -313,12 +322,13 @@ class Sorter:
         if low is not None:
             wide = np.append(block["lcp"], np.uint8(255))
             least = block["lcp"].min() if len(block) else np.uint8(255)
-        for c in self.letters:
+        here = np.flatnonzero(np.diff(bounds))
+        if least is not None:
+            rest = np.ones(256, bool)
+            rest[here] = False
+            low[rest] = np.minimum(low[rest], least)
+        for c in here.tolist():
             lo, hi = bounds[c], bounds[c + 1]
-            if lo == hi:
-                if least is not None and least < low[c]:
-                    low[c] = least
-                continue
             mine = order[lo:hi]
             out = np.empty(hi - lo, TUPLE)
             out["pos"], out["prev"], out["lcp"] = pos[mine], prev[mine], 0
@@ -401,19 +411,12 @@ class Sorter:
             step = 1 << 18
             for k in range(0, len(check), step):
                 at = check[k : k + step]
-                stop = length[at]
-                reach = np.zeros(len(at), np.int64)
-                live = np.arange(len(at))
-                while len(live):  # equal to the end of the substring?
-                    eq = self._words(order[at[live]] + reach[live]) == self._words(order[at[live] + 1] + reach[live])
-                    reach[live] += np.where(eq.all(1), 8, np.argmin(eq, 1))
-                    live = live[eq.all(1) & (reach[live] < stop[live])]
-                same[at] = reach >= stop
+                same[at] = self._common_many(order[at], order[at + 1], length[at]) >= length[at]
             label = np.append(0, np.cumsum(~same))
             names = np.empty(len(seeds), np.int64)
             names[number] = label
             if label[-1] + 1 < len(seeds):
-                order = seeds[suffix_order(names, self.limit)]
+                order = seeds[suffix_order(names, self.limit * NAMES_PER_TUPLE)]
             seeds = order
             lcp = np.zeros(len(seeds), np.uint8)
             for k in range(1, len(seeds), step):

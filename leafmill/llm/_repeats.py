@@ -31,6 +31,10 @@ CUTS = "covered boolean, anchor long, id long, tag long, start int, n int, body
 SPANS = "id long, tag long, start int, n int"
 
 
+#: Stated wherever rows are joined by key, so that inner and outer joins read the same exchange.
+USABLE = "id is not null and tag is not null"
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a sequence consists of.  ``values(data, offsets)`` gives one hash per unit, the units'
@@ -58,10 +62,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     ``tag`` is 0 unless an id occurs more than once; then it is a hash of the text, so that repeated
     rows count as one document and equal ids with different texts as two.
     """
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    X.small_batches(docs.sparkSession)
+    # an expression of its own in each column: both joins then have one and the same exchange of the texts
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     repeated = plain.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count() > 0
-    rows = plain.select("id", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("tag"), "text")
-    search = rows.filter("id is not null")
+    rows = plain.select("id", (F.xxhash64("text") if repeated else F.col("id") - F.col("id")).alias("tag"), "text")
+    search = rows.filter(USABLE)
     return rows, search.dropDuplicates(["id", "tag"]) if repeated else search
 
 
@@ -185,7 +192,8 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             rows, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             cov, anchor, start, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             doc = np.searchsorted(ends, np.arange(len(cov)), "right")
-            yield _table(_CUTS, cov[cov], anchor[cov], ids[doc[cov]], tags[doc[cov]], start[cov], n[cov], pa.nulls(int(cov.sum()), pa.binary()))
+            d, a, b = merged(doc[cov], start[cov], start[cov] + n[cov])
+            yield _table(_CUTS, np.ones(len(d), bool), X.mix(ids[d].astype(np.uint64)).view(np.int64), ids[d], tags[d], a, b - a, pa.nulls(len(d), pa.binary()))
             todo = np.flatnonzero(~cov)
             for lo, hi, data, offsets in X.chunks(batch.column(2)):
                 mine = todo[(doc[todo] >= lo) & (doc[todo] < hi)]
@@ -230,14 +238,16 @@ def repeated_spans(search: DataFrame, unit: Unit, resolve: Callable, order: tupl
     runs = runs.repartition("anchor").sortWithinPartitions("covered", "anchor", "ctx", "id", "tag", "start").mapInArrow(_repeated_runs(unit), RUNS)
     per_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("covered", "anchor", "start", "n")).alias("runs"))
     cuts = search.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(unit), CUTS)
-    cuts = cuts.repartition("anchor").sortWithinPartitions("covered", *order)
+    # a number of its own: shards stay as small as the session's partitions are meant to be
+    shards = int(search.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cuts.repartition(shards, "anchor").sortWithinPartitions("covered", *order)
     return cuts.mapInArrow(last, SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, tag, text, spans): all spans of every row; rows with a null id have none."""
     per_doc = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    found = rows.filter("id is not null").join(per_doc, ["id", "tag"], "left").select("id", "tag", "text", "spans")
+    found = rows.filter(USABLE).join(per_doc, ["id", "tag"], "left").select("id", "tag", "text", "spans")
     empty = rows.filter("id is null").select("id", "tag", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"))
     return found.unionByName(empty)
 

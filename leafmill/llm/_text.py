@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 2_000
 
 _rng = np.random.Generator(np.random.PCG64(20240917))
 _TABLE = _rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
@@ -20,6 +21,16 @@ _BASE = [int(x) | 1 for x in _rng.integers(1 << 40, 1 << 62, size=4)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def small_batches(spark) -> None:
+    """Bounds Arrow batches by ``BATCH_ROWS`` rows, so that a Python worker holds few texts at once.
+
+    A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def space_class() -> np.ndarray:
     """Words are runs of anything but space and ``\\x09-\\x0D``."""
     table = np.ones(256, bool)

@@ -34,7 +34,7 @@ from . import _text as X
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ROW_BYTES = 64
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _NEVER = np.int64(1) << 40
 
 
@@ -282,6 +282,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     ``tokenizer_path`` names a tokenizer description that the driver can read; executors get its text.
     """
+    X.small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         description = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -39,14 +39,15 @@ class Groups:
     """Marks all window starts but the first in text order of every group of equal windows."""
 
     def __init__(self, base: np.ndarray, n: np.ndarray, window: int, size: int):
-        self.base, self.n, self.window = base, n, window
+        self.window = window
         self.covered = np.zeros(size, bool)
+        self.starts = np.zeros(size, bool)
+        self.starts[X.gather_ranges(base, n)] = True
         self.first = -1  # earliest start of the group that may go on
 
     def visit(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         new = lcp < self.window
-        at = np.searchsorted(self.base, pos, "right") - 1
-        valid = pos - self.base[at] < self.n[at]
+        valid = self.starts[pos]
         group = np.cumsum(new)
         if group[0] == 1:
             self.first = -1
@@ -80,12 +81,13 @@ def _resolver(window: int, limit: int):
                 total += len(out)
             if not keys:
                 return
+            file.write(bytes(8))
             file.flush()
-            text = np.memmap(file, np.uint8, "r", shape=(total,))
+            text = np.memmap(file, np.uint8, "r", shape=(total + 8,))
             if total <= limit * I.TUPLE.itemsize:
                 text = np.array(text)
             ids, tags, start, n, base = (np.concatenate(x) for x in zip(*keys, strict=True))
-            groups = Groups(base, n, window, total)
+            groups = Groups(base, n.astype(np.int64), window, total)
             I.Sorter(text, limit).run(groups.visit)
             for k in range(0, len(base), 50_000):
                 part = slice(k, k + 50_000)

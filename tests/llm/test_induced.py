@@ -35,7 +35,7 @@ def texts():
 def test_suffix_order_and_common_prefixes(limit):
     for text in texts():
         pos, lcp = [], []
-        I.Sorter(np.frombuffer(text, np.uint8), limit).run(lambda p, x: (pos.extend(p.tolist()), lcp.extend(x.tolist())))
+        I.Sorter(np.frombuffer(text + bytes(8), np.uint8), limit).run(lambda p, x: (pos.extend(p.tolist()), lcp.extend(x.tolist())))
         order, common = naive(text)
         assert pos[::-1] == order, text
         assert lcp[0] == 0 and lcp[1:][::-1] == common[1:], text
