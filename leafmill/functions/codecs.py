@@ -222,3 +222,46 @@ def samples_to_pixels(data: bytes, width: int, height: int, color_space: str, bi
         light = 255 - rows[:, :, :3].astype(int)
         rows = (light * (255 - rows[:, :, 3:].astype(int)) // 255).astype(np.uint8)
     return rows
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """RGBA pixels of a PNG without interlacing, of 1, 2, 4, 8 or 16 bits (16 keep their upper byte)."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, body, palette, clear = 8, [], None, None
+    width = height = bits = kind = 0
+    while at + 8 <= len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        name, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        if name == b"IHDR":
+            width, height, bits, kind, _, _, interlaced = struct.unpack(">IIBBBBB", part)
+            if interlaced:
+                raise ValueError("interlaced")
+        elif name == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif name == b"tRNS":
+            clear = np.frombuffer(part, np.uint8)
+        elif name == b"IDAT":
+            body.append(part)
+        at += 12 + n
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    raw = png_predictor(zlib.decompress(b"".join(body)), width, channels, bits)
+    if bits == 8:
+        flat = np.frombuffer(raw, np.uint8)
+    elif bits == 16:
+        flat = np.frombuffer(raw, np.uint8).reshape(-1, 2)[:, 0]
+    else:
+        flat = unpack_samples(raw, width * channels, bits).astype(np.uint8)
+        flat = flat if kind == 3 else (flat.astype(int) * 255 // ((1 << bits) - 1)).astype(np.uint8)
+    rows = flat.reshape(height, width, channels)
+    out = np.full((height, width, 4), 255, np.uint8)
+    if kind == 3:
+        out[..., :3] = palette[rows[..., 0]]
+        if clear is not None:
+            out[..., 3] = np.append(clear, np.full(256 - len(clear), 255, np.uint8))[rows[..., 0]]
+    elif channels <= 2:
+        out[..., :3] = rows[..., :1]
+        out[..., 3] = rows[..., 1] if channels == 2 else 255
+    else:
+        out[..., :channels] = rows
+    return out
