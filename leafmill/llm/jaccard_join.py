@@ -44,7 +44,7 @@ from . import _text as X
 from ._graph import components, stored
 
 #: Shingles found in this many documents of one Arrow batch are ordered last; at most so many are.
-COMMON_IN_BATCH, COMMON_KEPT = 12, 200_000
+COMMON_IN_BATCH, COMMON_KEPT = 4, 200_000
 #: Shingles of a cluster that one task takes.
 BLOCK_SHINGLES = 4_000_000
 #: Weight of a heap step against a binary probe in the choice of how many lists to set aside.
@@ -87,6 +87,7 @@ def _sketch(n: int, low: int, high: int, common: np.ndarray) -> Callable[[Iterat
     """(id, tag, size, sig, prefix, bits) of every text; ``common`` is sorted from common to rare."""
     by_hash = np.argsort(common)
     ordered = common[by_hash]
+    per_shingle = bits_per_shingle(low, high)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +108,7 @@ def _sketch(n: int, low: int, high: int, common: np.ndarray) -> Callable[[Iterat
                     p = place[a:b]
                     prefixes.append(s[np.argsort(p, kind="stable")[:k]] if p.any() else s[:k])
                     lengths.append(k)
-                    bits.append(parity(s))
+                    bits.append(parity(s, per_shingle))
                     size.append(len(s))
             if not size:
                 continue
@@ -118,10 +119,20 @@ def _sketch(n: int, low: int, high: int, common: np.ndarray) -> Callable[[Iterat
     return sketch
 
 
-def parity(s: np.ndarray) -> bytes:
+def bits_per_shingle(low: int, high: int) -> int:
+    """So many that the bitmaps of sets without a common shingle lie farther apart than a leader reaches.
+
+    With ``b`` bits for sets of size ``s`` they differ in about ``b / 2 * (1 - exp(-4 * s / b))`` bits, and
+    a leader reaches ``2 * (high / low - 1) * s``.
+    """
+    reach = 2 * (high / low - 1)
+    return next((m for m in (1, 2, 4) if m / 2 * (1 - math.exp(-4 / m)) > 1.15 * reach), 8)
+
+
+def parity(s: np.ndarray, per_shingle: int) -> bytes:
     """Bit ``h mod b`` is the parity of the hashes ``h`` that fall on it; ``b`` is a power of two of at
-    least the size of the set.  The upper half folded onto the lower gives the bitmap for ``b / 2``."""
-    b = 1 << max(6, (max(1, len(s)) - 1).bit_length())
+    least so many bits per shingle.  The upper half folded onto the lower gives the bitmap for ``b / 2``."""
+    b = 1 << max(6, (max(1, len(s) * per_shingle) - 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(bool), bitorder="little").tobytes()
 
 
