@@ -234,14 +234,14 @@ def repeated_spans(search: DataFrame, unit: Unit, resolve: Callable, order: tupl
             yield out
         yield from done
 
-    runs = search.mapInArrow(_emit_runs(unit), RUNS)
-    runs = runs.repartition("anchor").sortWithinPartitions("covered", "anchor", "ctx", "id", "tag", "start").mapInArrow(_repeated_runs(unit), RUNS)
+    runs = search.mapInArrow(X.tidy(_emit_runs(unit)), RUNS)
+    runs = runs.repartition("anchor").sortWithinPartitions("covered", "anchor", "ctx", "id", "tag", "start").mapInArrow(X.tidy(_repeated_runs(unit)), RUNS)
     per_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("covered", "anchor", "start", "n")).alias("runs"))
-    cuts = search.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(_cut(unit), CUTS)
+    cuts = search.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(X.tidy(_cut(unit)), CUTS)
     # a number of its own: shards stay as small as the session's partitions are meant to be
     shards = int(search.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = cuts.repartition(shards, "anchor").sortWithinPartitions("covered", *order)
-    return cuts.mapInArrow(last, SPANS)
+    return cuts.mapInArrow(X.tidy(last), SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

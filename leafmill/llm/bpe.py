@@ -34,7 +34,7 @@ from . import _text as X
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 ROW_BYTES = 64
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 _NEVER = np.int64(1) << 40
 
 
@@ -298,4 +298,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return plain.mapInArrow(X.tidy(run), "doc_id long, ids array<int>, decoded string")

@@ -159,7 +159,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         return run
 
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    parts = [plain.mapInArrow(scan(b), RESULT) for b in _broadcast(docs, items, item_id, item_text, shingle, share)]
+    parts = [plain.mapInArrow(X.tidy(scan(b)), RESULT) for b in _broadcast(docs, items, item_id, item_text, shingle, share)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], RESULT)
 
 
@@ -178,5 +178,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         return run
 
     for b in _broadcast(docs, items, item_id, item_text, shingle, share):
-        docs = docs.mapInArrow(scan(b), docs.schema)
+        docs = docs.mapInArrow(X.tidy(scan(b)), docs.schema)
     return docs

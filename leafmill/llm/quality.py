@@ -177,7 +177,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Forest:
     """A forest from at most ``max_rows`` labelled documents outside fold 0."""
     sample = L.bounded(L.labelled(labels, id_col, label_col), max_rows)  # so many rows are the bound of the broadcast
-    rows = L.texts(docs, id_col, text_col).join(F.broadcast(sample), "id").select("y", "text").mapInArrow(_measure, "y int, stats array<double>")
+    rows = L.texts(docs, id_col, text_col).join(F.broadcast(sample), "id").select("y", "text").mapInArrow(X.tidy(_measure), "y int, stats array<double>")
     found = rows.toPandas()
     stats = np.array(found["stats"].tolist(), float).reshape(-1, len(NAMES))
     order = np.lexsort(np.column_stack([stats, found["y"].to_numpy()]).T)  # whatever order the rows come in
@@ -194,7 +194,7 @@ def quality_scores(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text
             for lo, hi, data, offsets in X.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.value.score(statistics(data, offsets)))], names=["id", "score"])
 
-    rows = L.texts(docs, id_col, text_col).mapInArrow(score, "id long, score double")
+    rows = L.texts(docs, id_col, text_col).mapInArrow(X.tidy(score), "id long, score double")
     return rows.select(F.col("id").alias("doc_id"), (L.fold("id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -210,4 +210,4 @@ def keep_quality(docs: DataFrame, forest: Forest, text_col: str = "text", thresh
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(X.tidy(keep), docs.schema)

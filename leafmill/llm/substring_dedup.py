@@ -99,4 +99,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"window must be at least {SEED_WORDS} words")
     rows, search = R.keyed(docs, id_col, text_col)
     spans = R.repeated_spans(search, R.Unit(window, SEED_WORDS, R.word_values, within=False), _resolver(window), ("anchor", "id", "tag", "start"))
-    return R.with_spans(rows, spans).mapInArrow(_apply, RESULT)
+    return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)

@@ -131,4 +131,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("window must be 40 to 250 bytes")
     rows, search = R.keyed(docs, id_col, text_col)
     spans = R.repeated_spans(search, R.Unit(window, GRAM_BYTES, R.byte_values, within=True), _resolver(window, memory_tuples), ("id", "tag", "start"))
-    return R.with_spans(rows, spans).mapInArrow(_apply, RESULT)
+    return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)

@@ -139,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     size = {r["y"]: r["count"] for r in sizes}
     if not size.get(1) or not size.get(0):
         return Linear(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    counts = rows.mapInArrow(count, "feature long, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(X.tidy(count), "feature long, p long, n long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     share_p, share_u = F.col("p") / size[1], (F.col("n") - F.col("p")) / size[0]
     excess = (share_p - share_u) / F.sqrt((share_u + 1.0 / size[0]) / size[1] + (share_u + 1.0 / size[0]) / size[0])
     best = counts.filter("p >= 3").withColumn("excess", excess).filter("excess > 5").orderBy(F.desc("excess"), "feature").limit(max_features)
@@ -152,7 +152,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 column = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32), pa.array(which.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column], names=["y", "which"])
 
-    marks = rows.mapInArrow(mark, "y int, which array<int>").toPandas()
+    marks = rows.mapInArrow(X.tidy(mark), "y int, which array<int>").toPandas()
     order = sorted(range(len(marks)), key=lambda k: (marks["y"][k], list(marks["which"][k])))  # whatever order the rows come in
     table = np.zeros((len(marks), len(wanted)), np.float32)
     for k, j in enumerate(order):
@@ -174,5 +174,5 @@ def toxicity_scores(docs: DataFrame, model: Linear, id_col: str = "doc_id", text
             for lo, hi, data, offsets in X.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(data, offsets))], names=["id", "score"])
 
-    rows = L.texts(docs, id_col, text_col).mapInArrow(score, "id long, score double")
+    rows = L.texts(docs, id_col, text_col).mapInArrow(X.tidy(score), "id long, score double")
     return rows.select(F.col("id").alias("doc_id"), (L.fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
