@@ -10,7 +10,8 @@ returns token ids.  Stages:
 * ``contamination``: documents that contain a benchmark item go;
 * ``tokens``: token ids of the byte-level BPE, with the text that they decode to.
 
-Rows with a null id pass ``near_duplicates`` and ``repeats`` unchanged.
+Rows with a null id pass ``near_duplicates`` and ``repeats`` unchanged; rows that share the id that stays all
+stay, as they are one document to these stages.
 """
 
 from __future__ import annotations

@@ -47,6 +47,8 @@ from ._graph import components, stored
 COMMON_IN_BATCH, COMMON_KEPT = 4, 200_000
 #: Shingles of a cluster that one task takes.
 BLOCK_SHINGLES = 4_000_000
+#: Places of the table that tells which texts a cluster may need.
+SLOTS = 1 << 20
 #: Weight of a heap step against a binary probe in the choice of how many lists to set aside.
 PROBE_WEIGHT = 0.0085
 
@@ -155,6 +157,15 @@ def _meetings(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             group = X.mix(shingle[head].view(np.uint64) ^ X.mix(node[head].view(np.uint64))).view(np.int64)
             if last is not None:
                 group[head == 0] = last[3]
+            # groups that lie whole in this batch are named by their members: equal ones become one
+            heads = np.flatnonzero(apart)
+            size_of = np.diff(np.append(heads, len(node)))
+            named = X.mix(np.add.reduceat(X.mix(node.view(np.uint64)), heads) + size_of.astype(np.uint64)).view(np.int64)
+            whole = np.ones(len(heads), bool)
+            whole[-1] = False
+            whole[0] &= last is None
+            which = np.cumsum(apart) - 1
+            group = np.where(whole[which], named[which], group)
             keep = ~apart | np.append(~apart[1:], False)
             done = bool(keep[-1])
             if last is not None and last[4]:
@@ -386,7 +397,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     low, high = threshold
     spark = docs.sparkSession
     rows, search = R.keyed(docs, id_col, text_col)
-    counted = search.select("text").mapInArrow(_common(shingle), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = search.select("text").mapInArrow(X.tidy(_common(shingle)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").toPandas()["shingle"].to_numpy()
     common = spark.sparkContext.broadcast(top.view(np.uint64))
 
@@ -394,16 +405,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _sketch(shingle, low, high, common.value)(batches)
 
     shape = "id long, tag long, size long, sig long, prefix array<long>, bits binary"
-    sketches = stored(search.mapInArrow(sketch, shape))
+    sketches = stored(search.mapInArrow(X.tidy(sketch), shape))
     filled = sketches.filter("size > 0")
     nodes = filled.groupBy("sig").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     postings = nodes.select(F.explode("prefix").alias("shingle"), "size", F.col("sig").alias("node"))
     postings = postings.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    met = postings.mapInArrow(_meetings(low, high), "group long, size long, node long")
+    met = postings.mapInArrow(X.tidy(_meetings(low, high)), "group long, size long, node long")
+    met = met.groupBy("group", "node").agg(F.first("size").alias("size"))
     bitmaps = filled.groupBy("sig").agg(F.first("bits").alias("bits"))
     met = met.join(bitmaps, met.node == bitmaps.sig).select("group", "size", "node", "bits")
     met = met.repartition("group").sortWithinPartitions("group", "size", "node")
-    clusters = stored(components(met.mapInArrow(_near(low, high), "a long, b long")))
+    clusters = stored(components(met.mapInArrow(X.tidy(_near(low, high)), "a long, b long")))
 
     members = filled.groupBy("sig").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("size").alias("size"))
     members = members.join(clusters, members.sig == clusters.node).select("rep.id", "rep.tag", "sig", "size", "component")
@@ -413,13 +425,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = placed.select("id", "tag", "sig", "size", "component", "block", "blocks", other.alias("other"))
     # a block meets every other one once; alone it is part of each of its meetings
     dealt = dealt.filter("blocks = 1 or block <> other").withColumn("task", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    work = search.join(dealt, ["id", "tag"]).select("component", "task", "sig", "size", "text")
+    # a table of fixed size lets few other texts pass, so that not all of them are shuffled
+    taken = np.zeros(SLOTS, bool)
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
+    taken[members.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
+    table = spark.sparkContext.broadcast(taken)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(table.value[batch.column(3).to_numpy(zero_copy_only=False)]))
+
+    few = search.select("id", "tag", "text", slot).mapInArrow(X.tidy(passing), "id long, tag long, text string, slot int").drop("slot")
+    work = few.join(dealt, ["id", "tag"]).select("component", "task", "sig", "size", "text")
     work = work.repartition("component", "task").sortWithinPartitions("component", "task", "size", "sig").select("component", "task", "sig", "text")
-    links = components(work.mapInArrow(_search(shingle, low, high), "a long, b long"))
+    links = components(work.mapInArrow(X.tidy(_search(shingle, low, high)), "a long, b long"))
 
     named = sketches.select("id", "tag", "size", "sig").join(links, F.col("sig") == links.node, "left").select("id", "tag", "size", F.coalesce("component", "sig").alias("group"))
     least = named.filter("size > 0").groupBy("group").agg(F.min("id").alias("least"))
     out = named.join(least, "group", "left").select("id", "tag", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     known = rows.filter("id is not null").select("id", "tag").join(out, ["id", "tag"]).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
-    unnamed = rows.filter("id is null").mapInArrow(sketch, shape)
+    unnamed = rows.filter("id is null").mapInArrow(X.tidy(sketch), shape)
     return known.unionByName(unnamed.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
