@@ -9,10 +9,13 @@ Steps of one level: classify suffixes (L: larger than the next, S: smaller); sor
 between leftmost-S positions by inducing from them in any order; name them; sort the string of names
 (recursion; in memory once it fits); induce all L, then all S suffixes from the sorted seeds.
 Common prefixes are induced along: two neighbours share one byte more than the least value between
-the two suffixes that induced them.  Values stop at 255.
+the two suffixes that induced them.  Values stop at 255, and at a 0 byte: every 0 ends a string of
+its own.
 
-Spool files are scratch of one task, as Spark's own spills are, and vanish with it: a task that runs
-again on another executor starts from its shuffle input.
+Memory holds a bounded number of tuples and one block of everything else: text, positions, names and
+orders are files (:class:`Shelf`) beyond a bound.  Spool files are scratch of one task, as Spark's own
+spills are, and vanish with it: a task that runs again on another executor starts from its shuffle
+input.
 """
 
 from __future__ import annotations
@@ -36,6 +39,58 @@ def scratch_dir() -> str | None:
     return next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d and os.path.isdir(d)), None)
 
 
+class Shelf:
+    """Items of one type in order of arrival; beyond ``room`` bytes they move to a scratch file."""
+
+    def __init__(self, kind, room: int):
+        self.kind, self.room = np.dtype(kind), room
+        self.parts: list[np.ndarray] = []
+        self.file, self.held, self.size = None, 0, 0
+
+    def append(self, block: np.ndarray) -> None:
+        self.parts.append(np.ascontiguousarray(block, self.kind))
+        self.held += self.parts[-1].nbytes
+        self.size += len(block)
+        if self.held > self.room:
+            self._write()
+
+    def _write(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=scratch_dir())
+        for part in self.parts:
+            self.file.write(part.data)
+        self.parts, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        """All items, in memory or mapped from the file."""
+        if self.file is None:
+            if len(self.parts) != 1:
+                self.parts = [np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)]
+            return self.parts[0]
+        self._write()
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r+", shape=(self.size,))
+
+    def close(self) -> None:
+        self.parts = []
+        if self.file is not None:
+            self.file.close()
+
+
+def blank(n: int, kind, room: int) -> np.ndarray:
+    """An array of zeros, a mapped scratch file if it is larger than ``room`` bytes."""
+    kind = np.dtype(kind)
+    if n * kind.itemsize <= room:
+        return np.zeros(n, kind)
+    with tempfile.TemporaryFile(dir=scratch_dir()) as file:  # the map keeps the file
+        file.truncate(n * kind.itemsize)
+        return np.memmap(file, kind, "r+", shape=(n,))
+
+
+def blocks(n: int, step: int) -> Iterator[slice]:
+    return (slice(k, min(k + step, n)) for k in range(0, n, step))
+
+
 class Spool:
     """A scratch file with append-only lists; holds ``limit`` tuples in memory at most."""
 
@@ -57,7 +112,7 @@ class Queue:
     """Tuples in order of arrival; can be drained while it is filled, and read again backwards."""
 
     def __init__(self, spool: Spool):
-        self.spool, self.parts, self.fresh, self.size = spool, [], [], 0
+        self.spool, self.parts, self.fresh, self.size, self.at = spool, [], [], 0, 0
         spool.queues.append(self)
 
     def append(self, block: np.ndarray) -> None:
@@ -94,6 +149,7 @@ class Queue:
                     return
                 self.parts.append(self.fresh[0] if len(self.fresh) == 1 else np.concatenate(self.fresh))
                 self.fresh = []
+            self.at = k
             yield self._read(self.parts[k])
             if isinstance(self.parts[k], np.ndarray) and self.spool.held > self.spool.limit // 2:  # drained tuples go to disk first
                 block, self.parts[k] = self.parts[k], None
@@ -155,13 +211,10 @@ class Heap:
             f.close()
 
 
-def _leftmost_s(text: np.ndarray) -> np.ndarray:
-    """Leftmost-S positions in text order, the end excluded.  The end counts as smaller than all."""
-    n = len(text)
-    if n < 2:
-        return np.zeros(0, np.int64)
-    found, right, step = [], None, 1 << 22
-    for hi in range(n, 0, -step):  # right to left in blocks; the block's last type comes from the right
+def _leftmost_s(text: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """Blocks of leftmost-S positions, from right to left; the end counts as smaller than all and is none."""
+    n, right = len(text), None
+    for hi in range(n, 0, -step):  # a block's last type comes from the right
         lo = max(0, hi - step)
         here = text[lo:hi].astype(np.int64)
         after = np.append(here[1:], int(text[hi]) if hi < n else -1)
@@ -171,9 +224,20 @@ def _leftmost_s(text: np.ndarray) -> np.ndarray:
         open_end = bool(right[0]) if right is not None else False
         is_s = np.append(here < after, open_end)[nearest]
         before = np.append(int(text[lo - 1]) if lo else -1, here[:-1])
-        found.append(lo + np.flatnonzero(is_s & (before > here)))
+        yield lo + np.flatnonzero(is_s & (before > here))
         right = is_s
-    return np.concatenate(found[::-1])
+
+
+def leftmost_s(text: np.ndarray, step: int, room: int) -> np.ndarray:
+    """Leftmost-S positions in text order."""
+    found = Shelf(np.int64, room)
+    for block in _leftmost_s(text, step):
+        found.append(block[::-1])
+    back, out = found.array(), blank(found.size, np.int64, room)
+    for at in blocks(found.size, step):
+        out[found.size - at.stop : found.size - at.start] = back[at][::-1]
+    found.close()
+    return out
 
 
 def order_in_memory(names: np.ndarray) -> np.ndarray:
@@ -195,68 +259,120 @@ def order_in_memory(names: np.ndarray) -> np.ndarray:
             return order
 
 
+class _Out:
+    """Single numbers to a shelf."""
+
+    def __init__(self, room: int):
+        self.shelf, self.fresh = Shelf(np.int64, room), []
+
+    def add(self, i: int) -> None:
+        self.fresh.append(i)
+        if len(self.fresh) == 4096:
+            self.close()
+
+    def close(self) -> None:
+        if self.fresh:
+            self.shelf.append(np.array(self.fresh, np.int64))
+            self.fresh = []
+
+    def array(self) -> np.ndarray:
+        self.close()
+        return self.shelf.array()
+
+
+def _numbers(values: np.ndarray) -> Iterator[int]:
+    for at in blocks(len(values), 4096):
+        yield from values[at].tolist()
+
+
 def order_external(names: np.ndarray, limit: int) -> np.ndarray:
     """Suffix order of a string of integers by induced sorting with spilling heaps."""
-    n = len(names)
-    seeds = _leftmost_s(names)
-    value = names.__getitem__
-
-    def induce(sorted_seeds) -> list[int]:
-        lows, out, tick = Heap(limit), [], 0
-        lows.push((int(value(n - 1)), 0, n - 1))
-        queue = iter(sorted_seeds)
-        seed = next(queue, None)
+    n, room = len(names), 8 * limit
+    held = max(4, limit // 8)
+    seeds = leftmost_s(names, max(limit, 16), room)
+    value = lambda i: int(names[i])
+
+    def induce(sorted_seeds: Iterator[int], keep: Callable[[int], None]) -> np.ndarray:
+        """All suffixes in descending order; ``keep`` gets the leftmost-S ones as they come."""
+        lows, out, tick = Heap(held), _Out(room), 0
+        lows.push((value(n - 1), 0, n - 1))
+        seed = next(sorted_seeds, None)
         while seed is not None or lows.peek() is not None:
             if lows.peek() is not None and (seed is None or lows.peek()[0] <= value(seed)):
                 c, _, i = lows.pop()
-                out.append(i)
+                out.add(i)
                 if i and value(i - 1) >= c:
                     tick += 1
-                    lows.push((int(value(i - 1)), tick, i - 1))
+                    lows.push((value(i - 1), tick, i - 1))
             else:
-                i = int(seed)
-                seed = next(queue, None)
+                i, seed = seed, next(sorted_seeds, None)
                 tick += 1
-                lows.push((int(value(i - 1)), tick, i - 1))
+                lows.push((value(i - 1), tick, i - 1))
         lows.close()
-        highs, down = Heap(limit), []
-        k = len(out) - 1
-        while k >= 0 or highs.peek() is not None:
-            if highs.peek() is not None and (k < 0 or -highs.peek()[0] >= value(out[k])):
+        highs, down = Heap(held), _Out(room)
+        rest = _numbers(out.array()[::-1])
+        low = next(rest, None)
+        while low is not None or highs.peek() is not None:
+            if highs.peek() is not None and (low is None or -highs.peek()[0] >= value(low)):
                 c, _, i = highs.pop()
                 c = -c
-                down.append(i)
+                down.add(i)
+                if i and value(i - 1) > c:
+                    keep(i)
                 if i and value(i - 1) <= c:
                     tick += 1
-                    highs.push((-int(value(i - 1)), tick, i - 1))
+                    highs.push((-value(i - 1), tick, i - 1))
             else:
-                i = out[k]
-                k -= 1
-                down.append(i)
+                i, low = low, next(rest, None)
+                down.add(i)
                 if i and value(i - 1) < value(i):
                     tick += 1
-                    highs.push((-int(value(i - 1)), tick, i - 1))
+                    highs.push((-value(i - 1), tick, i - 1))
         highs.close()
-        return down[::-1]
+        out.shelf.close()
+        return down.array()
 
+    nothing = lambda i: None
     if len(seeds):
-        mark = np.zeros(n, bool)
-        mark[seeds] = True
-        until = dict(zip(seeds.tolist(), np.append(seeds[1:], n).tolist(), strict=True))
-        first_order = [i for i in induce(seeds[np.argsort(names[seeds], kind="stable")]) if mark[i]]
-        name, label, last = {}, -1, None
-        for i in first_order:
-            part = (names[i : until[i] + 1].tobytes(), until[i] == n)
-            label += part != last
-            name[i], last = label, part
-        reduced = np.array([name[i] for i in seeds.tolist()], np.int64)
-        order = np.argsort(reduced) if label + 1 == len(seeds) else suffix_order(reduced, limit)
-        seeds = seeds[order]
-    return np.array(induce(seeds), np.int64)
+        first, kept = Heap(held), _Out(room)
+        for i in _numbers(seeds):
+            first.push((value(i), i, 0))
+
+        def by_letter() -> Iterator[int]:
+            while first.peek() is not None:
+                yield first.pop()[1]
+
+        induce(by_letter(), kept.add)
+        first.close()
+        order = kept.array()[::-1]
+        reduced, label, last = blank(len(seeds), np.int64, room), -1, None
+        for at in blocks(len(order), 4096):
+            number = np.searchsorted(seeds, order[at])
+            for k, i in zip(number.tolist(), order[at].tolist(), strict=True):
+                until = int(seeds[k + 1]) if k + 1 < len(seeds) else n
+                if last is None or not _same(names, i, until, *last):
+                    label += 1
+                reduced[k], last = label, (i, until)
+        if label + 1 < len(seeds):
+            inner = suffix_order(reduced, limit)
+            again = _Out(room)
+            for at in blocks(len(inner), 4096):
+                again.close()
+                again.shelf.append(seeds[inner[at]])
+            order = again.array()
+        return induce(_numbers(order), nothing)[::-1]
+    return induce(iter(()), nothing)[::-1]
+
+
+def _same(names: np.ndarray, i: int, to_i: int, j: int, to_j: int) -> bool:
+    """Whether two leftmost-S substrings, ends included, are equal; one that reaches the end equals none."""
+    if to_i - i != to_j - j or len(names) in (to_i, to_j):
+        return False
+    return all(np.array_equal(names[i + at.start : i + at.stop], names[j + at.start : j + at.stop]) for at in blocks(to_i - i + 1, 4096))
 
 
 def suffix_order(names: np.ndarray, limit: int) -> np.ndarray:
-    return order_in_memory(names) if len(names) <= limit else order_external(names, limit)
+    return order_in_memory(names) if len(names) <= limit * NAMES_PER_TUPLE else order_external(names, limit)
 
 
 class Sorter:
@@ -268,8 +384,10 @@ class Sorter:
     def __init__(self, padded: np.ndarray, limit: int = MEMORY_TUPLES):
         text = padded[:-8]
         self.text, self.limit, self.n = text, limit, len(text)
+        self.room = limit * TUPLE.itemsize
         self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        self.letters = np.flatnonzero(np.bincount(text, minlength=256)) if self.n < 1 << 24 else np.arange(256)
+        self.counts = sum(np.bincount(text[at], minlength=256) for at in blocks(self.n, 1 << 22))
+        self.letters = np.flatnonzero(self.counts)
 
     def _ahead(self, pos: np.ndarray) -> np.ndarray:
         out = np.zeros(len(pos), np.uint64)
@@ -286,22 +404,24 @@ class Sorter:
     def _common(self, a: int, b: int) -> int:
         x, y = self.text[a : a + 255], self.text[b : b + 255]
         m = min(len(x), len(y))
-        differ = np.flatnonzero(x[:m] != y[:m])
-        return int(differ[0]) if len(differ) else m
+        stop = np.flatnonzero((x[:m] != y[:m]) | (x[:m] == 0))
+        return int(stop[0]) if len(stop) else m
 
-    def _equal_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many of the next 8 bytes of two places agree; bytes behind the text count as 0."""
+    def _equal_bytes(self, a: np.ndarray, b: np.ndarray, through: bool) -> np.ndarray:
+        """How many of the next 8 bytes of two places agree, up to the first 0 unless ``through``."""
         x, y = (np.ascontiguousarray(self.words[np.minimum(p, self.n)]).view("<u8")[:, 0] for p in (a, b))
-        x ^= y
-        return np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+        apart = x ^ y
+        if not through:  # marks 0 bytes; a borrow can mark only what lies behind the first
+            apart |= (x - np.uint64(0x0101010101010101)) & ~x & np.uint64(0x8080808080808080)
+        return np.where(apart == 0, 8, np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
 
-    def _common_many(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray | int) -> np.ndarray:
+    def _common_many(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray | int, through: bool = False) -> np.ndarray:
         """Common prefixes of suffix pairs, up to ``stop`` and the end of the text."""
         out = np.zeros(len(a), np.int64)
         stop = np.minimum(stop, self.n - np.maximum(a, b))
         live = np.arange(len(a))
         while len(live):
-            more = self._equal_bytes(a[live] + out[live], b[live] + out[live])
+            more = self._equal_bytes(a[live] + out[live], b[live] + out[live], through)
             out[live] += more
             live = live[(more == 8) & (out[live] < stop[live])]
         return np.minimum(out, stop)
@@ -339,31 +459,30 @@ class Sorter:
                 low[c] = spans[-1]
             queues[c].append(out)
 
-    def _induce(self, seeds: np.ndarray, lcp: np.ndarray | None, visit: Callable[[np.ndarray, np.ndarray], None]) -> None:
-        """From seeds in order: all suffixes in descending order, handed to ``visit`` in blocks with the
-        common prefix of each with the one before it in that order (zeros without ``lcp``)."""
+    def _induce(self, seeds: Callable[[int], Iterator[np.ndarray]], with_lcp: bool, visit: Callable[[np.ndarray, np.ndarray], None], low_s: bool = False) -> None:
+        """From seeds in order (blocks of tuples per first byte): all suffixes in descending order, handed to
+        ``visit`` in blocks with the common prefix of each with the one before it in that order (zeros
+        without ``with_lcp``).  ``low_s``: only leftmost-S suffixes are handed out."""
         spool = Spool(self.limit)
         lows = {int(c): Queue(spool) for c in self.letters}
         highs = {int(c): Queue(spool) for c in self.letters}
-        low = np.full(256, 255, np.uint8) if lcp is not None else None
+        low = np.full(256, 255, np.uint8) if with_lcp else None
         lows[int(self.text[-1])].append(self._tuples(np.array([self.n - 1]), 0))
-        first = self.text[seeds] if len(seeds) else np.zeros(0, np.uint8)
-        bounds = np.searchsorted(first, np.arange(257))
         for c in map(int, self.letters):
             last = None
             for block in lows[c].drain():
-                if last is None and low is not None:
+                if low is not None and (last is None or c == 0):
                     block = block.copy()
-                    block["lcp"][0] = 0
-                    if isinstance(lows[c].parts[0], np.ndarray):
-                        lows[c].parts[0] = block
+                    block["lcp"][: 1 if c else None] = 0
+                    if isinstance(lows[c].parts[lows[c].at], np.ndarray):
+                        lows[c].parts[lows[c].at] = block
                 last = int(block["pos"][-1])
                 self._spread(block, ((block["prev"] & np.uint64(0xFF)) >= c) & (block["pos"] > 0), lows, low)
-            for k in range(bounds[c], bounds[c + 1], self.limit):
-                at = slice(k, min(k + self.limit, bounds[c + 1]))
-                block = self._tuples(seeds[at], 0 if lcp is None else lcp[at])
-                if low is not None and k == bounds[c]:
-                    block["lcp"][0] = 0 if last is None else self._common(last, int(seeds[k]))
+            fresh = True
+            for block in seeds(c):
+                if low is not None and (fresh or c == 0):
+                    block["lcp"][: 1 if c else None] = 0 if last is None or c == 0 else self._common(last, int(block["pos"][0]))
+                fresh = False
                 self._spread(block, np.ones(len(block), bool), lows, low)
         if low is not None:
             low[:] = 255
@@ -372,9 +491,13 @@ class Sorter:
 
             for block in highs[c].drain():
                 block = block.copy()
-                if last is None:
-                    block["lcp"][0] = 0
-                visit(block["pos"], block["lcp"])
+                if last is None or c == 0:
+                    block["lcp"][: 1 if c else None] = 0
+                if low_s:
+                    leftmost = block[((block["prev"] & np.uint64(0xFF)) > c) & (block["pos"] > 0)]
+                    visit(leftmost["pos"], leftmost["lcp"])
+                else:
+                    visit(block["pos"], block["lcp"])
                 last = int(block["pos"][-1])
                 self._spread(block, ((block["prev"] & np.uint64(0xFF)) <= c) & (block["pos"] > 0), highs, low)
             carry, fresh = 0, True
@@ -383,43 +506,80 @@ class Sorter:
                 after = int(part["lcp"][-1])
                 block["lcp"][1:] = part["lcp"][:-1]
                 block["lcp"][0] = (0 if last is None or low is None else self._common(last, int(part["pos"][0]))) if fresh else carry
+                if c == 0:
+                    block["lcp"] = 0
                 carry, fresh = after, False
-                visit(block["pos"], block["lcp"])
+                if not low_s:
+                    visit(block["pos"], block["lcp"])
                 self._spread(block, ((block["prev"] & np.uint64(0xFF)) < c) & (block["pos"] > 0), highs, low)
         spool.close()
 
+    def _by_letter(self, seeds: np.ndarray) -> tuple[Spool, Callable[[int], Iterator[np.ndarray]]]:
+        """Seeds in text order, dealt to one queue per first byte."""
+        spool = Spool(self.limit)
+        queues = {int(c): Queue(spool) for c in self.letters}
+        for at in blocks(len(seeds), self.step):
+            pos = seeds[at]
+            first = self.text[pos]
+            order = np.argsort(first, kind="stable")
+            tuples, bounds = self._tuples(pos[order], 0), np.searchsorted(first[order], np.arange(257))
+            for c in np.flatnonzero(np.diff(bounds)).tolist():
+                queues[c].append(tuples[bounds[c] : bounds[c + 1]])
+        return spool, lambda c: queues[c].drain()
+
+    def _in_order(self, order: np.ndarray) -> Callable[[int], Iterator[np.ndarray]]:
+        """Seeds in suffix order, with the common prefix of each with the one before it."""
+        counts = np.zeros(257, np.int64)
+        for at in blocks(len(order), self.step):
+            counts[1:] += np.bincount(self.text[order[at]], minlength=256)
+        bounds = np.cumsum(counts)
+
+        def of(c: int) -> Iterator[np.ndarray]:
+            for at in blocks(int(bounds[c + 1] - bounds[c]), self.step):
+                lo, hi = bounds[c] + at.start, bounds[c] + at.stop
+                pos = order[lo:hi]
+                lcp = np.zeros(hi - lo, np.uint8)
+                skip = int(lo == 0)
+                lcp[skip:] = self._common_many(order[lo - 1 + skip : hi - 1], pos[skip:], 255)
+                yield self._tuples(pos, lcp)
+
+        return of
+
+    def _name(self, seeds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+        """Names of the leftmost-S substrings in text order, and how many there are."""
+        names, label = blank(len(seeds), np.int64, self.room), -1
+        last_pos, last_length = np.zeros(1, np.int64), np.full(1, -1)
+        for at in blocks(len(order), self.step):
+            pos = order[at]
+            number = np.searchsorted(seeds, pos)
+            after = np.where(number + 1 < len(seeds), seeds[np.minimum(number + 1, len(seeds) - 1)], self.n)
+            length = after + 1 - pos
+            all_pos, all_length = np.append(last_pos, pos), np.append(last_length, length)
+            same = all_length[1:] == all_length[:-1]
+            check = np.flatnonzero(same)
+            same[check] = self._common_many(all_pos[check], all_pos[check + 1], length[check], True) >= length[check]
+            labels = label + np.cumsum(~same)
+            names[number] = labels
+            label, last_pos, last_length = int(labels[-1]), pos[-1:], length[-1:]
+        return names, label + 1
+
+    @property
+    def step(self) -> int:
+        return max(2, min(self.limit // 4, 1 << 18))
+
     def run(self, visit: Callable[[np.ndarray, np.ndarray], None]) -> None:
-        seeds = _leftmost_s(self.text)
-        lcp = np.zeros(0, np.uint8)
+        seeds = leftmost_s(self.text, max(16, min(2 * self.limit, 1 << 22)), self.room)
+        order = seeds
         if len(seeds):
-            found: list[np.ndarray] = []
-            text = self.text
-
-            def leftmost(pos: np.ndarray, _: np.ndarray) -> None:
-                here = pos[pos > 0]
-                found.append(here[mark[here]])
-
-            mark = np.zeros(self.n, bool)
-            mark[seeds] = True
-            self._induce(seeds[np.argsort(text[seeds], kind="stable")], None, leftmost)
-            order = np.concatenate(found)[::-1]
-            del mark, found
-            number = np.searchsorted(seeds, order)
-            length = np.append(seeds[1:], self.n)[number] + 1 - order
-            same = length[1:] == length[:-1]
-            check = np.flatnonzero(same)
-            step = 1 << 18
-            for k in range(0, len(check), step):
-                at = check[k : k + step]
-                same[at] = self._common_many(order[at], order[at + 1], length[at]) >= length[at]
-            label = np.append(0, np.cumsum(~same))
-            names = np.empty(len(seeds), np.int64)
-            names[number] = label
-            if label[-1] + 1 < len(seeds):
-                order = seeds[suffix_order(names, self.limit * NAMES_PER_TUPLE)]
-            seeds = order
-            lcp = np.zeros(len(seeds), np.uint8)
-            for k in range(1, len(seeds), step):
-                b = seeds[k : k + step]
-                lcp[k : k + step] = self._common_many(seeds[k - 1 : k - 1 + len(b)], b, 255)
-        self._induce(seeds, lcp, visit)
+            found = Shelf(np.int64, self.room)
+            spool, dealt = self._by_letter(seeds)
+            self._induce(dealt, False, lambda pos, _: found.append(pos), low_s=True)
+            spool.close()
+            order = found.array()[::-1]
+            names, labels = self._name(seeds, order)
+            if labels < len(seeds):
+                inner, sorted_seeds = suffix_order(names, self.limit), Shelf(np.int64, self.room)
+                for at in blocks(len(inner), self.step):
+                    sorted_seeds.append(seeds[inner[at]])
+                order = sorted_seeds.array()
+        self._induce(self._in_order(order), True, visit)

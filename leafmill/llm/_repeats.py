@@ -3,15 +3,19 @@
 A text is a sequence of units.  Every window of ``window`` units has an *anchor*: the leftmost
 smallest hash among its grams of ``gram`` units (winnowing).  Consecutive windows with one anchor
 form a *run*; equal windows have equal anchors at equal offsets, so a repeat can only be found
-between runs of one anchor.
+between runs of one anchor.  Equal runs form a *class*: its earliest member stands for all, with the
+others counted and listed beside it.
 
-    documents -> runs -> [anchor] runs of repeated anchors -> [id] cut from the text
-              -> [anchor] resolved windows -> [id] spans per document
+    documents -> runs -> [anchor] classes of repeated anchors -> [id] earliest members cut from the text
+              -> [anchor] verdicts on their windows -> [id] windows removed -> [id] spans per document
 
 Brackets are shuffles.  Texts cross the network once (both joins read the same exchange); unique
-anchors, the bulk of a corpus, leave after the first shuffle.  Equal runs are collapsed per Arrow
-batch before the first shuffle and streamed after it, so a passage that a third of all documents
-share costs one row per batch and no group is ever held in memory.
+anchors, the bulk of a corpus, leave after the first shuffle.  Which windows repeat is decided only by
+the operator's method, over the classes' texts: in shards of bounded size, which end between anchors.
+The first member's windows repeat where another class has them earlier (``own``); those of all others
+where the method meets them at all (``again``).  Equal runs of one Arrow batch send one row to the
+anchor; the others follow the verdict on that one, so a passage that a third of all documents share
+costs one row per batch.
 """
 
 from __future__ import annotations
@@ -24,12 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _induced as I
 from . import _text as X
 
-RUNS = "covered boolean, anchor long, ctx long, id long, tag long, start int, n int"
-CUTS = "covered boolean, anchor long, id long, tag long, start int, n int, body binary"
+# place: first window << 32 | whether runs of the batch follow this one << 31 | number of windows; extra: see FOLLOW
+RUNS = "anchor long, ctx long, id long, tag long, place long, extra binary"
+CLASSES = "kind int, anchor long, id long, tag long, start int, n int, many boolean, followed boolean, extra binary"
+CUTS = CLASSES + ", body binary"
+FOUND = "kind int, id long, tag long, start int, n int, extra binary"
 SPANS = "id long, tag long, start int, n int"
 
+#: Kinds of CLASSES rows: earliest member of a class (extra: others), more of its members, and runs that
+#: follow others; of FOUND rows: windows that are removed, windows whose followers are removed, both, followers.
+LEAD, MORE, FOLLOWS = 0, 1, 2
+OWN, AGAIN, BOTH, FOLLOWER = 0, 1, 2, 3
+MEMBER = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("followed", "u1")])
+#: Windows [start, start + n) of a follower equal those from ``at`` on of the leading document.
+FOLLOW = np.dtype([("id", "<i8"), ("tag", "<i8"), ("at", "<i8")])
+#: Members that one row lists, and bytes of text after which a shard ends at the next anchor.
+MEMBERS, SHARD_BYTES = 4_096, 4_000_000
 
 #: Stated wherever rows are joined by key, so that inner and outer joins read the same exchange.
 USABLE = "id is not null and tag is not null"
@@ -87,13 +104,26 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[last] - doc[at] * wide
 
 
-def _table(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, schema, strict=True)], names=[k for k, _ in schema])
+def _table(schema: str, *columns) -> pa.RecordBatch:
+    """A batch of a schema given as text; no column or a None stands for nulls."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*((k, kinds[t]) for k, t in (c.split(" ") for c in schema.split(", "))), strict=True)
+    n = len(next(c for c in columns if c is not None))
+    arrays = [pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip((*columns, *[None] * (len(types) - len(columns))), types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-_RUNS = [("covered", pa.bool_()), ("anchor", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
-_CUTS = [("covered", pa.bool_()), ("anchor", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("body", pa.binary())]
-_SPANS = [("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
+def _records(rows: np.ndarray) -> pa.Array:
+    """One binary value per structured row."""
+    return X.binary_column(np.frombuffer(rows.tobytes(), np.uint8), rows.dtype.itemsize * np.arange(1, len(rows) + 1))
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    return X.mix(ids.astype(np.uint64)).view(np.int64)
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
 def runs_of(values: np.ndarray, first: np.ndarray, window: int, gram: int):
@@ -133,68 +163,122 @@ def _emit_runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             doc, start, n, anchor, ctx = (x[order] for x in (doc, start, n, anchor, ctx))
             head = np.append(True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1]))[: len(doc)]
             lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(doc) else doc
-            cover = ~head if unit.within else ids[doc] != ids[doc[lead]]
-            d, s, e = merged(doc[cover], start[cover], start[cover] + n[cover] + unit.window - 1)
-            yield _table(_RUNS, np.ones(len(d), bool), X.mix(ids[d].astype(np.uint64)).view(np.int64), np.zeros(len(d), np.int64), ids[d], tags[d], s, e - s)
-            k = ~cover
-            yield _table(_RUNS, np.zeros(int(k.sum()), bool), anchor[k].view(np.int64), ctx[k].view(np.int64), ids[doc[k]], tags[doc[k]], start[k], n[k])
+            follows = ~head if unit.within else ids[doc] != ids[doc[lead]]
+            d, s, m, l_doc, l_at = _chains(doc[follows], start[follows], n[follows], doc[lead[follows]], start[lead[follows]])
+            extra = np.empty(len(d), FOLLOW)
+            extra["id"], extra["tag"], extra["at"] = ids[l_doc], tags[l_doc], l_at
+            if len(d):
+                yield _table(RUNS, _spread(ids[d]), np.zeros(len(d), np.int64), ids[d], tags[d], s << 32 | m, _records(extra))
+            followed = np.zeros(len(doc), np.int64)
+            followed[lead[follows]] = 1
+            k = ~follows
+            yield _table(RUNS, anchor[k].view(np.int64), ctx[k].view(np.int64), ids[doc[k]], tags[doc[k]], start[k] << 32 | followed[k] << 31 | n[k])
 
     return emit
 
 
-def _repeated_runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by (covered, anchor, ctx, id, tag, start): covered units, and the runs whose anchor has several contexts."""
+def _chains(doc: np.ndarray, start: np.ndarray, n: np.ndarray, lead: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Consecutive runs that follow consecutive runs of one other text, joined."""
+    order = np.lexsort((start, doc))
+    doc, start, n, lead, at = (x[order] for x in (doc, start, n, lead, at))
+    goes_on = (doc[1:] == doc[:-1]) & (lead[1:] == lead[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (at[1:] == at[:-1] + n[:-1])
+    head = np.flatnonzero(np.append(True, ~goes_on)[: len(doc)])
+    total = np.append(0, np.cumsum(n))
+    return doc[head], start[head], total[np.append(head[1:], len(doc))] - total[head] if len(doc) else n, lead[head], at[head]
+
+
+def _classes(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of runs sorted by (anchor, ctx, id, tag, place): classes of anchors that occur more than once.
+
+    The last class waits for the next batch, as the first row of it.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_anchor = last_ctx = lead_id = None
-        waiting: list[tuple] = []  # runs of the first context of the last anchor
-        several = False  # that anchor has further contexts
+        wait: tuple | None = None  # anchor, ctx, id, tag, place, many, several contexts, listed members
         for batch in batches:
-            cov, anchor, ctx, ids, tags, start, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            if cov.any():
-                yield _table(_RUNS, cov[cov], anchor[cov], ctx[cov], ids[cov], tags[cov], start[cov], n[cov])
-                anchor, ctx, ids, tags, start, n = (x[~cov] for x in (anchor, ctx, ids, tags, start, n))
-            m = len(anchor)
-            if m == 0:
+            plain = batch.column(5).is_null().to_numpy(zero_copy_only=False)
+            if not plain.all():
+                rest = batch.filter(pa.array(~plain))
+                anchor, ids, tags, place = _columns(rest, "anchor", "id", "tag", "place")
+                no = np.zeros(len(ids), bool)
+                yield _table(CLASSES, np.full(len(ids), FOLLOWS), anchor, ids, tags, place >> 32, place & 0xFFFFFFFF, no, no, rest.column(5))
+                batch = batch.filter(pa.array(plain))
+            anchor, ctx, ids, tags, place = _columns(batch, "anchor", "ctx", "id", "tag", "place")
+            if len(anchor) == 0:
                 continue
-            new_a = np.append(last_anchor is None or anchor[0] != last_anchor, anchor[1:] != anchor[:-1])
-            new_c = new_a | np.append(last_ctx is None or ctx[0] != last_ctx, ctx[1:] != ctx[:-1])
+            if wait is not None:
+                anchor, ctx, ids, tags, place = (np.append(w, x) for w, x in zip(wait[:5], (anchor, ctx, ids, tags, place), strict=True))
+            new_a = np.append(True, anchor[1:] != anchor[:-1])
+            new_c = new_a | np.append(True, ctx[1:] != ctx[:-1])
             heads = np.flatnonzero(new_c)
-            which = np.cumsum(new_c) - 1
-            lead = np.where(which >= 0, ids[heads[np.maximum(which, 0)]] if len(heads) else ids, lead_id if lead_id is not None else 0)
-            cover = ~new_c if unit.within else ids != lead
-            group = np.cumsum(new_a)  # 0: goes on from the last batch
-            more = np.zeros(int(group[-1]) + 1, bool)
-            more[group[new_c & ~new_a]] = True
-            if waiting and (more[0] or group[0] == 1):
-                if more[0]:
-                    yield _table(_RUNS, *(np.array(x) for x in zip(*waiting, strict=True)))
-                waiting = []
-            more[0] |= several
-            keep = ~cover & more[group]
-            out = cover | keep
-            d = n + unit.window - 1
-            yield _table(_RUNS, cover[out], anchor[out], ctx[out], ids[out], tags[out], start[out], np.where(cover, d, n)[out])
-            tail = ~cover & (group == group[-1])
-            if not more[-1]:
-                waiting += list(zip(np.zeros(int(tail.sum()), bool), anchor[tail], ctx[tail], ids[tail], tags[tail], start[tail], n[tail], strict=True))
-            several = bool(more[-1])
-            last_anchor, last_ctx, lead_id = anchor[-1], ctx[-1], lead[-1]
+            which, group = np.cumsum(new_c) - 1, np.cumsum(new_a) - 1
+            other = ~new_c & (unit.within | (ids != ids[heads[which]]))
+            many = np.logical_or.reduceat(other | (place >> 31 & 1 > 0), heads)
+            several = np.bincount(group[heads]) > 1
+            listed = MEMBER_NONE
+            if wait is not None:
+                many[0] |= wait[5]
+                several[0] |= wait[6]
+                listed = wait[7]
+            members = np.flatnonzero(~new_c)
+            records = np.empty(len(members), MEMBER)
+            records["id"], records["tag"], records["start"], records["followed"] = ids[members], tags[members], place[members] >> 32, place[members] >> 31 & 1
+            records = np.concatenate([listed, records])
+            of = np.concatenate([np.zeros(len(listed), np.int64), which[members]])
+            bounds = np.searchsorted(of, np.arange(len(heads) + 1))
+            done = many | several[group[heads]]
+            done[-1] = False
+            full = bounds[-1] - bounds[-2] >= MEMBERS  # of the class that waits: what it lists leaves
+            yield from _class_rows(heads[done], anchor, ids, tags, place, many[done], records, bounds[:-1][done], bounds[1:][done], LEAD)
+            h = heads[-1:]
+            if full:
+                several[-1] = True  # its first row must come, too
+                yield from _class_rows(h, anchor, ids, tags, place, many[-1:], records, bounds[-2:-1], bounds[-1:], MORE)
+            left = MEMBER_NONE if full else records[bounds[-2] :]
+            wait = (anchor[h[0]], ctx[h[0]], ids[h[0]], tags[h[0]], place[h[0]], many[-1], several[-1], left)
+        if wait is not None and (wait[5] or wait[6]):
+            h = np.zeros(1, np.int64)
+            yield from _class_rows(h, *(np.array([w]) for w in (wait[0], *wait[2:5])), np.array([wait[5]]), wait[7], h, np.array([len(wait[7])]), LEAD)
 
     return stream
 
 
+MEMBER_NONE = np.zeros(0, MEMBER)
+
+
+def _class_rows(heads, anchor, ids, tags, place, many, records, lo, hi, kind) -> Iterator[pa.RecordBatch]:
+    """One row per class, and further ones for members beyond what a row lists."""
+    size = MEMBER.itemsize
+    raw = np.frombuffer(records.tobytes(), np.uint8)
+    rows = np.maximum(1, -(-(hi - lo) // MEMBERS))
+    which = np.repeat(np.arange(len(heads)), rows)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)
+    a = lo[which] + turn * MEMBERS
+    b = np.minimum(a + MEMBERS, hi[which])
+    extra = X.binary_column(raw[X.gather_ranges(a * size, (b - a) * size)], np.cumsum((b - a) * size))
+    h = heads[which]
+    if len(h):
+        yield _table(CLASSES, np.where(turn == 0, kind, MORE), anchor[h], ids[h], tags[h], place[h] >> 32, place[h] & 0x7FFFFFFF, many[which], (place[h] >> 31 & 1).astype(bool), extra)
+
+
 def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the text of every class, from its earliest member."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             lists = batch.column(3)
-            rows, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            cov, anchor, start, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            doc = np.searchsorted(ends, np.arange(len(cov)), "right")
-            d, a, b = merged(doc[cov], start[cov], start[cov] + n[cov])
-            yield _table(_CUTS, np.ones(len(d), bool), X.mix(ids[d].astype(np.uint64)).view(np.int64), ids[d], tags[d], a, b - a, pa.nulls(len(d), pa.binary()))
-            todo = np.flatnonzero(~cov)
+            rows = lists.flatten()
+            doc = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            kind, anchor, start, n, many, followed = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "anchor", "start", "n", "many", "followed"))
+            extra = rows.field("extra")
+
+            def out(at: np.ndarray, body: pa.Array | None) -> pa.RecordBatch:
+                return _table(CUTS, kind[at], anchor[at], ids[doc[at]], tags[doc[at]], start[at], n[at], many[at], followed[at], extra.take(pa.array(at)), body)
+
+            if len(rest := np.flatnonzero(kind != LEAD)):
+                yield out(rest, None)
+            todo = np.flatnonzero(kind == LEAD)
             for lo, hi, data, offsets in X.chunks(batch.column(2)):
                 mine = todo[(doc[todo] >= lo) & (doc[todo] < hi)]
                 _, starts, stops, first = unit.values(data, offsets)
@@ -204,44 +288,189 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 for k in range(0, len(mine), step):
                     at, part = mine[k : k + step], slice(k, k + step)
                     size = b[part] - a[part]
-                    body = X.binary_column(data[X.gather_ranges(a[part], size)], np.cumsum(size))
-                    yield _table(_CUTS, np.zeros(len(at), bool), anchor[at], ids[doc[at]], tags[doc[at]], start[at], n[at], body)
+                    yield out(at, X.binary_column(data[X.gather_ranges(a[part], size)], np.cumsum(size)))
 
     return cut
 
 
-def repeated_spans(search: DataFrame, unit: Unit, resolve: Callable, order: tuple[str, ...]) -> DataFrame:
-    """Spans (id, tag, start, n) in units that repeat what stands earlier.
-
-    ``resolve`` maps an iterator of batches of CUTS rows without ``covered`` ones, sorted by ``order``
-    and with whole anchors in one partition, to batches of SPANS rows.
-    """
+KEY = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("n", "<i4"), ("base", "<i8"), ("group", "<i8"), ("many", "u1"), ("followed", "u1")])
+
+
+class Shard:
+    """Classes of whole anchors: their texts, each with a 0 byte behind it and all others one up, keys and members."""
+
+    def __init__(self, room: int):
+        self.text, self.keys = I.Shelf(np.uint8, room), I.Shelf(KEY, room)
+        self.members = I.Shelf(np.dtype([("piece", "<i8"), ("m", MEMBER)]), room)
+        self.groups, self.anchor = 0, None
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        kind, anchor, ids, tags, start, n, many, followed = _columns(rows, *(c.split(" ")[0] for c in CLASSES.split(", ")[:-1]))
+        new = np.append(self.anchor is None or anchor[0] != self.anchor, anchor[1:] != anchor[:-1])
+        group = self.groups - 1 + np.cumsum(new)
+        self.groups, self.anchor = int(group[-1]) + 1, anchor[-1]
+        lead = kind == LEAD
+        at = np.flatnonzero(lead)
+        piece = self.keys.size + np.cumsum(lead) - 1
+        data, offsets = X.packed(rows.column("body").filter(pa.array(lead)))
+        keys = np.empty(len(at), KEY)
+        for name, x in (("id", ids), ("tag", tags), ("start", start), ("n", n), ("group", group), ("many", many), ("followed", followed)):
+            keys[name] = x[at]
+        keys["base"] = self.text.size + offsets[:-1] + np.arange(len(at))
+        text = np.zeros(len(data) + len(at), np.uint8)
+        text[np.arange(len(data)) + np.repeat(np.arange(len(at)), np.diff(offsets))] = data + np.uint8(1)
+        self.text.append(text)
+        self.keys.append(keys)
+        raw, ends = X.packed(rows.column("extra"))
+        count = np.diff(ends) // MEMBER.itemsize
+        members = np.empty(int(count.sum()), self.members.kind)
+        members["piece"], members["m"] = np.repeat(piece, count), np.frombuffer(raw.tobytes(), MEMBER)
+        self.members.append(members)
+
+    def close(self) -> None:
+        for shelf in (self.text, self.keys, self.members):
+            shelf.close()
+
+
+def _intervals(row: np.ndarray, offset: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hit windows: row, start and length; rows and offsets come in order."""
+    row, offset = row[hit], offset[hit]
+    head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(row)])
+    return row[head], offset[head], np.diff(np.append(head, len(row)))
+
+
+def _verdicts(shard: Shard, base: np.ndarray, verdict: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
+    """FOUND rows of a shard.  ``verdict[base of a class + window]``: bit 0 own, bit 1 again."""
+    keys, members = shard.keys.array(), shard.members.array()
+    step = 4_000
+    for part in I.blocks(len(keys), step):
+        k = np.array(keys[part])
+        n = k["n"].astype(np.int64)
+        v = verdict[X.gather_ranges(base[part], n)]
+        row = np.repeat(np.arange(len(k)), n)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        own, again = (_intervals(row, offset, v & bit > 0) for bit in (1, 2))
+        yield _table(FOUND, np.full(len(own[0]), OWN), k["id"][own[0]], k["tag"][own[0]], k["start"][own[0]] + own[1], own[2])
+        f = k["followed"][again[0]] > 0
+        yield _table(FOUND, np.full(int(f.sum()), AGAIN), *(x[f] for x in (k["id"][again[0]], k["tag"][again[0]], k["start"][again[0]] + again[1], again[2])))
+        lo, hi = np.searchsorted(members["piece"], [part.start, part.stop])
+        for some in I.blocks(int(hi - lo), 50_000):
+            m = np.array(members[lo + some.start : lo + some.stop])
+            p, m = m["piece"] - part.start, m["m"]
+            same = np.zeros(len(m), bool) if within else m["id"] == k["id"][p]
+            for which, use, kinds in ((same, own, (OWN, OWN)), (~same, again, (OWN, BOTH)), (same & (m["followed"] > 0), again, (AGAIN, AGAIN))):
+                bounds = np.searchsorted(use[0], np.arange(len(k) + 1))
+                who = np.flatnonzero(which)
+                count = bounds[p[who] + 1] - bounds[p[who]]
+                i, who = X.gather_ranges(bounds[p[who]], count), np.repeat(who, count)
+                if len(who):
+                    yield _table(FOUND, np.array(kinds)[m["followed"][who]], m["id"][who], m["tag"][who], m["start"][who] + use[1][i], use[2][i])
+
+
+Judge = Callable[[Shard], tuple[np.ndarray, np.ndarray]]
+
+
+def _resolve(judge: Judge, within: bool, shard_bytes: int, room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of CUTS sorted by (anchor, id, tag, start, kind): FOUND rows, shard by shard."""
+
+    def closed(shard: Shard) -> Iterator[pa.RecordBatch]:
+        if shard.keys.size:
+            yield from _verdicts(shard, *judge(shard), within)
+        shard.close()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(room)
+        for batch in batches:
+            follows = batch.column("kind").to_numpy(zero_copy_only=False) == FOLLOWS
+            if follows.any():
+                rest = batch.filter(pa.array(follows))
+                extra = np.frombuffer(X.packed(rest.column("extra"))[0].tobytes(), FOLLOW)
+                ids, tags, start, n = _columns(rest, "id", "tag", "start", "n")
+                own = np.empty(len(ids), FOLLOW)  # the row goes to the document that leads, and says who follows
+                own["id"], own["tag"], own["at"] = ids, tags, start
+                yield _table(FOUND, np.full(len(ids), FOLLOWER), extra["id"], extra["tag"], extra["at"], n, _records(own))
+                batch = batch.filter(pa.array(~follows))
+            for lo, hi, _, _ in X.chunks(batch.column("body")):
+                rows = batch.slice(lo, hi - lo)
+                if shard.text.size >= shard_bytes:
+                    old = rows.column("anchor").to_numpy(zero_copy_only=False) == shard.anchor
+                    same = int(np.argmin(old)) if not old.all() else len(old)
+                    if same:
+                        shard.add(rows.slice(0, same))
+                    if same < len(old):
+                        yield from closed(shard)
+                        shard, rows = Shard(room), rows.slice(same)
+                    else:
+                        continue
+                shard.add(rows)
+        yield from closed(shard)
+
+    return resolve
+
+
+def _settle(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of FOUND rows sorted by (id, tag): spans of units, those of followers included."""
+
+    def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, tags = _columns(batch, "id", "tag")
+            last = np.flatnonzero((ids != ids[-1]) | (tags != tags[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (cut or held[-1].column("id")[-1].as_py() != int(ids[0]) or held[-1].column("tag")[-1].as_py() != int(tags[0])):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield pa.Table.from_batches(held)
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_documents(batches):
+            kind, ids, tags, start, n = (rows.column(k).to_numpy() for k in range(5))
+            start, n = start.astype(np.int64), n.astype(np.int64)
+            doc = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) - 1
+            head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            own = (kind == OWN) | (kind == BOTH)
+            d, s, e = merged(doc[own], start[own], start[own] + n[own] + window - 1)
+            yield _table(SPANS, ids[head][d], tags[head][d], s, e - s)
+            again, follows = (kind == AGAIN) | (kind == BOTH), np.flatnonzero(kind == FOLLOWER)
+            if len(follows) == 0:
+                continue
+            d, s, e = merged(doc[again], start[again], start[again] + n[again])
+            wide = int(max((start + n).max(), 1)) + 2
+            lo = np.searchsorted(d * wide + e, doc[follows] * wide + start[follows], "right")
+            hi = np.searchsorted(d * wide + s, doc[follows] * wide + start[follows] + n[follows], "left")
+            count = np.maximum(hi - lo, 0)
+            at, who = X.gather_ranges(lo, count), np.repeat(np.arange(len(follows)), count)
+            extra = np.frombuffer(X.packed(rows.column("extra").combine_chunks().take(pa.array(follows)))[0].tobytes(), FOLLOW)[who]
+            f = follows[who]
+            a, b = np.maximum(s[at], start[f]), np.minimum(e[at], start[f] + n[f])
+            yield _table(SPANS, extra["id"], extra["tag"], extra["at"] + a - start[f], b - a + window - 1)
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[pa.RecordBatch] = []
+    return settle
 
-        def todo() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cov = batch.column(0).to_numpy(zero_copy_only=False)
-                if cov.any():
-                    done.append(batch.filter(batch.column(0)).select(["id", "tag", "start", "n"]))
-                if not cov.all():
-                    yield batch.filter(pa.array(~cov))
 
-        for out in resolve(todo()):
-            yield from done
-            done.clear()
-            yield out
-        yield from done
+def repeated_spans(search: DataFrame, unit: Unit, judge: Judge, shard_bytes: int = SHARD_BYTES, room: int = 4 * SHARD_BYTES) -> DataFrame:
+    """Spans (id, tag, start, n) in units that repeat what stands earlier.
 
+    ``judge`` gives the verdicts on a shard (see :func:`_verdicts`).  A shard ends at the first anchor after
+    ``shard_bytes`` bytes of text, and holds ``room`` bytes of a kind in memory.
+    """
+    # a number of its own: adaptive execution must not join partitions that the method works on for long
+    shards = int(search.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = search.mapInArrow(X.tidy(_emit_runs(unit)), RUNS)
-    runs = runs.repartition("anchor").sortWithinPartitions("covered", "anchor", "ctx", "id", "tag", "start").mapInArrow(X.tidy(_repeated_runs(unit)), RUNS)
-    per_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("covered", "anchor", "start", "n")).alias("runs"))
+    runs = runs.repartition("anchor").sortWithinPartitions("anchor", "ctx", "id", "tag", "place").mapInArrow(X.tidy(_classes(unit)), CLASSES)
+    per_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("kind", "anchor", "start", "n", "many", "followed", "extra")).alias("runs"))
     cuts = search.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(X.tidy(_cut(unit)), CUTS)
-    # a number of its own: shards stay as small as the session's partitions are meant to be
-    shards = int(search.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = cuts.repartition(shards, "anchor").sortWithinPartitions("covered", *order)
-    return cuts.mapInArrow(X.tidy(last), SPANS)
+    cuts = cuts.repartition(shards, "anchor").sortWithinPartitions("anchor", "id", "tag", "start", "kind")
+    found = cuts.mapInArrow(X.tidy(_resolve(judge, unit.within, shard_bytes, room)), FOUND)
+    return found.repartition("id", "tag").sortWithinPartitions("id", "tag").mapInArrow(X.tidy(_settle(unit.window)), SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

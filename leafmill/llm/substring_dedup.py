@@ -1,15 +1,17 @@
 """Substring dedup by seed and extend, on words.
 
 Seeds are winnowed anchors of 18 words: any window of 50 words contains one, chosen by content
-alone.  Occurrences of a seed meet by a shuffle on its hash and are extended both ways together: a
-window that holds the seed is identified by what the extension to its left and right reads, so all
-occurrences with one extension form a class and no pairs are made.  Neighbouring repeated windows
-join into maximal repeats, which are at least one window long by construction.
+alone.  Occurrences of a seed meet by a shuffle on its hash and are extended both ways together, word
+by word: occurrences that read the same words so far form a class, which splits where words differ, and
+one that is left alone stops.  A window repeats where its seed's extensions to the left and to the
+right, as long as the window needs, share their classes with an occurrence in an earlier document.
+Neighbouring repeated windows join into maximal repeats, which are at least one window long by
+construction.
 
 Defined results
 ---------------
 * null or empty text: no words, nothing removed; fewer words than a window: nothing removed;
-* very long texts are read whole, in Arrow batches; word hashes have 64 bits, windows 128;
+* very long texts are read whole, in Arrow batches; word hashes have 64 bits, identities of runs 128;
 * ties: a window is removed only if its words start in a document with a *smaller* id, so
   repetitions inside one document, and documents with equal ids, do not remove each other;
 * repeated rows (same id and text) count as one document and get equal results;
@@ -32,35 +34,78 @@ SEED_WORDS = 18
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string"
 
 
-def _resolver(window: int):
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, owner = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for lo, hi, data, offsets in X.chunks(batch.column(6)):
-                anchor, ids, tags, start, n = (batch.column(k).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for k in range(1, 6))
-                values, _, _, first = R.word_values(data, offsets)
-                row = np.repeat(np.arange(hi - lo), n)
-                s = X.gather_ranges(first[:-1], n)
-                # the extension read from the seed: both sides at once, and where the seed stands in it
-                at = np.arange(max(0, len(values) - SEED_WORDS + 1))
-                seed = X.window_minimum(X.ranges_hash(values, at, at + SEED_WORDS), window - SEED_WORDS + 1)[s] - s
-                key = X.ranges_hash(values, s, s + window, 2) ^ X.mix(anchor[row].view(np.uint64) + seed.astype(np.uint64))
-                all_key, all_id = np.concatenate([seen, key]), np.concatenate([owner, ids[row]])
-                order = np.lexsort((all_id, all_key))
-                k, i = all_key[order], all_id[order]
-                head = np.append(True, k[1:] != k[:-1])
-                least = np.empty(len(k), np.int64)
-                least[order] = i[head][np.cumsum(head) - 1]
-                cover = ids[row] > least[len(seen) :]
-                d, a, b = R.merged(row[cover], (start[row] + s - first[row])[cover], (start[row] + s - first[row])[cover] + window)
-                yield R._table(R._SPANS, ids[d], tags[d], a, b - a)
-                # the anchor may go on in the next batch
-                goes_on = anchor[row] == anchor[-1]
-                keep = np.append(np.full(len(seen), bool(last == anchor[-1])), goes_on)
-                least_order = order[head & keep[order]]
-                seen, owner, last = all_key[least_order], all_id[least_order], anchor[-1]
-
-    return resolve
+def _words_of(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a shard's texts, and the first word of each (one more at the end)."""
+    table = X.space_class()
+    table[0xFF] = False  # what ends a text, one down
+    values, first, lo = [], [np.zeros(1, np.int64)], 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + X.CHUNK_BYTES, "right")) - 1)
+        data = text[bounds[lo] : bounds[hi]] - np.uint8(1)
+        starts, ends, at = X.word_bounds(data, bounds[lo : hi + 1] - bounds[lo], table)
+        values.append(X.bytes_hash(data, starts, ends))
+        first.append(first[-1][-1] + at[1:])
+        lo = hi
+    return np.concatenate(values), np.concatenate(first)
+
+
+def _refined(classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of the classes of (class, word)."""
+    order = np.lexsort((words, classes))
+    c, w = classes[order], words[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.append(False, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(order)])
+    return out
+
+
+def _extended(values: np.ndarray, seed: np.ndarray, room: np.ndarray, group: np.ndarray, kept: np.ndarray, step: int, most: int) -> list[np.ndarray]:
+    """Class of every occurrence after 0, 1, ... ``most`` words of extension in one direction, -1 where it
+    has ended: its text is over, or it is alone in its class and no copy hangs on it (``kept``)."""
+    out = [group]
+    live, classes = np.arange(len(seed)), group
+    for k in range(1, most + 1):
+        further = room[live] >= k
+        live, classes = live[further], classes[further]
+        classes = _refined(classes, values[seed[live] + step * k])
+        stays = (np.bincount(classes, minlength=1)[classes] > 1) | kept[live]
+        live, classes = live[stays], classes[stays]
+        now = np.full(len(seed), -1)
+        now[live] = classes
+        out.append(now)
+    return out
+
+
+def _judge(window: int) -> R.Judge:
+    """Extends all occurrences of every seed together, word by word to the left and to the right.
+
+    A window with ``k`` words on the left of its seed repeats if another occurrence, in a document with a
+    smaller id, shares the class after ``k`` words to the left and that after the rest to the right.
+    """
+    rest = window - SEED_WORDS
+
+    def judge(shard: R.Shard) -> tuple[np.ndarray, np.ndarray]:
+        text, keys = shard.text.array(), np.array(shard.keys.array())
+        values, first = _words_of(text, np.append(keys["base"], len(text)))
+        at = np.arange(max(0, len(values) - SEED_WORDS + 1))
+        grams = X.ranges_hash(values, at, at + SEED_WORDS)
+        seed = X.window_minimum(grams, rest + 1)[first[:-1]]
+        n, many = keys["n"].astype(np.int64), keys["many"] > 0
+        before = seed - first[:-1]
+        left = _extended(values, seed, before, keys["group"], many, -1, rest)
+        right = _extended(values, seed + SEED_WORDS - 1, first[1:] - seed - SEED_WORDS, keys["group"], many, 1, rest)
+        base = np.cumsum(n) - n
+        verdict = np.zeros(int(n.sum()), np.uint8)
+        for k in range(rest + 1):
+            who = np.flatnonzero((left[k] >= 0) & (right[rest - k] >= 0) & (before >= k) & (before - k < n))
+            a, b, ids = left[k][who], right[rest - k][who], keys["id"][who]
+            order = np.lexsort((ids, b, a))
+            a, b, ids, who = a[order], b[order], ids[order], who[order]
+            head = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+            own = ids > ids[head][np.cumsum(head) - 1] if len(a) else head
+            verdict[base[who] + before[who] - k] = own + 2 * many[who]
+        return base, verdict
+
+    return judge
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,5 +143,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < SEED_WORDS:
         raise ValueError(f"window must be at least {SEED_WORDS} words")
     rows, search = R.keyed(docs, id_col, text_col)
-    spans = R.repeated_spans(search, R.Unit(window, SEED_WORDS, R.word_values, within=False), _resolver(window), ("anchor", "id", "tag", "start"))
+    spans = R.repeated_spans(search, R.Unit(window, SEED_WORDS, R.word_values, within=False), _judge(window))
     return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)

@@ -1,10 +1,14 @@
 """Suffix-array dedup by external induced sorting, on bytes.
 
 Every shard gets stretches of text around byte anchors that occur more than once, so shards are
-independent and unique text never reaches one.  A shard is written to scratch disk, its suffixes are
-sorted with their common-prefix values by :class:`leafmill.llm._induced.Sorter`, and neighbours that
-share ``window`` bytes form groups; all members but the earliest are repeats.  Sort order and values
-stream by; what stays in memory per byte of the shard is one mark, besides the sorter's seeds.
+independent and unique text never reaches one; a stretch that occurs several times stands there once,
+with its count.  A shard's suffixes are sorted with their common-prefix values by
+:class:`leafmill.llm._induced.Sorter`, and neighbours that share ``window`` bytes form groups.  Every
+removed byte lies in a string of such a group: of its places all but the earliest are repeats, and all
+copies but the first of a counted stretch.
+
+A shard ends at the first anchor beyond 4 MB of text.  One anchor's stretches can make a larger one: text,
+tuples, positions, names and verdicts of a shard are scratch files beyond ``memory_tuples`` tuples.
 
 Defined results
 ---------------
@@ -20,7 +24,6 @@ Defined results
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,74 +34,50 @@ from . import _induced as I
 from . import _repeats as R
 from . import _text as X
 
-GRAM_BYTES = 32
+GRAM_BYTES = 20
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+#: Bits of a verdict: the window repeats an earlier one, its copies repeat it, its stretch has copies.
+OWN, AGAIN, COPIED = 1, 2, 4
 
 
 class Groups:
-    """Marks all window starts but the first in text order of every group of equal windows."""
+    """Verdicts on windows from suffixes in order: all places but the first in text order of every group of
+    equal windows repeat, and so do the copies of every place that the order holds."""
 
-    def __init__(self, base: np.ndarray, n: np.ndarray, window: int, size: int):
-        self.window = window
-        self.covered = np.zeros(size, bool)
-        self.starts = np.zeros(size, bool)
-        self.starts[X.gather_ranges(base, n)] = True
-        self.first = -1  # earliest start of the group that may go on
+    def __init__(self, verdict: np.ndarray, window: int):
+        self.verdict, self.window = verdict, window
+        self.first = -1  # earliest place of the group that may go on
 
     def visit(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        if len(pos) == 0:
+            return
         new = lcp < self.window
-        valid = self.starts[pos]
-        group = np.cumsum(new)
-        if group[0] == 1:
-            self.first = -1
-        never = np.iinfo(np.int64).max
-        starts = np.where(valid, pos, never)
         heads = np.flatnonzero(np.append(True, new[1:]))
-        least = np.minimum.reduceat(starts, heads)
-        if self.first >= 0:
-            if least[0] != never:
-                self.covered[max(self.first, least[0])] = True
-            least[0] = min(least[0], self.first)
-        own = least[np.cumsum(np.append(False, new[1:]))]
-        self.covered[pos[valid & (pos != own)]] = True
-        self.first = int(least[-1]) if least[-1] != never else -1
-
-
-def _resolver(window: int, limit: int):
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile(dir=I.scratch_dir()) as file:
-            keys: list[tuple[np.ndarray, ...]] = []
-            total = 0
-            for batch in batches:
-                data, offsets = X.packed(batch.column(6))
-                count = len(offsets) - 1
-                out = np.zeros(len(data) + count, np.uint8)
-                shift = np.repeat(np.arange(count), np.diff(offsets))
-                out[np.arange(len(data)) + shift] = data + np.uint8(1)
-                file.write(out.tobytes())
-                ids, tags, start, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 6))
-                keys.append((ids, tags, start, n, total + offsets[:-1] + np.arange(count)))
-                total += len(out)
-            if not keys:
-                return
-            file.write(bytes(8))
-            file.flush()
-            text = np.memmap(file, np.uint8, "r", shape=(total + 8,))
-            if total <= limit * I.TUPLE.itemsize:
-                text = np.array(text)
-            ids, tags, start, n, base = (np.concatenate(x) for x in zip(*keys, strict=True))
-            groups = Groups(base, n.astype(np.int64), window, total)
-            I.Sorter(text, limit).run(groups.visit)
-            for k in range(0, len(base), 50_000):
-                part = slice(k, k + 50_000)
-                row = np.repeat(np.arange(len(base[part])), n[part])
-                at = X.gather_ranges(base[part], n[part].astype(np.int64))
-                hit = groups.covered[at]
-                row, offset = row[hit], (at - base[part][row])[hit]
-                d, s, e = R.merged(row, start[part][row] + offset, start[part][row] + offset + window)
-                yield R._table(R._SPANS, ids[part][d], tags[part][d], s, e - s)
-
-    return resolve
+        least = np.minimum.reduceat(pos, heads)
+        bits = self.verdict[pos]
+        bits |= bits >> 1 & AGAIN
+        if self.first >= 0 and not new[0]:
+            least[0], later = min(least[0], self.first), max(least[0], self.first)
+            if later == self.first:
+                self.verdict[later] |= OWN
+        bits[pos != least[np.cumsum(np.append(False, new[1:]))]] |= OWN
+        self.verdict[pos] = bits
+        self.first = int(least[-1])
+
+
+def _judge(window: int, limit: int) -> R.Judge:
+    def judge(shard: R.Shard) -> tuple[np.ndarray, np.ndarray]:
+        shard.text.append(np.zeros(8, np.uint8))
+        text, keys = shard.text.array(), shard.keys.array()
+        verdict = I.blank(len(text), np.uint8, limit * I.TUPLE.itemsize)
+        for at in I.blocks(len(keys), 4_000):
+            k = np.array(keys[at])
+            k = k[k["many"] > 0]
+            verdict[X.gather_ranges(k["base"], k["n"].astype(np.int64))] = COPIED
+        I.Sorter(text, limit).run(Groups(verdict, window).visit)
+        return keys["base"], verdict
+
+    return judge
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +99,16 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), spans, body], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, memory_tuples: int = I.MEMORY_TUPLES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, memory_tuples: int = I.MEMORY_TUPLES, shard_bytes: int = R.SHARD_BYTES) -> DataFrame:
     """Removes every byte covered by a ``window``-byte string that also starts earlier.
 
     Returns doc_id, n_bytes, n_removed, spans (removed byte ranges, end exclusive, sorted and
     disjoint) and kept (the remaining bytes).  ``window`` may be 40 to 250; ``memory_tuples`` bounds what
-    a shard's queues hold before they spill.
+    a shard's queues hold before they spill, ``shard_bytes`` the text of a shard up to its last anchor.
     """
     if not GRAM_BYTES + 8 <= window <= 250:
         raise ValueError("window must be 40 to 250 bytes")
     rows, search = R.keyed(docs, id_col, text_col)
-    spans = R.repeated_spans(search, R.Unit(window, GRAM_BYTES, R.byte_values, within=True), _resolver(window, memory_tuples), ("id", "tag", "start"))
+    unit = R.Unit(window, GRAM_BYTES, R.byte_values, within=True)
+    spans = R.repeated_spans(search, unit, _judge(window, memory_tuples), shard_bytes, memory_tuples * I.TUPLE.itemsize)
     return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)

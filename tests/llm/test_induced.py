@@ -9,7 +9,7 @@ from leafmill.llm import _induced as I
 def naive(text):
     b = bytes(text)
     order = sorted(range(len(b)), key=lambda i: b[i:])
-    common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    common = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k] or x[k] == 0), min(len(x), len(y)))
     return order, [0] + [min(255, common(b[i:], b[j:])) for i, j in zip(order, order[1:])]
 
 
