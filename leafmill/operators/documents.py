@@ -5,7 +5,7 @@ Inputs are the parsed table of :mod:`leafmill.sources.pdf_tables` (write it once
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import display_name
@@ -13,11 +13,14 @@ from leafmill.sources import pdf_tables as P
 
 from . import tables as O
 
-# The categories in order, font program markers and keys of an information dictionary.
+# The categories in order, font program markers, keys of an information dictionary, and filters
+# that count as compressed.
 CATEGORIES = ["images", "fonts", "content", "forms", "metadata", "structure", "other_streams", "unused"]
 LARGE_CATEGORIES = ["images", "fonts", "content", "forms", "metadata", "structure", "unused"]
 FONT_SUBTYPES = ["Type1C", "OpenType", "CIDFontType0C"]
 INFO_KEYS = ["Creator", "Producer", "Title", "Author", "Subject", "Keywords", "CreationDate", "ModDate"]
+COMPRESSED = ["FlateDecode", "LZWDecode", "DCTDecode", "CCITTFaxDecode", "JPXDecode", "RunLengthDecode"]
+COMPRESSED_IN_ARRAY = ["FlateDecode", "LZWDecode"]
 FONT_FILES = ["FontFile", "FontFile2", "FontFile3"]
 
 
@@ -140,6 +143,58 @@ def reused_images(parsed: DataFrame) -> DataFrame:
     return counted.withColumn("object_id", F.concat_ws(" ", "obj_num", "gen")).join(grouped, ["path", "object_id"], "left_anti")
 
 
+def listed_duplicates(objects: DataFrame) -> DataFrame:
+    """Duplicate groups of every file in order: largest savings first, then by first member."""
+    order = Window.partitionBy("path").orderBy(F.desc("savings"), F.col("members")[0]["id"])
+    return duplicate_images(objects).withColumn("position", F.row_number().over(order))
+
+
+def candidate_bytes(objects: DataFrame, files: DataFrame, with_content: bool = True) -> DataFrame:
+    """Images that share width and height with another one of their file, with their bytes.
+
+    ``objects`` may come from a parse without content: the bytes of the candidates alone are then fetched
+    from ``files``, in a second pass over the files that have any.
+    """
+    sized = images(objects).select("path", "obj_num", "gen", "width", "height")
+    several = Window.partitionBy("path", "width", "height")
+    chosen = sized.withColumn("n", F.count("*").over(several)).filter("n > 1").drop("n")
+    some = files.join(chosen.select("path").distinct(), "path", "left_semi")
+    again = P.parse_files(some, with_content=with_content, only_images=True).filter("kind = 'stream'")
+    return chosen.join(again.select("path", "obj_num", "gen", "stream_len", "content"), ["path", "obj_num", "gen"])
+
+
+def already_compressed() -> Column:
+    """A single filter of the list, or an array that holds one of the two general ones."""
+    single = entry("Filter").isin(["/" + f for f in COMPRESSED])
+    return F.coalesce(single, F.lit(False)) | F.coalesce((F.size("filters") > 0) & ~entry("Filter").startswith("/") & F.arrays_overlap("filters", F.array(*[F.lit(f) for f in COMPRESSED_IN_ARRAY])), F.lit(False))
+
+
+def other_of_file(files: DataFrame, parts: DataFrame) -> DataFrame:
+    """Bytes and objects of every file outside its categories: never negative."""
+    known = parts.groupBy("path").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+    left = files.join(known, "path", "left")
+    return left.select(
+        "path", F.greatest(F.col("file_size") - F.coalesce("size", F.lit(0)), F.lit(0)).alias("other_size"),
+        F.greatest(F.col("total_objects") - F.coalesce("n", F.lit(0)), F.lit(0)).alias("other_count"),
+    )
+
+
+def summary(parsed: DataFrame) -> DataFrame:
+    """One row per file in one pass and one shuffle: status, objects, stream bytes, count and size of each category."""
+    rows = parsed.withColumn("dict", F.try_parse_json("dict")).withColumn("category", category())
+    object_ = F.col("record") == "object"
+    first = ["file_size", "pdf_version", "page_count", "parse_status", "parse_error", "complete_tail"]
+    sums = [
+        F.count_if(object_).alias("total_objects"),
+        F.count_if(object_ & ~F.col("reachable")).alias("unused_objects"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "stream", F.col("stream_len"))), F.lit(0)).alias("stream_bytes"),
+    ]
+    for c in CATEGORIES:
+        mine = F.col("category") == c
+        sums += [F.count_if(object_ & mine).alias(f"n_{c}"), F.coalesce(F.sum(F.when(object_ & mine, F.col("size_est"))), F.lit(0)).alias(f"size_{c}")]
+    return rows.groupBy("path").agg(*[F.max(c).alias(c) for c in first], *sums)
+
+
 def analyse(parsed: DataFrame, rule: str = "small") -> DataFrame:
     """One row per file: sizes, version, pages, components, fonts, unused objects, duplicates and possible savings."""
     objects = P.object_table(parsed)

@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from leafmill.functions import codecs
-from leafmill.sources.pdf_file import _END, Document, Lexer, Name, PdfError, Ref, Stream, _Word, parse
-from leafmill.sources.pdf_tables import media_box
+from leafmill.sources.pdf_file import _END, Document, Lexer, Name, Ref, Stream, _Word
+from leafmill.sources.pdf_tables import map_files, media_box, opened
 
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -24,7 +23,6 @@ PLACEMENT_SCHEMA = (
     "path string, page int, op_idx int, name string, obj_num long, gen int, width long, height long, x double, y double, "
     "ctm array<double>, mediabox array<double>, raw_ops array<string>"
 )
-_COLUMNS = ["path", "page", "op_idx", "name", "obj_num", "gen", "width", "height", "x", "y", "ctm", "mediabox", "raw_ops"]
 
 
 @dataclass
@@ -90,10 +88,12 @@ def page_content(doc: Document, page: Ref) -> tuple[bytes, list[Ref]]:
 
 def replay(doc: Document, page: Ref) -> Iterator[tuple[int, Operation, Ref, Stream, Matrix, list[str]]]:
     """Every drawing of an image XObject: operator index, operation, image, matrix and the last ten state operators."""
-    data, _ = page_content(doc, page)
     found = {k: r for k, r in doc.xobjects(page).items() if isinstance(s := doc.get(r), Stream) and doc.get(s.dict.get("Subtype")) == "Image"}
     if not found:
         return
+    data, _ = page_content(doc, page)
+    if b"Do" not in data:
+        return
     ctm, stack, recent = IDENTITY, [], []
     for k, op in enumerate(operations(data)):
         if op.operator in STATE:
@@ -119,35 +119,27 @@ def whole(doc: Document, value: Any) -> int | None:
 def contents(files: DataFrame) -> DataFrame:
     """(path, page, content): the decoded, joined content streams of every page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    doc = parse(bytes(content) if content is not None else b"")
-                except (PdfError, ValueError, RecursionError):
-                    continue
-                for n, page in enumerate(doc.pages(), 1):
-                    yield pd.DataFrame([(path, n, page_content(doc, page)[0])], columns=["path", "page", "content"])
+    def rows(path: str, content: bytes) -> Iterator[dict[str, Any]]:
+        if (doc := opened(content)) is not None:
+            for n, page in enumerate(doc.pages(), 1):
+                yield {"path": path, "page": n, "content": page_content(doc, page)[0]}
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, content binary")
+    return map_files(files, "path string, page int, content binary", rows)
 
 
 def placements(files: DataFrame) -> DataFrame:
     """Where every image of every page is drawn; position is the matrix' translation."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    doc = parse(bytes(content) if content is not None else b"")
-                except (PdfError, ValueError, RecursionError):
-                    continue
-                rows = []
-                for n, page in enumerate(doc.pages(), 1):
-                    box = media_box(doc.dict_of(page), doc)
-                    for k, op, ref, image, ctm, recent in replay(doc, page):
-                        rows.append((path, n, k, str(op.operands[-1]), ref.num, ref.gen, whole(doc, image.dict.get("Width")), whole(doc, image.dict.get("Height")), ctm[4], ctm[5], list(ctm), box, recent))
-                if rows:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return files.select("path", "content").mapInPandas(run, PLACEMENT_SCHEMA)
+    def rows(path: str, content: bytes) -> Iterator[dict[str, Any]]:
+        if (doc := opened(content)) is None:
+            return
+        for n, page in enumerate(doc.pages(), 1):
+            box = None
+            for k, op, ref, image, ctm, recent in replay(doc, page):
+                box = box or media_box(doc.dict_of(page), doc)
+                yield {
+                    "path": path, "page": n, "op_idx": k, "name": str(op.operands[-1]), "obj_num": ref.num, "gen": ref.gen, "width": whole(doc, image.dict.get("Width")),
+                    "height": whole(doc, image.dict.get("Height")), "x": ctm[4], "y": ctm[5], "ctm": list(ctm), "mediabox": box, "raw_ops": recent,
+                }
+
+    return map_files(files, PLACEMENT_SCHEMA, rows)

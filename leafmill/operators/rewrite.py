@@ -6,23 +6,25 @@ and what was done; a file that cannot be parsed comes back unchanged with a stat
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import codecs
-from leafmill.sources.pdf_file import Document, Name, PdfError, Ref, Stream, filter_lists, parse, references, serialise
+from leafmill.sources.pdf_file import Document, Name, PdfError, Ref, Stream, filter_lists, is_container, parse, references, smallest
+from leafmill.sources.pdf_tables import map_files
 
 from . import pages as G
 
-RESULT = "path string, status string, content binary, original_size long, new_size long, savings long, savings_percent double, changed int, actions array<string>"
-# Filters that count as compressed already.
-COMPRESSED = {"FlateDecode", "LZWDecode", "DCTDecode", "CCITTFaxDecode", "JPXDecode", "RunLengthDecode"}
+RESULT = "path string, status string, content binary, original_size long, new_size long, savings long, savings_percent double, changed int, affected_pages int, actions array<string>"
 
 
 @dataclass(frozen=True)
@@ -56,6 +58,7 @@ def option_table(spark) -> DataFrame:
 @dataclass
 class Change:
     changed: int = 0
+    pages: int = 0
     actions: list[str] = field(default_factory=list)
 
     def note(self, text: str, n: int = 1) -> None:
@@ -99,7 +102,7 @@ def prune(doc: Document, options: PruneOptions) -> Change:
         out.note(f"compressed {n} streams", n)
     if options.garbage:
         keep = doc.reachable() | {r for r, v in doc.objects.items() if isinstance(v, dict) and v.get("Type") == "Catalog"}
-        gone = [r for r in doc.objects if r not in keep]
+        gone = [r for r, v in doc.objects.items() if r not in keep and not is_container(v)]
         for r in gone:
             del doc.objects[r]
         if gone:
@@ -156,6 +159,7 @@ def remove_images(doc: Document, sizes: list[tuple[int, int]], low: float = 0.0,
             if str(op.operands[-1]) not in left and resources.get(str(op.operands[-1])) == ref:
                 resources.pop(str(op.operands[-1]))
         out.note(f"page {n}: removed {len(hits)} images", len(hits))
+        out.pages += 1
     still = doc.reachable()
     used = {r for v in (doc.objects[k] for k in still if k not in removed) for r in references(v)}
     for r in removed - used:
@@ -184,8 +188,11 @@ class Replacement:
     force: bool = False
 
 
-def replace_images(doc: Document, replacements: list[Replacement]) -> Change:
-    """Puts new image bytes in place where they are smaller, or forced; other dictionary keys stay."""
+def replace_images(doc: Document, replacements: list[Replacement], merge: bool = True) -> Change:
+    """Puts new image bytes in place where they are smaller, or forced.
+
+    Other dictionary keys stay; without ``merge`` the dictionary is a new one, and masks and such are lost.
+    """
     out = Change()
     for r in replacements:
         old = doc.objects.get(r.ref)
@@ -196,6 +203,8 @@ def replace_images(doc: Document, replacements: list[Replacement]) -> Change:
         if not r.force and len(data) >= len(old.data):
             out.actions.append(f"{r.ref.num} {r.ref.gen}: kept, it would not shrink")
             continue
+        if not merge:
+            old.dict = {"Type": Name("XObject"), "Subtype": Name("Image")}
         for key in ("DecodeParms", "Decode"):
             old.dict.pop(key, None)
         old.dict.update(SHAPES[r.kind] | {"Width": r.width, "Height": r.height})
@@ -204,60 +213,81 @@ def replace_images(doc: Document, replacements: list[Replacement]) -> Change:
     return out
 
 
-def _rewritten(files: DataFrame, change: Callable[[Document, pd.Series], Change], extra: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                old = bytes(row["content"]) if row["content"] is not None else b""
-                done, status, new = Change(), "ok", old
-                try:
-                    doc = parse(old)
-                    if "Encrypt" in doc.trailer:
-                        status = "encrypted"
-                    else:
-                        done = change(doc, row)
-                        # without any change the input is copied; else the new file, whatever its size
-                        new = serialise(doc) if done.changed else old
-                except (PdfError, ValueError, RecursionError, codecs.UnsupportedFilter) as e:
-                    status = f"failed: {e}"[:200]
-                saved = len(old) - len(new)
-                yield pd.DataFrame([(row["path"], status, new, len(old), len(new), saved, saved * 100.0 / len(old) if old else 0.0, done.changed, done.actions)], columns=[c.split(" ")[0] for c in RESULT.split(", ")])
-
-    return files.select("path", "content", *extra).mapInPandas(run, RESULT)
-
-
-def prune_files(files: DataFrame, options: PruneOptions | None = None) -> DataFrame:
+def _rewritten(files: DataFrame, change: Callable[..., Change], *extra: str) -> DataFrame:
+    def rows(path: str, old: bytes, *more: Any) -> Iterator[dict[str, Any]]:
+        done, status, new = Change(), "ok", old
+        try:
+            doc = parse(old)
+            if "Encrypt" in doc.trailer:
+                status = "encrypted"
+            else:
+                done = change(doc, *more)
+                # without any change the input is copied; else the smaller of two ways to write the new one
+                new = smallest(doc) if done.changed else old
+        except (PdfError, ValueError, RecursionError, codecs.UnsupportedFilter) as e:
+            done, status, new = Change(), f"failed: {e}"[:200], old
+        saved = len(old) - len(new)
+        yield {
+            "path": path, "status": status, "content": new, "original_size": len(old), "new_size": len(new), "savings": saved,
+            "savings_percent": saved * 100.0 / len(old) if old else 0.0, "changed": done.changed, "affected_pages": done.pages, "actions": done.actions,
+        }
+
+    return map_files(files, RESULT, rows, *extra)
+
+
+def prune_files(files: DataFrame, options: PruneOptions | None = None, switches: str | None = None) -> DataFrame:
+    """``switches`` names a column of ``files`` that lists what is on for each file, in place of ``options``."""
+    if switches is not None:
+        names = [f.name for f in fields(PruneOptions)]
+        return _rewritten(files, lambda doc, on: prune(doc, PruneOptions(**{n: n in (on or []) for n in names})), switches)
     chosen = options or PruneOptions()
-    return _rewritten(files, lambda doc, _: prune(doc, chosen), [])
+    return _rewritten(files, lambda doc: prune(doc, chosen))
 
 
 def remove_images_from_files(files: DataFrame, sizes: list[tuple[int, int]], low: float = 0.0, high: float = 9999.0) -> DataFrame:
-    return _rewritten(files, lambda doc, _: remove_images(doc, sizes, low, high), [])
+    return _rewritten(files, lambda doc: remove_images(doc, sizes, low, high))
 
 
-def replace_images_in_files(files: DataFrame, replacements: DataFrame) -> DataFrame:
+def replace_images_in_files(files: DataFrame, replacements: DataFrame, merge: bool = True) -> DataFrame:
     """``replacements``: path, obj_num, gen, kind, data, width, height, force."""
     lists = replacements.groupBy("path").agg(F.collect_list(F.struct("obj_num", "gen", "kind", "data", "width", "height", "force")).alias("new"))
 
-    def change(doc: Document, row: pd.Series) -> Change:
-        new = row["new"] if row["new"] is not None else []
-        return replace_images(doc, [Replacement(Ref(int(x["obj_num"]), int(x["gen"])), x["kind"], bytes(x["data"]), int(x["width"]), int(x["height"]), bool(x["force"])) for x in new])
+    def change(doc: Document, new: list[dict] | None) -> Change:
+        return replace_images(doc, [Replacement(Ref(x["obj_num"], x["gen"]), x["kind"], x["data"], x["width"], x["height"], bool(x["force"])) for x in new or []], merge)
+
+    return _rewritten(files.join(lists, "path", "left"), change, "new")
 
-    return _rewritten(files.join(lists, "path", "left"), change, ["new"])
 
+def relative(path: str, base: str | None) -> str:
+    """Where a file lies below ``base``; its whole path, without scheme and root, if it does not."""
+    plain = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", x) for x in (path, base or "/")]
+    root = plain[1].rstrip("/") + "/"
+    below = plain[0][len(root) :] if plain[0].startswith(root) else plain[0]
+    return "/".join(p for p in below.split("/") if p not in ("", ".", ".."))
 
-def write_files(results: DataFrame, folder: str) -> DataFrame:
-    """Writes each result under its own name to a local or mounted folder: first beside it, then renamed."""
-    import os
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def write_files(results: DataFrame, folder: str, base: str | None = None) -> DataFrame:
+    """Writes each result below ``folder``, at its path relative to ``base``: beside its place, then renamed.
+
+    ``folder`` is a path or an address of any store that Arrow writes to (``hdfs://``, ``s3://``, ...); on a
+    cluster a plain path must be one that all machines share.  Files of equal name in different folders
+    stay apart.  A task that runs again writes its files again.
+    """
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                os.makedirs(folder, exist_ok=True)
-                target = os.path.join(folder, os.path.basename(path))
-                with open(target + ".part", "wb") as f:
-                    f.write(bytes(content))
-                os.replace(target + ".part", target)
-                yield pd.DataFrame([(path, target, len(content))], columns=["path", "target", "bytes"])
-
-    return results.select("path", "content").mapInPandas(run, "path string, target string, bytes long")
+            done = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, target = content.as_py() or b"", f"{root.rstrip('/')}/{relative(path, base)}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, target)
+                done.append({"path": path, "target": target, "bytes": len(data)})
+            if done:
+                yield pa.RecordBatch.from_pylist(done, pa.schema([("path", pa.string()), ("target", pa.string()), ("bytes", pa.int64())]))
+
+    return results.select("path", "content").mapInArrow(run, "path string, target string, bytes long")

@@ -7,10 +7,12 @@ on one file (``obj_num, gen``) and on a corpus (``path, obj_num, gen``).
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import image_format, trailing_number
 from leafmill.plans.lineage import stored
 
 # --- aggregation
@@ -30,9 +32,24 @@ def category_rollup(rows: DataFrame, category: Column, size: Column, categories:
 
 
 def share_of_total(rows: DataFrame, size: str, by: list[str] | None = None) -> DataFrame:
-    """Adds ``share``: the row's part of the sum of its group; 0 when that sum is 0."""
-    total = F.sum(size).over(Window.partitionBy(*(by or [F.lit(1)])))
-    return rows.withColumn("share", F.when(total == 0, F.lit(0.0)).otherwise(F.col(size) / total))
+    """Adds ``share``: the row's part of the sum of its group; 0 when that sum is 0.
+
+    The sums are aggregated and joined back, so neither the whole table nor a large group meets in one task.
+    """
+    sums = rows.groupBy(*(by or [])).agg(F.sum(size).alias("_total"))
+    if by:
+        keys = [F.col(k).alias(f"_{n}") for n, k in enumerate(by)]
+        sums = sums.select(*keys, "_total")
+        joined = rows.join(sums, [rows[k].eqNullSafe(sums[f"_{n}"]) for n, k in enumerate(by)])
+    else:
+        joined = rows.withColumn("_total", sums.scalar())
+    share = F.when(F.col("_total") == 0, F.lit(0.0)).otherwise(F.col(size) / F.col("_total"))
+    return joined.withColumn("share", share).select(*rows.columns, "share")
+
+
+def shown_segments(rows: DataFrame, share: str = "share", least: float = 0.001) -> DataFrame:
+    """Segments that are wide enough to be seen."""
+    return rows.filter(F.col(share) >= least)
 
 
 def duplicate_groups(rows: DataFrame, bucket: list[str], fingerprint: Column, size: str, member: str) -> DataFrame:
@@ -62,20 +79,25 @@ def reused(rows: DataFrame, key: list[str], place: str, grouped: DataFrame) -> D
 
 # --- graph
 
+MERGE_LEVELS = 16
+
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", limit: int = 10_000) -> DataFrame:
     """Distinct nodes reachable from ``roots`` (column ``node``), roots included, through cycles too.
 
-    A frontier loop: one equi-join and one anti-join per level, each level stored before the next.
+    A frontier loop: one equi-join and one anti-join per level.  Only the new level is stored; what was
+    visited is the union of the stored levels, merged into one table every ``MERGE_LEVELS`` levels.
     """
-    visited = stored(roots.select("node").distinct())
-    frontier = visited
+    levels = [stored(roots.select("node").distinct())]
     for _ in range(limit):
-        step = edges.join(frontier, edges[src] == frontier["node"]).select(F.col(dst).alias("node")).distinct()
+        visited = reduce(DataFrame.unionByName, levels)
+        step = edges.join(levels[-1], edges[src] == levels[-1]["node"]).select(F.col(dst).alias("node")).distinct()
         frontier = stored(step.join(visited, "node", "left_anti"))
         if frontier.limit(1).count() == 0:
             return visited
-        visited = stored(visited.unionByName(frontier))
+        if len(levels) == MERGE_LEVELS:
+            levels = [stored(visited)]
+        levels.append(frontier)
     raise RuntimeError("the graph is deeper than the limit")
 
 
@@ -219,3 +241,31 @@ def preview_totals(rows: DataFrame, by: list[str], original: Column, small: Colu
 
 def replace_if_smaller(old: Column, new: Column, forced: Column) -> Column:
     return forced | (new < old)
+
+
+def effective_size(pdf_size: Column, file_size: Column) -> Column:
+    """The size in the file if it is known, 0 included."""
+    return F.coalesce(pdf_size, file_size)
+
+
+def by_page_and_name(rows: DataFrame, page: str, member: str, name: str = "position", by: list[str] | None = None) -> DataFrame:
+    """Adds the place in the list by page and then by id as text."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(page, F.col(member).cast("string"))))
+
+
+def distinct_pages(rows: DataFrame, by: list[str], page: str, form: str, order: str) -> DataFrame:
+    """Pages in ascending order, and formats in the order in which they are first seen."""
+    firsts = rows.groupBy(*by, form).agg(F.min(order).alias("_at"), F.collect_set(page).alias("_pages"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(form).alias("f")))), lambda x: x["f"])
+    return firsts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_pages")))).alias("pages"), seen.alias("formats"))
+
+
+def with_listing(listing: DataFrame, exported: DataFrame, number: str, path: str) -> DataFrame:
+    """Listing rows with the exported file of their number and its format; rows without a known format are left out."""
+    files = exported.select(trailing_number(F.col(path)).alias(number), F.col(path).alias("file"), image_format(F.col(path)).alias("format"))
+    return listing.join(files.filter("format is not null"), number)
+
+
+def estimated_size(file_size: Column, savings: Column) -> Column:
+    """What a file may shrink to: never negative."""
+    return F.greatest(file_size - savings, F.lit(0))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from leafmill.operators import documents as D
 from leafmill.operators import extract as E
@@ -16,6 +18,7 @@ from leafmill.sources import pdf_tables as P
 from leafmill.sources.pdf_file import Document, Name, Ref, Stream, serialise
 
 from .catalog import query
+from .lineage import written
 from .relational import read
 
 
@@ -34,15 +37,27 @@ def skeleton(content: bytes, images: list[bytes] = ()) -> Document:
     return doc
 
 
-def build(rows: DataFrame, make: Callable[[dict], Document]) -> DataFrame:
-    """(path, content): one file per row; ``rows`` has a column ``path``."""
+def build(rows: DataFrame, make: Callable[[dict], Document | bytes]) -> DataFrame:
+    """(path, content) and all other columns: one file per row; ``rows`` has a column ``path``."""
+    names = rows.columns
+    arrow = to_arrow_schema(rows.schema).append(pa.field("content", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": [serialise(make(row))]})
+            for values in zip(*batch.columns, strict=True):
+                row = {k: v.as_py() for k, v in zip(names, values, strict=True)}
+                made = make(row)
+                row["content"] = made if isinstance(made, bytes) else serialise(made)
+                out.append(row)
+                held += P.ROW_BYTES + len(row["content"])
+                if held > P.BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("content", BinaryType())]))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,20 +70,14 @@ SELECT doc_id, 'ok' AS parse_status, 1 AS page_count, 5::BIGINT AS total_objects
        octet_length(encode(text))::BIGINT AS content_bytes FROM documents
 """)
 def pdf_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = P.parse_files(_documents(spark, sf_dir), with_content=False)
-    objects = P.object_table(parsed)
-    bytes_ = objects.filter("kind = 'stream'").groupBy("path").agg(F.sum("stream_len").alias("content_bytes"))
-    structure = D.components(objects).filter("category = 'structure'").select("path", F.col("n").alias("structure"))
-    counts = objects.groupBy("path").agg(F.count("*").alias("total_objects"), F.count_if(~F.col("reachable")).alias("unused_objects"))
-    out = P.file_table(parsed).select("path", "parse_status", "page_count").join(counts, "path").join(structure, "path").join(bytes_, "path")
-    return out.select(F.col("path").cast("long").alias("doc_id"), "parse_status", "page_count", "total_objects", "unused_objects", "structure", "content_bytes")
+    found = D.summary(P.parse_files(_documents(spark, sf_dir), with_content=False))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "parse_status", "page_count", "total_objects", "unused_objects", F.col("n_structure").alias("structure"), F.col("stream_bytes").alias("content_bytes"))
 
 
 @query("SELECT doc_id, 'ok' AS status, 4::BIGINT AS objects, md5(text) AS content_md5 FROM documents")
 def pdf_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pruned = W.prune_files(_documents(spark, sf_dir))
-    objects = P.object_table(P.parse_files(pruned))
-    counts = objects.groupBy("path").agg(F.count("*").alias("objects"))
+    pruned = written(W.prune_files(_documents(spark, sf_dir)))
+    counts = D.summary(P.parse_files(pruned, with_content=False)).select("path", F.col("total_objects").alias("objects"))
     texts = G.contents(pruned).select("path", F.md5("content").alias("content_md5"))
     out = pruned.select("path", "status").join(counts, "path").join(texts, "path")
     return out.select(F.col("path").cast("long").alias("doc_id"), "status", "objects", "content_md5")
@@ -101,8 +110,15 @@ def pdf_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy(F.col("path").cast("long").alias("bucket")).agg(F.count("*").alias("groups"), F.sum("savings").alias("savings"))
 
 
-@query("SELECT doc_id, 'png' AS format, true AS supported FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'raw' ELSE 'png' END AS format, coalesce(text, '') <> '' AS supported, md5(coalesce(text, '')) AS samples_md5 FROM documents")
 def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").cast("string").alias("path"), "text")
-    found = E.extract_images(build(rows, lambda r: skeleton(b"", [r["text"].encode()])))
-    return found.select(F.col("path").cast("long").alias("doc_id"), "format", "supported")
+    """Every text as the samples of a gray image of one line, extracted to PNG and read back."""
+
+    def make(row: dict) -> Document:
+        doc = skeleton(b"", [row["text"].encode()])
+        doc.objects[Ref(6, 0)].dict["Width"] = len(doc.objects[Ref(6, 0)].data)
+        return doc
+
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    found = E.samples(E.extract_images(build(rows, make)))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "format", "supported", F.md5("samples").alias("samples_md5"))

@@ -7,15 +7,26 @@ Values are Python ones: numbers, booleans and None; bytes for strings; :class:`N
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from typing import Any
 
 from leafmill.functions import codecs
 
-_SPACE = b"\0\t\n\x0c\r "
 _DELIMITERS = b"()<>[]{}/%"
+_SKIP = re.compile(rb"(?:[\0\t\n\x0c\r ]+|%[^\r\n]*)*")
+_BARE = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]*")
+_HEX_IN_NAME = re.compile(rb"#([0-9A-Fa-f]{2})")
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
+_REST_OF_REF = re.compile(rb"[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+R(?![A-Za-z0-9])")
+_LITERAL_RUN = re.compile(rb"[^()\\]+")
+_OCTAL = re.compile(rb"[0-7]{1,3}")
+_WHOLE = re.compile(rb"(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+obj[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+endobj")
+_ENTRY = re.compile(rb"[\0\t\n\x0c\r ]*(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+([nf])")
+_END_OF_STREAM = re.compile(rb"[\0\t\n\x0c\r ]*endstream")
+_SAFE_NAME = re.compile(r"[!\"$&'*+,\-.0-9:;=?@A-Z\\^_`a-z|~]*")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+obj")
+_PER_STREAM = 200  # objects of one object stream
 ROOT_KEYS = ("Root", "Info", "Encrypt", "AcroForm", "Names")
 
 
@@ -53,22 +64,12 @@ class Lexer:
         self.data, self.at, self.refs = data, at, refs
 
     def skip(self) -> None:
-        data, n = self.data, len(self.data)
-        while self.at < n:
-            b = data[self.at]
-            if b in _SPACE:
-                self.at += 1
-            elif b == 0x25:
-                end = min((k for k in (data.find(b"\n", self.at), data.find(b"\r", self.at)) if k >= 0), default=n)
-                self.at = end
-            else:
-                return
+        self.at = _SKIP.match(self.data, self.at).end()
 
     def word(self) -> bytes:
-        start = self.at
-        while self.at < len(self.data) and self.data[self.at] not in _SPACE and self.data[self.at] not in _DELIMITERS:
-            self.at += 1
-        return self.data[start : self.at]
+        m = _BARE.match(self.data, self.at)
+        self.at = m.end()
+        return m[0]
 
     def value(self, depth: int = 0) -> Any:
         if depth > 200:
@@ -80,7 +81,8 @@ class Lexer:
         b = data[self.at]
         if b == 0x2F:
             self.at += 1
-            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), self.word()).decode("utf-8", "replace"))
+            name = self.word()
+            return Name((_HEX_IN_NAME.sub(lambda m: bytes([int(m[1], 16)]), name) if b"#" in name else name).decode("utf-8", "replace"))
         if b == 0x28:
             return self._literal()
         if b == 0x3C:
@@ -114,8 +116,7 @@ class Lexer:
                 return float(word)
             n = int(word)
             if self.refs and n >= 0:
-                m = re.compile(rb"[\0\t\n\x0c\r ]+(\d{1,5})[\0\t\n\x0c\r ]+R(?![A-Za-z0-9])").match(data, self.at)
-                if m:
+                if m := _REST_OF_REF.match(data, self.at):
                     self.at = m.end()
                     return Ref(n, int(m[1]))
             return n
@@ -124,6 +125,10 @@ class Lexer:
     def _literal(self) -> bytes:
         out, level, data = bytearray(), 0, self.data
         while self.at < len(data):
+            if m := _LITERAL_RUN.match(data, self.at):
+                out += m[0]
+                self.at = m.end()
+                continue
             b = data[self.at]
             self.at += 1
             if b == 0x28:
@@ -138,7 +143,7 @@ class Lexer:
                 c = data[self.at]
                 self.at += 1
                 if 0x30 <= c <= 0x37:
-                    m = re.compile(rb"[0-7]{1,3}").match(data, self.at - 1)
+                    m = _OCTAL.match(data, self.at - 1)
                     self.at = m.end()
                     out.append(int(m[0], 8) & 255)
                 elif c in b"\r\n":
@@ -254,6 +259,11 @@ def references(value: Any) -> list[Ref]:
     return out
 
 
+def is_container(value: Any) -> bool:
+    """Object and cross-reference streams: parts of the file's form that no object refers to."""
+    return isinstance(value, Stream) and value.dict.get("Type") in ("ObjStm", "XRef")
+
+
 def filter_lists(doc: Document, d: dict[str, Any]) -> tuple[list[str], list[dict | None]]:
     def as_list(key: str) -> list[Any]:
         v = doc.get(d.get(key))
@@ -281,7 +291,7 @@ def _object_at(data: bytes, at: int, doc: Document | None, lengths: dict[Ref, in
         start += 2 if data[start : start + 2] == b"\r\n" else 1 if data[start : start + 1] in (b"\n", b"\r") else 0
         n = value.get("Length")
         n = lengths.get(n) if isinstance(n, Ref) else n
-        if not isinstance(n, int) or n < 0 or not re.match(rb"[\0\t\n\x0c\r ]*endstream", data[start + n : start + n + 16]):
+        if not isinstance(n, int) or n < 0 or not _END_OF_STREAM.match(data, start + n):
             end = data.find(b"endstream", start)
             end = len(data) if end < 0 else end
             n = end - start
@@ -312,13 +322,11 @@ def _table(data: bytes, at: int) -> tuple[dict[int, tuple[int, int, int]], dict[
             if not isinstance(first, int) or not isinstance(count, int):
                 raise PdfError("broken cross-reference table")
             for k in range(count):
-                offset, gen, kind = lexer.value(), lexer.value(), lexer.value()
-                if kind == b"n":
-                    entries[first + k] = (1, offset, gen)
-                elif kind == b"f":
-                    entries[first + k] = (0, 0, 0)
-                else:
+                m = _ENTRY.match(data, lexer.at)
+                if not m:
                     raise PdfError("broken cross-reference table")
+                lexer.at = m.end()
+                entries[first + k] = (1, int(m[1]), int(m[2])) if m[3] == b"n" else (0, 0, 0)
     _, value, _ = _object_at(data, lexer.at, None, {})
     if not isinstance(value, Stream):
         raise PdfError("no cross-reference stream")
@@ -390,7 +398,7 @@ def _by_table(data: bytes, doc: Document) -> None:
         todo += [trailer.get("XRefStm"), trailer.get("Prev")]
     lengths: dict[Ref, int] = {}
     for num, (kind, a, b) in entries.items():  # whole numbers first: lengths of streams
-        if kind == 1 and (m := re.compile(rb"(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+obj[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+endobj").match(data, a)):
+        if kind == 1 and (m := _WHOLE.match(data, a)):
             lengths[Ref(num, b)] = int(m[3])
     for num, (kind, a, b) in entries.items():
         if kind == 1:
@@ -409,7 +417,7 @@ def _by_table(data: bytes, doc: Document) -> None:
 
 
 def _by_scan(data: bytes, doc: Document) -> None:
-    lengths = {Ref(int(m[1]), int(m[2])): int(m[3]) for m in re.finditer(rb"(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+obj[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+endobj", data)}
+    lengths = {Ref(int(m[1]), int(m[2])): int(m[3]) for m in _WHOLE.finditer(data)}
     at = 0
     while m := _OBJECT.search(data, at):
         try:
@@ -439,7 +447,7 @@ def _by_scan(data: bytes, doc: Document) -> None:
 
 def _text(value: Any, out: bytearray) -> None:
     if isinstance(value, Name):
-        out += b"/" + re.sub(rb"[^!\"$&'*+,\-.0-9:;=?@A-Z\\^_`a-z|~]", lambda m: b"#%02X" % m[0][0], value.encode())
+        out += b"/" + value.encode() if _SAFE_NAME.fullmatch(value) else b"/" + re.sub(rb"[^!\"$&'*+,\-.0-9:;=?@A-Z\\^_`a-z|~]", lambda m: b"#%02X" % m[0][0], value.encode())
     elif isinstance(value, bool):
         out += b"true" if value else b"false"
     elif value is None:
@@ -475,7 +483,7 @@ def serialise(doc: Document) -> bytes:
     places: dict[Ref, int] = {}
     for ref in sorted(doc.objects):
         value = doc.objects[ref]
-        if isinstance(value, Stream) and value.dict.get("Type") in ("ObjStm", "XRef"):
+        if is_container(value):
             continue
         places[ref] = len(out)
         out += f"{ref.num} {ref.gen} obj\n".encode()
@@ -496,3 +504,50 @@ def serialise(doc: Document) -> bytes:
     _text({"Size": size, **trailer}, out)
     out += f"\nstartxref\n{start}\n%%EOF\n".encode()
     return bytes(out)
+
+
+def serialise_packed(doc: Document) -> bytes:
+    """The file with plain objects deflated in object streams, and a cross-reference stream."""
+    kept = {r: v for r, v in sorted(doc.objects.items()) if not is_container(v)}
+    plain = [r for r, v in kept.items() if r.gen == 0 and not isinstance(v, Stream) and r != doc.trailer.get("Encrypt")]
+    top = max((r.num for r in kept), default=0)
+    version = doc.version if float(doc.version) >= 1.5 else "1.5"
+    out = bytearray(f"%PDF-{version}\n%\xe2\xe3\xcf\xd3\n".encode("latin-1"))
+    rows: dict[int, tuple[int, int, int]] = {0: (0, 0, 65535)}
+
+    def put(ref: Ref, value: Any) -> None:
+        rows[ref.num] = (1, len(out), ref.gen)
+        out.extend(f"{ref.num} {ref.gen} obj\n".encode())
+        if isinstance(value, Stream):
+            _text({**value.dict, "Length": len(value.data)}, out)
+            out.extend(b"\nstream\n" + value.data + b"\nendstream")
+        else:
+            _text(value, out)
+        out.extend(b"\nendobj\n")
+
+    packed = set(plain)
+    for ref, value in kept.items():
+        if ref not in packed:
+            put(ref, value)
+    for k in range(0, len(plain), _PER_STREAM):
+        top += 1
+        index, body = bytearray(), bytearray()
+        for n, ref in enumerate(plain[k : k + _PER_STREAM]):
+            index += f"{ref.num} {len(body)} ".encode()
+            _text(kept[ref], body)
+            body += b" "
+            rows[ref.num] = (2, top, n)
+        entries = {"Type": Name("ObjStm"), "N": len(plain[k : k + _PER_STREAM]), "First": len(index), "Filter": Name("FlateDecode")}
+        put(Ref(top, 0), Stream(entries, zlib.compress(bytes(index + body), 9)))
+    start, top = len(out), top + 1
+    rows[top] = (1, start, 0)
+    table = b"".join(kind.to_bytes(1, "big") + a.to_bytes(5, "big") + b.to_bytes(2, "big") for kind, a, b in (rows.get(n, (0, 0, 0)) for n in range(top + 1)))
+    trailer = {k: v for k, v in doc.trailer.items() if k in (*ROOT_KEYS, "ID")}
+    put(Ref(top, 0), Stream({"Type": Name("XRef"), "Size": top + 1, "W": [1, 5, 2], "Filter": Name("FlateDecode"), **trailer}, zlib.compress(table, 9)))
+    out.extend(f"startxref\n{start}\n%%EOF\n".encode())
+    return bytes(out)
+
+
+def smallest(doc: Document) -> bytes:
+    """The shorter of the two ways to write a document."""
+    return min(serialise(doc), serialise_packed(doc), key=len)

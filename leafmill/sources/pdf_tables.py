@@ -9,12 +9,14 @@ with a status, never a failed job.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .pdf_file import ROOT_KEYS, Document, Name, PdfError, Ref, Stream, filter_lists, parse, references
 
@@ -126,28 +128,42 @@ def _rows(path: str, content: bytes, with_content: bool, only_images: bool) -> I
         yield row
 
 
-def parse_files(files: DataFrame, with_content: bool = True, only_images: bool = False) -> DataFrame:
-    """One row per file (``record`` = file) and one per object; see OBJECT_SCHEMA."""
+#: Bytes of rows in one Arrow batch; also what a row counts for beside its binary values.
+BATCH_BYTES, ROW_BYTES = 16_000_000, 500
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(OBJECT_SCHEMA))
+def map_files(files: DataFrame, schema: str, rows_of: Callable[..., Iterable[dict[str, Any]]], *extra: str) -> DataFrame:
+    """Rows of every file, in Arrow batches of bounded bytes.  ``rows_of(path, content, *extra)`` gives dictionaries."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, held = [], 0
-                for row in _rows(path, content.as_py() or b"", with_content, only_images):
+            for values in zip(*batch.columns, strict=True):
+                path, content, *more = (v.as_py() for v in values)
+                for row in rows_of(path, content or b"", *more):
                     rows.append(row)
-                    held += (row.get("stream_len") or 0) + 500
-                    if held > 16_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                    held += ROW_BYTES + sum(len(v) for v in row.values() if isinstance(v, bytes))
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return files.select("path", "content", *extra).mapInArrow(run, schema)
 
-    return files.select("path", "content").mapInArrow(run, OBJECT_SCHEMA)
+
+def parse_files(files: DataFrame, with_content: bool = True, only_images: bool = False) -> DataFrame:
+    """One row per file (``record`` = file) and one per object; see OBJECT_SCHEMA."""
+    return map_files(files, OBJECT_SCHEMA, lambda path, content: _rows(path, content, with_content, only_images))
+
+
+def opened(content: bytes) -> Document | None:
+    """The document, None if it cannot be parsed."""
+    try:
+        return parse(content)
+    except (PdfError, RecursionError, ValueError, TypeError, IndexError):
+        return None
 
 
 def file_table(parsed: DataFrame) -> DataFrame:
