@@ -1,18 +1,21 @@
 """License scans by a positional rare-token index, in built-in functions only.
 
-The index maps the rarest words of every licence template (highest inverse document frequency over the
-whole corpus) to their places in it.  A file's licence words are looked up; a word at place ``i`` of the
-file and ``p`` of the template votes for a start at ``i - p``.  A phrase stands where the postings of all
-its words agree; a longer notice where most of its rare words agree, enough of its weight is in place
-and all its mandatory key phrases stand inside it.
-
-Everything happens within a row: the scan shuffles nothing, so no file, word or licence can be hot.
-Word statistics are summed per task before they meet.
+Templates are short notices and whole licence texts.  The index maps the rarest words of every template
+(highest inverse document frequency over the whole corpus) to postings (template, place).  A file's licence
+words are looked up; a word at place ``i`` of the file and ``p`` of a template votes for a start at ``i - p``.
+The votes of a file are sorted once, and starts with enough equal votes are verified: all mandatory key
+phrases must stand at their places, and enough of the template's weight must be in place.  A base phrase
+stands where its rarest word is and all others agree by relative position.
+
+Postings, templates and weights are constants of the plan, of bounded size (``INDEX_WORDS``), and reach every
+task with it.  Everything happens within a row: the scan shuffles nothing, so no file, word or licence can be
+hot, and its work grows with the words and votes of a text (times the logarithm, for sorting), also in one
+that repeats a notice very often.  Word statistics are summed per task before they meet.
 
 Defined results
 ---------------
 * null or empty text: no words, no places, empty labels, score 0;
-* very long texts are read whole, all places count;
+* very long texts are read whole, all places count; a notice may begin before the text does;
 * ties and repeated rows: every row is judged by itself; null ids are kept;
 * an empty table gives an empty table; further columns are ignored, whatever their names;
 * places of different phrases count each, overlapping or not; labels are distinct and sorted.
@@ -21,13 +24,14 @@ Defined results
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The word pattern, the base phrases, and public licence wording.
+# The word pattern, the base phrases, and public licence wording, short and in full.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before A-Z are lower-cased
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -48,32 +52,175 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
 
-#: Rare words of a notice that the index holds, the share of them that must agree on a start, and the
-#: share of a notice's weight that must be in place.
-RARE_WORDS, AGREEING, IN_PLACE = 6, 0.6, 0.7
+LICENCES = [
+    # label, text, mandatory key phrases
+    (
+        "mit-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ["free of charge", "without restriction", "this permission notice shall be included"],
+    ),
+    (
+        "isc-text",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+        ["with or without fee", "appear in all copies"],
+    ),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""",
+        ["redistributions of source code", "redistributions in binary form"],
+    ),
+    (
+        "bsd-3-clause",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+        ["endorse or promote products", "prior written permission"],
+    ),
+    (
+        "bsd-disclaimer",
+        """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES""",
+        ["copyright holders and contributors", "exemplary or consequential damages"],
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. 3. This notice may not be removed or altered from any source distribution.""",
+        ["alter it and redistribute it freely", "must not be misrepresented"],
+    ),
+    (
+        "apache-2.0-notice",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        ["apache license version 2 0", "except in compliance"],
+    ),
+    (
+        "gpl-notice",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+        ["general public license as published", "free software foundation"],
+    ),
+    (
+        "unlicense-text",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means.""",
+        ["unencumbered software", "public domain"],
+    ),
+    (
+        "boost-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so""",
+        ["person or organization", "prepare derivative works"],
+    ),
+    (
+        "wtfpl",
+        """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is
+        allowed as long as the name is changed.""",
+        ["verbatim or modified copies", "as long as the name is changed"],
+    ),
+]
+
+#: Rare words of a template that the index holds, the share of their postings that must agree on a start, the
+#: share of a template's weight that must be in place, and words that all templates may have together.
+RARE_WORDS, AGREEING, IN_PLACE, INDEX_WORDS = 8, 0.6, 0.7, 20_000
+#: Votes are numbers: template << SHIFT, plus AHEAD, plus the start, which may be negative.
+SHIFT, AHEAD = 40, 1 << 20
+ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def split(text: str) -> list[str]:
+    """Words of a template, which is ASCII."""
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+@dataclass
+class Template:
+    label: str
+    words: list[str]
+    keys: list[tuple[int, int]]  # place and number of words of the mandatory phrases
+
+    @classmethod
+    def of(cls, label: str, text: str, phrases: list[str]) -> Template:
+        words, keys = split(text), []
+        for phrase in map(split, phrases):
+            at = next((k for k in range(len(words)) if words[k : k + len(phrase)] == phrase), None)
+            if at is None:
+                raise ValueError(f"{label}: key phrase {' '.join(phrase)!r} is not in the text")
+            keys.append((at, len(phrase)))
+        return cls(label, words, keys)
 
 
 @dataclass
 class Index:
     weight: dict[str, float]  # inverse document frequency of the licence words
     phrases: dict[str, str]
-    notices: list[tuple[str, str, list[str]]]
-
-    def rare(self, text: str) -> list[str]:
-        """Distinct words of a text, rarest first."""
-        return sorted(dict.fromkeys(text.split()), key=lambda w: (-self.weight[w], w))
-
-
-    def agreeing(self, text: str) -> tuple[list[str], int]:
-        """Rare words of a notice, and how many of them must agree on a start."""
-        rare = self.rare(text)[:RARE_WORDS]
-        return rare, math.ceil(AGREEING * len(rare))
+    templates: list[Template]
+
+    def rare(self, words: list[str]) -> list[str]:
+        """Distinct words, rarest first."""
+        return sorted(dict.fromkeys(words), key=lambda w: (-self.weight[w], w))
+
+    def postings(self) -> dict[str, list[tuple[int, int]]]:
+        """Template and place of every occurrence of a template's rarest words."""
+        out: dict[str, list[tuple[int, int]]] = {}
+        for t, template in enumerate(self.templates):
+            rare = set(self.rare(template.words)[:RARE_WORDS])
+            for place, w in enumerate(template.words):
+                if w in rare:
+                    out.setdefault(w, []).append((t, place))
+        return out
+
+    def needed(self) -> list[int]:
+        """Votes that a start of each template needs."""
+        n = [0] * len(self.templates)
+        for places in self.postings().values():
+            for t, _ in places:
+                n[t] += 1
+        return [math.ceil(AGREEING * k) for k in n]
 
     def keys(self) -> list[str]:
-        """Words of which any file with a phrase or notice holds one: the rarest word of each phrase, and
-        of the mandatory key phrases of each notice."""
-        groups = [t.split() for t in self.phrases] + [[w for k in n[2] for w in k.split()] for n in self.notices]
-        return sorted({min(g, key=lambda w: (-self.weight[w], -len(w), w)) for g in groups})
+        """Words of which any file with a phrase or template holds one: the rarest of each phrase, and of the
+        mandatory phrases of each template; fewest first, by greedy cover."""
+        groups = [set(split(t)) for t in self.phrases] + [{t.words[k] for at, n in t.keys for k in range(at, at + n)} for t in self.templates]
+        rarest = {min(g, key=lambda w: (-self.weight[w], -len(w), w)) for g in groups}
+        chosen: list[str] = []
+        while groups:
+            best = max(sorted(rarest), key=lambda w: sum(w in g for g in groups))
+            chosen.append(best)
+            groups = [g for g in groups if best not in g]
+        return chosen
 
 
 def bind(value: Column, f) -> Column:
@@ -81,9 +228,15 @@ def bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def lowered(text: Column) -> Column:
+    """Lower case in which ASCII letters come from A-Z alone: the two other characters whose lower case has an
+    ASCII letter, the Kelvin sign and the I with a dot, become other non-ASCII ones."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u212b")), F.lit("\u0130"), F.lit("\u0131")))
+
+
 def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    """Words; those of ASCII alone are what A-Z to a-z makes of them."""
+    return F.regexp_extract_all(lowered(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _strings(values: list[str]) -> Column:
@@ -93,92 +246,96 @@ def _strings(values: list[str]) -> Column:
 def build_index(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None = None, notices: list | None = None) -> Index:
     """Counts, over all documents, how many hold each licence word; the vocabulary bounds the result."""
     phrases = PHRASES if phrases is None else phrases
-    notices = NOTICES if notices is None else notices
-    vocabulary = sorted({w for t in [*phrases, *(n[1] for n in notices), *(k for n in notices for k in n[2])] for w in t.split()})
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-    found = docs.select(F.array_intersect(_strings(vocabulary), words).alias("w"))
-    counts = found.select(F.explode(F.when(F.size("w") > 0, F.concat("w", F.array(F.lit("")))).otherwise(F.array(F.lit("")))).alias("w")).groupBy("w").count()
+    templates = [Template.of(*n) for n in (NOTICES + LICENCES if notices is None else notices)]
+    if sum(len(t.words) for t in templates) > INDEX_WORDS:
+        raise ValueError(f"templates of more than {INDEX_WORDS} words do not fit into a plan")
+    vocabulary = sorted({w for p in phrases for w in split(p)} | {w for t in templates for w in t.words})
+    found = docs.select(F.array_intersect(_strings(vocabulary), words_of(F.col(f"`{text_col}`"))).alias("w"))
+    counts = found.select(F.explode(F.array_append("w", "")).alias("w")).groupBy("w").count()
     n = {r["w"]: r["count"] for r in counts.collect()}  # one row per vocabulary word at most
     total = n.get("", 0)
-    return Index({w: math.log((total + 1) / (n.get(w, 0) + 1)) + 1 for w in vocabulary}, phrases, notices)
-
+    return Index({w: math.log((total + 1) / (n.get(w, 0) + 1)) + 1 for w in vocabulary}, phrases, templates)
 
-def _minus(values: Column, k: int) -> Column:
-    return F.transform(values, lambda i: i - k) if k else values
 
+def _phrase_starts(words: Column, hits: Column, index: Index, phrase: str) -> Column:
+    """All places of a phrase: those of its rarest word where the other words agree by relative position."""
+    parts = split(phrase)
+    rarest = index.rare(parts)[0]
+    at = parts.index(rarest)
 
-def _starts(hits: Column, word: str, places: list[int]) -> Column:
-    """Starts that the occurrences of one word vote for."""
-    at = F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"])
-    votes = [_minus(at, p) for p in places]
-    return votes[0] if len(votes) == 1 else F.array_distinct(F.concat(*votes))
+    def agrees(h: Column) -> Column:
+        out = h["w"] == rarest
+        for k, w in enumerate(parts):
+            if k != at:
+                out = out & F.coalesce(F.get(words, h["i"] + (k - at)) == w, F.lit(False))
+        return out
 
+    return F.transform(F.filter(hits, agrees), lambda h: (h["i"] - at).cast("long"))
 
-def _places(text: str, word: str) -> list[int]:
-    return [k for k, w in enumerate(text.split()) if w == word]
 
-
-def _phrase_starts(hits: Column, index: Index, phrase: str) -> Column:
-    """All places of a phrase: its words' postings, rarest first, intersected by relative position."""
-    lists = [_starts(hits, w, [p]) for w in index.rare(phrase) for p in _places(phrase, w)]
-    return reduce(F.array_intersect, lists)
+def _named(starts: Column, label: str) -> Column:
+    return F.transform(starts, lambda s: F.struct(F.lit(label).alias("label"), s.alias("start")))
 
 
-def _named(starts: Column, label: str) -> Column:
-    return F.transform(starts, lambda s: F.struct(F.lit(label).alias("label"), s.cast("long").alias("start")))
+def _voted(hits: Column, index: Index) -> Column:
+    """Votes with enough equal ones, each once."""
+    postings = index.postings()
+    if not postings:
+        return F.array().cast("array<bigint>")
+    table = F.create_map(*[x for w, places in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit((t << SHIFT) + AHEAD - p).cast("long") for t, p in places]))])
+    needed = F.array(*[F.lit(n) for n in index.needed()])
+    votes = F.flatten(F.transform(F.filter(hits, lambda h: h["w"].isin(sorted(postings))), lambda h: F.transform(F.try_element_at(table, h["w"]), lambda x: x + h["i"])))
 
+    def enough(v: Column) -> Column:
+        return F.array_distinct(F.filter(v, lambda x, j: F.get(v, j - F.get(needed, F.shiftright(x, SHIFT).cast("int")) + 1) == x))
 
-def _notice_share(hits: Column, index: Index, text: str, keys: list[str]) -> Column:
-    """Largest share of a notice's weight in place over all acceptable starts, else 0."""
-    words = text.split()
-    rare, need = index.agreeing(text)
-    total = sum(index.weight[w] for w in words)
-    expected, weights = _strings(words), F.array(*[F.lit(index.weight[w]) for w in words])
+    return bind(F.array_sort(votes), enough)
 
-    def agreed(votes: Column) -> Column:
-        # a start that enough words agree on has the vote of one of the rarest
-        starts = F.array_distinct(F.flatten(F.slice(votes, 1, len(rare) - need + 1)))
-        return F.filter(starts, lambda s: F.size(F.filter(votes, lambda v: F.array_contains(v, s))) >= need)
 
-    def share(s: Column) -> Column:
-        inside = F.filter(hits, lambda h: (h["i"] >= s) & (h["i"] < s + len(words)))
-        right = F.filter(inside, lambda h: F.get(expected, h["i"] - s) == h["w"])
-        return F.aggregate(right, F.lit(0.0), lambda a, h: a + F.get(weights, h["i"] - s)) / total
+def _verified(words: Column, voted: Column, index: Index) -> Column:
+    """(template, share of the weight in place) of the votes whose start holds the template."""
+    expected = F.array(*[_strings(t.words) for t in index.templates])
+    weights = F.array(*[F.array(*[F.lit(index.weight[w] / sum(index.weight[x] for x in t.words)) for w in t.words]) for t in index.templates])
+    key = "array<struct<at:int,n:int>>"
+    keys = F.array(*[F.array(*[F.struct(F.lit(a).alias("at"), F.lit(n).alias("n")) for a, n in t.keys]) if t.keys else F.array().cast(key) for t in index.templates])
 
-    def verified(s: Column, places: Column) -> Column:
-        return reduce(lambda a, b: a & b, [_within(places[k], s, len(words) - len(key.split())) for k, key in enumerate(keys)])
+    def one(vote: Column) -> Column:
+        t, start = F.shiftright(vote, SHIFT).cast("int"), (vote.bitwiseAND((1 << SHIFT) - 1) - AHEAD).cast("int")
 
-    def best(starts: Column) -> Column:
-        places = F.array(*[_phrase_starts(hits, index, k) for k in keys])
-        good = F.when(F.size(starts) > 0, bind(places, lambda p: F.filter(starts, lambda s: verified(s, p))))
-        return F.array_max(F.filter(F.transform(good, share), lambda x: x >= IN_PLACE))
+        def check(x: Column) -> Column:
+            def same(k: Column) -> Column:
+                return F.coalesce(F.get(words, x["s"] + k) == F.get(x["e"], k), F.lit(False))
 
-    votes = F.array(*[_starts(hits, w, _places(text, w)) for w in rare])
-    return F.coalesce(bind(bind(votes, agreed), best), F.lit(0.0))
+            whole = F.forall(x["k"], lambda p: F.forall(F.sequence(p["at"], p["at"] + p["n"] - 1), same))
+            share = F.aggregate(F.sequence(F.lit(0), F.size(x["e"]) - 1), F.lit(0.0), lambda a, k: a + F.when(same(k), F.get(x["g"], k)).otherwise(0.0))
+            return F.struct(x["t"].alias("t"), F.when(whole, share).otherwise(0.0).alias("share"))
 
+        return bind(F.struct(t.alias("t"), start.alias("s"), F.get(expected, t).alias("e"), F.get(weights, t).alias("g"), F.get(keys, t).alias("k")), check)
 
-def _within(places: Column, s: Column, room: int) -> Column:
-    return F.exists(places, lambda p: (p >= s) & (p <= s + room))
+    return F.filter(F.transform(voted, one), lambda x: x["share"] >= IN_PLACE)
 
 
 def scan_licenses(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start)."""
-    vocabulary = list(index.weight)
+    vocabulary = sorted({w for p in index.phrases for w in split(p)} | set(index.postings()))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    # a cheap test that no file with a phrase or notice fails; only what passes is taken apart
+    # a cheap test that no file with a phrase or template fails; only what passes is taken apart
     maybe = bind(F.lower(text), lambda t: reduce(lambda a, b: a | b, [t.contains(k) for k in index.keys()]))
-    known = F.filter(F.transform(words_of(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
+    labels = _strings([t.label for t in index.templates])
+
+    def look(words: Column) -> Column:
+        def found(hits: Column) -> Column:
+            base = F.concat(*[_named(_phrase_starts(words, hits, index, p), label) for p, label in index.phrases.items()])
+            return F.struct(base.alias("base"), _verified(words, _voted(hits, index), index).alias("notices"))
 
-    def look(h: Column) -> Column:
-        base = F.concat(*[_named(_phrase_starts(h, index, p), label) for p, label in index.phrases.items()])
-        shares = F.array(*[F.struct(F.lit(label).alias("label"), _notice_share(h, index, notice, keys).alias("share")) for label, notice, keys in index.notices])
-        return F.struct(base.alias("base"), F.filter(shares, lambda x: x["share"] > 0).alias("notices"))
+        known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
+        return bind(known, found)
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(maybe, bind(known, look)).alias("found"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(maybe, bind(words_of(text), look)).alias("found"))
     rows = rows.select("doc_id", "n_words", F.col("found.base").alias("base"), F.col("found.notices").alias("notices"))
     empty = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), empty)
-    more = F.coalesce(F.transform("notices", lambda x: x["label"]), empty)
+    more = F.coalesce(F.transform("notices", lambda x: F.get(labels, x["t"])), empty)
     starts = F.transform("base", lambda b: b["start"])
     score = F.greatest(F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("notices", lambda x: x["share"])), F.lit(0.0)))
     return rows.select(

@@ -4,10 +4,11 @@ Features: lengths of url, host and path, path depth, host depth, digit share, le
 parameters, hyphens, and two suffix statistics (how many labelled urls end in the host's last label,
 and the smoothed share of them that is blocked).  Labels are the verdicts of rules, or any label column.
 
-Training is a sequence of aggregations.  Equal rows of bins are counted together first, so a host that
-holds a third of all urls shrinks before it meets.  Each level of a tree takes one histogram of
-gradients per node, feature and bin: a bounded number of rows, all summed as integers, so that the
-result does not depend on the order of execution.  Scoring is a sum of CASE expressions.
+Training is a sequence of aggregations.  A labelled url's suffix statistics come from the folds that it is not
+in.  Equal rows of bins are counted together first, so a host that holds a third of all urls shrinks before
+it meets.  Each level of a tree takes one histogram of gradients per node, feature and bin: a bounded
+number of rows.  Everything is summed as integers and bins lie at fixed levels, so the result does not
+depend on the order of execution.  Scoring is a sum of CASE expressions.
 
 Defined results
 ---------------
@@ -36,6 +37,11 @@ FEATURES = ["url_length", "host_length", "path_length", "path_depth", "host_dept
 TREES, DEPTH, BINS, RATE, RIDGE = 8, 3, 16, 0.4, 1.0
 #: Gradients are summed as integers of this fraction.
 UNIT = 1_000_000
+#: Folds of the suffix statistics in training; different rows of bins that trees are grown from (a bound of the
+#: training alone: the ones that come first by hash, with their counts); and levels at which a feature is counted
+#: for its bins, with the levels per unit of each feature.
+FOLDS, TRAINING_ROWS, LEVELS = 5, 200_000, 8_192
+STEPS = {"digit_share": 4_096, "entropy": 256, "suffix_urls": 128, "suffix_blocked": 4_096}
 
 
 @dataclass
@@ -96,12 +102,32 @@ def _share(url: Column, letter: Column, n: Column) -> Column:
     return (F.length(url) - F.length(F.replace(url, letter, F.lit("")))) / F.greatest(F.length(letter), F.lit(1)) / n
 
 
-def with_suffixes(rows: DataFrame) -> DataFrame:
-    """Adds the suffix statistics; rows carry ``y`` (1 block, 0 allow, null unlabelled)."""
-    stats = rows.filter("y is not null").groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-    joined = rows.join(stats.withColumnRenamed("suffix", "stat_suffix"), F.col("suffix") == F.col("stat_suffix"), "left")
-    n, blocked = F.coalesce("n", F.lit(0)), F.coalesce("blocked", F.lit(0))
-    return joined.withColumns({"suffix_urls": F.log1p(n.cast("double")), "suffix_blocked": (blocked + 1.0) / (n + 2.0)}).drop("n", "blocked", "stat_suffix")
+def _suffix_counts(rows: DataFrame, *more: Column) -> DataFrame:
+    """Labelled urls and blocked ones by suffix; combined per task before they meet."""
+    return rows.filter("y is not null").groupBy(F.col("suffix").alias("stat_suffix"), *more).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
+
+
+def _with_statistics(rows: DataFrame, n: Column, blocked: Column) -> DataFrame:
+    n, blocked = F.coalesce(n, F.lit(0)), F.coalesce(blocked, F.lit(0))
+    return rows.withColumns({"suffix_urls": F.log1p(n.cast("double")), "suffix_blocked": (blocked + 1.0) / (n + 2.0)})
+
+
+def with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Adds the suffix statistics over all labelled rows (y: 1 block, 0 allow, null unlabelled)."""
+    stats = _suffix_counts(labelled)
+    joined = rows.join(stats, F.col("suffix") == F.col("stat_suffix"), "left")
+    return _with_statistics(joined, F.col("n"), F.col("blocked")).drop("n", "blocked", "stat_suffix")
+
+
+def with_other_folds(rows: DataFrame) -> DataFrame:
+    """Labelled rows with the suffix statistics of the folds that they are not in, so that no label is its own
+    feature.  Equal urls share a fold."""
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    parts = _suffix_counts(rows, fold.alias("stat_fold"))
+    per_suffix = parts.groupBy("stat_suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("stat_fold", F.struct("n", "blocked")))).alias("own"))  # FOLDS entries at most
+    joined = rows.filter("y is not null").join(per_suffix, F.col("suffix") == F.col("stat_suffix"))
+    own = F.try_element_at("own", fold)
+    return _with_statistics(joined, F.col("n") - own["n"], F.col("blocked") - own["blocked"]).drop("n", "blocked", "own", "stat_suffix")
 
 
 def binned(model: Trees) -> list[Column]:
@@ -132,34 +158,65 @@ def _sums(p: Column) -> list[Column]:
     return [g, F.sum(F.round(p * (1 - p) * UNIT).cast("long") * F.col("n")).alias("h")]
 
 
+def bin_edges(known: DataFrame) -> list[list[float]]:
+    """Thresholds of every feature at equal shares of its rows.
+
+    Features are counted at fixed levels (whole numbers, or fractions of one), so the counts are exact
+    whatever the order and partitioning, and bounded: LEVELS rows per feature.
+    """
+    level = F.array(*[F.struct(F.lit(k).alias("f"), F.least(F.floor(F.col(f) * STEPS.get(f, 1)), F.lit(LEVELS)).cast("int").alias("at")) for k, f in enumerate(FEATURES)])
+    counts = known.select(F.explode(level).alias("x")).groupBy("x.f", "x.at").count().collect()
+    out = []
+    for k, f in enumerate(FEATURES):
+        mine = sorted((r["at"], r["count"]) for r in counts if r["f"] == k)
+        total, seen, edges = sum(n for _, n in mine), 0, set()
+        for at, n in mine[:-1]:
+            if (seen + n) * BINS // total > seen * BINS // total:
+                edges.add((at + 1) / STEPS.get(f, 1) - 1e-9)
+            seen += n
+        out.append(sorted(edges))
+    return out
+
+
 def fit(rows: DataFrame) -> Trees:
     """Boosted trees from rows with FEATURES and y (0 or 1, nulls left out)."""
     known = rows.filter("y is not null")
-    quantiles = [k / BINS for k in range(1, BINS)]
-    first = known.agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *[F.percentile_approx(f, quantiles, 10_000).alias(f) for f in FEATURES]).first()
+    first = known.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
     n, ones = first["n"], first["ones"] or 0
     if ones in (0, n):
         return Trees(-20.0 if ones == 0 else 20.0, [[] for _ in FEATURES])
-    model = Trees(math.log(ones / (n - ones)), [sorted(set(first[f])) for f in FEATURES])
+    model = Trees(math.log(ones / (n - ones)), bin_edges(known))
     bins = [f"b_{f}" for f in FEATURES]
-    table = stored(known.select("y", *binned(model)).groupBy("y", *bins).agg(F.count("*").alias("n")))
+    counted = known.select("y", *binned(model)).groupBy("y", *bins).agg(F.count("*").alias("n"))
+    table = stored(counted.orderBy(F.xxhash64("y", *bins), "y", *bins).limit(TRAINING_ROWS))
     inner = (1 << DEPTH) - 1
     for _ in range(TREES):
         p = 1 / (1 + F.exp(-margin(model)))
         nodes: list[tuple[int, int] | None] = [None] * inner
+        cells: list = []
         for level in range(DEPTH):
             low, wide = (1 << level) - 1, 1 << level
             here = _walk(nodes[:low], [F.lit(k) for k in range(wide)]) if low else F.lit(0)
             spread = table.select("y", "n", p.alias("p"), here.alias("node"), F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(b).alias("b")) for k, b in enumerate(bins)])).alias("x"))
             cells = spread.groupBy("node", "x.f", "x.b").agg(*_sums(F.col("p"))).collect()  # nodes x features x bins at most
             nodes[low : low + wide] = _splits(cells, wide)
-        leaf = _walk(nodes, [F.lit(k) for k in range(inner + 1)])
-        sums = {r["leaf"]: (r["g"] / UNIT, r["h"] / UNIT) for r in table.groupBy(leaf.alias("leaf")).agg(*_sums(p)).collect()}
         model.nodes.append(nodes)
-        model.leaves.append([-RATE * sums[k][0] / (sums[k][1] + RIDGE) if k in sums else 0.0 for k in range(inner + 1)])
+        model.leaves.append(_leaves(cells, nodes[inner // 2 :]))
     return model
 
 
+def _leaves(cells: list, splits: list[tuple[int, int] | None]) -> list[float]:
+    """Values of the leaves below the last level, from that level's histogram."""
+    out = []
+    for node, split in enumerate(splits):
+        feature, bin_ = split or (0, BINS)
+        for left in (True, False):
+            mine = [r for r in cells if r["node"] == node and r["f"] == feature and (r["b"] <= bin_) == left]
+            g, h = (sum(r[k] for r in mine) / UNIT for k in ("g", "h"))
+            out.append(-RATE * g / (h + RIDGE))
+    return out
+
+
 def _splits(cells: list, wide: int) -> list[tuple[int, int] | None]:
     """Best (feature, bin) of every node of a level."""
     by_node: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
@@ -196,8 +253,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     if label_col is None:
         rows = rows.withColumn("y", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    rows = with_suffixes(lexical(rows))
-    model = fit(rows)
-    scored = rows.select("page_id", "host", "path", "rule", "ruled", *binned(model)).withColumn("score", 1 / (1 + F.exp(-margin(model))))
+    rows = lexical(rows)
+    model = fit(with_other_folds(rows))
+    scored = with_suffixes(rows, rows).select("page_id", "host", "path", "rule", "ruled", *binned(model)).withColumn("score", 1 / (1 + F.exp(-margin(model))))
     learned = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")

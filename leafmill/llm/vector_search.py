@@ -2,15 +2,18 @@
 
 Components become integers, ``floor(scale * x)``.  Every dimension is cut into 64 equal cells between
 its least and greatest value over all rows; a vector's approximation is one cell number per dimension.
-The approximation file (cells beside the exact vectors) is written once.  For each block of queries
+The approximation file is a Parquet table with the cells and the exact vectors in columns of their own.
 
-1. a scan of the cells bounds every score from both sides, and the k-th largest lower bound over the
-   whole file is found;
-2. a second scan takes the candidates whose upper bound reaches it, reads their exact vectors in
-   descending order of the upper bound and stops where no bound reaches the k-th exact score.
+1. A scan that reads the cells alone bounds every score from both sides, for blocks of queries, and gives
+   each query's k-th largest lower bound.
+2. A second scan of the cells takes the candidates whose upper bound reaches it.
+3. Of each query's candidates in descending order of the upper bound the first are fetched, and scored
+   exactly; then those whose upper bound reaches the k-th exact score.  No other vector can matter.
 
-Scans yield at most k rows per query and task.  Queries go out in blocks of bounded size; the work is
-queries times rows, as the question demands, but never a join of the two.
+Scans keep at most k lower bounds per query and task.  Queries and cells meet in blocks; the work is queries
+times rows, as the question demands, but never a join of the two.  Neither passes through the driver: query
+blocks of up to ``BROADCAST_BLOCKS`` blocks are broadcast, more meet cell blocks by a shuffle.  Of equal
+vectors of a task only the smallest ids are candidates, as many as can be among the best.
 
 Defined results
 ---------------
@@ -25,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,11 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._graph import stored
+from ._graph import written
 
 CELLS = 64
-QUERY_BLOCK = 4_096
+#: Queries and cells of a block, blocks of queries that are broadcast (about 1 MB each at 64 dimensions), and
+#: parts that a block of queries is copied for where they are not.
+QUERY_BLOCK, CELL_BLOCK, BROADCAST_BLOCKS, SALTS = 2_048, 16_384, 64, 16
 _ROWS = 1_024
+#: Vectors that a task remembers; more of equal ones stay candidates after that.
+SEEN = 100_000
 
 
 def integers(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
@@ -101,29 +109,78 @@ def _own(q: Queries, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[hit], hit
 
 
-def _pieces(batch: pa.RecordBatch, blocks: dict[int, Queries]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    dims = batch.column(1).to_numpy(zero_copy_only=False)
-    for dim in np.unique(dims).tolist():
-        if dim in blocks:
+def thin(ids: np.ndarray, values: list[bytes], k: int, seen: dict[bytes, list[int]]) -> np.ndarray:
+    """Which rows can be among the k best of a query that is not their own, after the rows ``seen``: of equal
+    vectors the k + 1 smallest ids, each up to k times.  Ids come in any order, so this keeps a superset."""
+    out = np.ones(len(ids), bool)
+    if len(seen) > SEEN:
+        seen.clear()
+    for j, (i, v) in enumerate(zip(ids.tolist(), values, strict=True)):
+        mine = seen.setdefault(v, [])
+        if (len(mine) >= k * (k + 1) and i >= mine[-1]) or mine.count(i) >= k:
+            out[j] = False
+        else:
+            insort(mine, i)
+            del mine[k * (k + 1) :]
+    return out
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, ids, cells): blocks of rows as two binary values."""
+    for batch in batches:
+        dims = batch.column(1).to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
-            for k in range(0, len(rows), _ROWS):
-                yield dim, batch.take(pa.array(rows[k : k + _ROWS]))
+            for at in range(0, len(rows), CELL_BLOCK):
+                some = batch.take(pa.array(rows[at : at + CELL_BLOCK]))
+                ids = some.column(0).to_numpy(zero_copy_only=False).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids], pa.binary()), pa.array([b"".join(some.column(2).to_pylist())], pa.binary())], names=["dim", "ids", "cells"])
 
 
-def scan_bounds(batches: Iterator[pa.RecordBatch], blocks: dict[int, Queries], marks: dict[int, Marks], k: int) -> Iterator[pa.RecordBatch]:
-    """The k largest lower bounds of every query over the task's rows."""
-    best = {d: np.full((len(q.ids), k), -np.inf) for d, q in blocks.items()}
+def _meetings(batches: Iterator[pa.RecordBatch], marks: dict[int, Marks]) -> Iterator[tuple[tuple[int, int], Queries, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (dim, qb, ids, cells, queries): the block, its queries and floors, and a few candidates with their cells."""
+    last, q, floor = None, None, None
     for batch in batches:
-        for dim, rows in _pieces(batch, blocks):
-            q = blocks[dim]
-            middle, half = _bounds(q, marks[dim], _matrix(rows.column(3), dim, np.uint8))
-            lower = middle - half
-            lower[_own(q, rows.column(0).to_numpy(zero_copy_only=False))] = -np.inf
-            every = np.concatenate([best[dim], lower], 1)
-            best[dim] = np.partition(every, every.shape[1] - k, 1)[:, -k:]
-    for dim, q in blocks.items():
-        found = np.isfinite(best[dim])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, found.sum(1))), pa.array(best[dim][found])], names=["query_id", "bound"])
+        for dim, qb, ids, cells, block in zip(*batch.columns, strict=True):
+            dim, qb = dim.as_py(), qb.as_py()
+            if dim not in marks:
+                continue
+            if last != (dim, qb):
+                last, (asked, vectors, floors) = (dim, qb), block.values.flatten()
+                asked = asked.to_numpy(zero_copy_only=False)
+                order = np.argsort(asked)
+                q = Queries(asked[order], _matrix(vectors, dim)[order])
+                floor = floors.fill_null(-np.inf).to_numpy(zero_copy_only=False)[order]
+            names = np.frombuffer(ids.as_py(), np.int64)
+            matrix = np.frombuffer(cells.as_py(), np.uint8).reshape(len(names), dim)
+            for at in range(0, len(names), _ROWS):
+                yield last, q, floor, names[at : at + _ROWS], matrix[at : at + _ROWS]
+
+
+def scan_bounds(batches: Iterator[pa.RecordBatch], marks: dict[int, Marks], k: int) -> Iterator[pa.RecordBatch]:
+    """The k largest lower bounds of every query over the task's rows."""
+    best: dict[tuple[int, int], tuple[Queries, np.ndarray]] = {}
+    for key, q, _, ids, cells in _meetings(batches, marks):
+        middle, half = _bounds(q, marks[key[0]], cells)
+        lower = middle - half
+        lower[_own(q, ids)] = -np.inf
+        old = best[key][1] if key in best else np.full((len(q.ids), k), -np.inf)
+        every = np.concatenate([old, lower], 1)
+        best[key] = q, np.partition(every, every.shape[1] - k, 1)[:, -k:]
+    for q, bounds in best.values():
+        found = np.isfinite(bounds)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, found.sum(1))), pa.array(bounds[found])], names=["query_id", "bound"])
+
+
+def scan_candidates(batches: Iterator[pa.RecordBatch], marks: dict[int, Marks]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose upper bound reaches the query's floor."""
+    for key, q, floor, ids, cells in _meetings(batches, marks):
+        middle, half = _bounds(q, marks[key[0]], cells)
+        upper = middle + half
+        upper[_own(q, ids)] = -np.inf
+        who, what = np.nonzero((upper >= floor[:, None]) & np.isfinite(upper))
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[who]), pa.array(ids[what]), pa.array(upper[who, what])], names=["query_id", "vec_id", "upper"])
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,50 +188,14 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
-def scan_exact(batches: Iterator[pa.RecordBatch], blocks: dict[int, Queries], marks: dict[int, Marks], least: dict[int, float], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best exact scores of every query over the task's rows."""
-    never = np.iinfo(np.int64)
-    score = {d: np.full((len(q.ids), k), never.min) for d, q in blocks.items()}
-    owner = {d: np.full((len(q.ids), k), never.max) for d, q in blocks.items()}
-    floor = {d: np.array([least.get(i, -np.inf) for i in q.ids.tolist()]) for d, q in blocks.items()}
+def score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of rows (query_id, vec_id, dim, q, v)."""
     for batch in batches:
-        for dim, rows in _pieces(batch, blocks):
-            q, s, o = blocks[dim], score[dim], owner[dim]
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
-            middle, half = _bounds(q, marks[dim], _matrix(rows.column(3), dim, np.uint8))
-            upper = middle + half
-            upper[_own(q, ids)] = -np.inf
-            full = s[:, -1] > never.min
-            who, what = np.nonzero((upper >= floor[dim][:, None]) & (upper >= np.where(full, s[:, -1].astype(np.float64), -np.inf)[:, None]) & np.isfinite(upper))
-            if len(who) == 0:
-                continue
-            exact = _matrix(rows.column(2), dim)
-            order = np.lexsort((-upper[who, what], who))
-            who, what = who[order], what[order]
-            first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-            turn = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-            lo, width = 0, max(8, k)
-            while len(who):  # the next few of every query, then drop what cannot be among the best any more
-                now = turn < lo + width
-                w, c = who[now], what[now]
-                got = _scores(q.vectors[w], exact[c])
-                mine, place = np.unique(w, return_inverse=True)
-                new_s, new_o = np.full((len(mine), k + width), never.min), np.full((len(mine), k + width), never.max)
-                new_s[:, :k], new_o[:, :k] = s[mine], o[mine]
-                new_s[place, k + turn[now] - lo], new_o[place, k + turn[now] - lo] = got, ids[c]
-                rank = np.lexsort((new_o, -new_s.astype(object) if never.min in got else _descending(new_s)), axis=1)[:, :k]
-                s[mine], o[mine] = np.take_along_axis(new_s, rank, 1), np.take_along_axis(new_o, rank, 1)
-                kth = np.where(s[:, -1] > never.min, s[:, -1].astype(np.float64), -np.inf)
-                left = ~now & (upper[who, what] >= kth[who])
-                who, what, turn = who[left], what[left], turn[left]
-                lo, width = lo + width, width * 2
-    for dim, q in blocks.items():
-        found = owner[dim] < never.max
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, found.sum(1))), pa.array(owner[dim][found]), pa.array(score[dim][found])], names=["query_id", "vec_id", "score"])
-
-
-def _descending(s: np.ndarray) -> np.ndarray:
-    return ~s  # reverses the order of signed integers without overflow
+        dims = batch.column(2).to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims).tolist():
+            rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
+            score = _scores(_matrix(rows.column(3), dim), _matrix(rows.column(4), dim))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -182,8 +203,6 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
 
     ``is_query`` is a condition on the column ``id``.
     """
-    spark = vectors.sparkSession
-    context = spark.sparkContext
     plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"))
     whole = plain.mapInArrow(lambda b: integers(b, scale), "id long, dim int, v binary")
 
@@ -208,34 +227,46 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
         marks[int(dim)] = Marks(low, np.maximum(1, -(-(high - low + 1) // CELLS)))
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
         for batch in batches:
-            cells = [marks[d].cells(np.frombuffer(v, np.int64)).tobytes() for d, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], names=["id", "dim", "v", "cells"])
-
-    file = stored(whole.mapInArrow(approximate, "id long, dim int, v binary, cells binary"))
-    queries = file.filter(is_query).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.dim", "q.v")
-
-    def search(rows: list) -> DataFrame:
-        blocks = {}
-        for dim in {r["dim"] for r in rows}:
-            mine = sorted(((r["id"], bytes(r["v"])) for r in rows if r["dim"] == dim), key=lambda x: x[0])
-            blocks[dim] = Queries(np.array([i for i, _ in mine], np.int64), np.frombuffer(b"".join(v for _, v in mine), np.int64).reshape(len(mine), dim))
-        sent = context.broadcast((blocks, marks))
-        bounds = file.mapInArrow(lambda b: scan_bounds(b, *sent.value, k), "query_id long, bound double")
-        kth = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound")))).filter(F.col("n") == k)
-        least = context.broadcast({r["query_id"]: r["bound"] for r in kth.collect()})  # one number per query of the block
-        return file.mapInArrow(lambda b: scan_exact(b, *sent.value, least.value, k), "query_id long, vec_id long, score long")
-
-    found, block = [], []
-    for row in queries.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found.append(search(block))
-            block = []
-    if block:
-        found.append(search(block))
-    out = found[0] if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for more in found[1:]:
-        out = out.unionByName(more)
+            ids, dims, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cells = [marks[d].cells(np.frombuffer(v, np.int64)).tobytes() for d, v in zip(dims, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary()), pa.array(thin(ids, values, k, seen))], names=["id", "dim", "v", "cells", "candidate"])
+
+    file = written(whole.mapInArrow(approximate, "id long, dim int, v binary, cells binary, candidate boolean"))
+    queries = written(file.filter(is_query).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select(F.col("id").alias("query_id"), "q.dim", F.col("q.v").alias("q")))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    cells = file.filter("candidate").select("id", "dim", "cells").mapInArrow(pack, "dim int, ids binary, cells binary")
+
+    def met(bounds: DataFrame | None) -> DataFrame:
+        """(dim, qb, ids, cells, queries): blocks of cells beside blocks of queries with their floors."""
+        rows = queries.withColumn("bound", F.lit(None).cast("double")) if bounds is None else queries.join(bounds, "query_id", "left")
+        of = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb")
+        packed = rows.groupBy("dim", of).agg(F.collect_list(F.struct("query_id", "q", "bound")).alias("queries"))
+        spread = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        if blocks <= BROADCAST_BLOCKS:
+            joined = spread.join(F.broadcast(packed), ["dim", "qb"])
+        else:
+            salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = spread.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(salted, ["dim", "qb", "salt"])
+        return joined.select("dim", "qb", "ids", "cells", "queries")
+
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"))
+    bounds = met(None).mapInArrow(lambda b: scan_bounds(b, marks, k), "query_id long, bound double")
+    kth = bounds.withColumn("n", F.row_number().over(by_bound)).filter(F.col("n") == k).select("query_id", "bound")
+    pairs = met(kth).mapInArrow(lambda b: scan_candidates(b, marks), "query_id long, vec_id long, upper double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    pairs = written(pairs.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")).withColumn("turn", F.row_number().over(order)))
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Exact scores; only the vectors of these pairs are looked up."""
+        exact = file.filter("candidate").select(F.col("id").alias("vec_id"), "dim", "v")
+        found = some.select("query_id", "vec_id").join(queries, "query_id").join(exact, ["vec_id", "dim"])
+        return found.select("query_id", "vec_id", "dim", "q", "v").mapInArrow(score_pairs, "query_id long, vec_id long, score long")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    first = written(scored(pairs.filter(F.col("turn") <= 2 * k)))
+    least = first.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
+    more = pairs.filter(F.col("turn") > 2 * k).join(least, "query_id", "left").filter("least is null or upper >= least")
+    out = first.unionByName(scored(more))
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,56 @@ def test_notices_need_weight_and_key_phrases(rows):
     assert {"mit", "mit-release"} == labels[3]
 
 
+def squeezed(text):
+    return " ".join(text.split())
+
+
+def test_whole_texts(spark):
+    rows = [(k, f"// file {k}\n" + squeezed(text).replace("SOFTWARE", "PROGRAM", 1)) for k, (_, text, _) in enumerate(L.LICENCES)]
+    rows += [(100 + k, squeezed(text)[40:]) for k, (_, text, _) in enumerate(L.LICENCES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in L.scan_licenses(df, L.build_index(df)).collect()}
+    for k, (label, _, _) in enumerate(L.LICENCES):
+        assert label in got[k][0] and got[k][1] > 0.7, label
+
+
+def reference(text, index):
+    """Labels of templates: all starts, place by place."""
+    w, out = words(text), set()
+    for t, need in zip(index.templates, index.needed()):
+        rare = set(index.rare(t.words)[: L.RARE_WORDS])
+        total = sum(index.weight[x] for x in t.words)
+        for s in range(-len(t.words), len(w)):
+            same = [0 <= s + k < len(w) and w[s + k] == x for k, x in enumerate(t.words)]
+            if sum(b and x in rare for b, x in zip(same, t.words)) >= need and all(all(same[a : a + n]) for a, n in t.keys):
+                if sum(index.weight[x] for b, x in zip(same, t.words) if b) >= L.IN_PLACE * total - 1e-9:
+                    out.add(t.label)
+    return out
+
+
+def test_template_labels_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    index = L.build_index(docs)
+    extra = spark.createDataFrame([(-k, t) for k, t in CASES.items() if k != 12], "doc_id long, text string")
+    every = docs.unionByName(extra)
+    texts = {r.doc_id: r.text for r in every.collect()}
+    for r in L.scan_licenses(every, index).collect():
+        assert set(filter(None, r.labels.split(","))) - set(L.PHRASES.values()) == reference(texts[r.doc_id], index)
+
+
+def test_a_text_that_repeats_a_notice_very_often(spark):
+    """The work grows with the text: a nested scan of 20,000 places would take hours."""
+    df = spark.createDataFrame([(1, "Released under the MIT License. " * 20_000)], "doc_id long, text string")
+    r = L.scan_licenses(df, L.build_index(df)).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels, r.score) == (100_000, 20_000, 3, 99_998, "mit,mit-release", 1.0)
+
+
+def test_other_alphabets_make_no_ascii_words(spark):
+    df = spark.createDataFrame([(1, "M\u0130T license, apache \u212aicense, MIT l\u0131cense")], "doc_id long, text string")
+    r = L.scan_licenses(df, L.build_index(df)).first()
+    assert (r.n_words, r.n_base, r.labels) == (6, 0, "")
+
+
 def test_whole_table_and_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     index = L.build_index(docs)
