@@ -9,7 +9,7 @@ Steps of one level: classify suffixes (L: larger than the next, S: smaller); sor
 between leftmost-S positions by inducing from them in any order; name them; sort the string of names
 (recursion; in memory once it fits); induce all L, then all S suffixes from the sorted seeds.
 Common prefixes are induced along: two neighbours share one byte more than the least value between
-the two suffixes that induced them.  Values stop at 255, and at a 0 byte: every 0 ends a string of
+the two suffixes that induced them.  Values stop at 255 or a given depth, and at a 0 byte: every 0 ends a string of
 its own.
 
 Memory holds a bounded number of tuples and one block of everything else: text, positions, names and
@@ -24,6 +24,7 @@ import heapq
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 
@@ -108,6 +109,14 @@ class Spool:
         self.held = 0
 
 
+def _joined(blocks: list[np.ndarray]) -> np.ndarray:
+    """One array of tuples; as plain bytes, since joining records field by field is slow."""
+    return blocks[0] if len(blocks) == 1 else np.concatenate([b.view(_RAW) for b in blocks]).view(TUPLE)
+
+
+_RAW = np.dtype((np.void, TUPLE.itemsize))
+
+
 class Queue:
     """Tuples in order of arrival; can be drained while it is filled, and read again backwards."""
 
@@ -125,7 +134,7 @@ class Queue:
 
     def flush(self) -> None:
         if self.fresh:
-            block = self.fresh[0] if len(self.fresh) == 1 else np.concatenate(self.fresh)
+            block = _joined(self.fresh)
             self.fresh = []
             f = self.spool.file
             f.seek(self.spool.end)
@@ -147,7 +156,7 @@ class Queue:
             if k == len(self.parts):
                 if not self.fresh:
                     return
-                self.parts.append(self.fresh[0] if len(self.fresh) == 1 else np.concatenate(self.fresh))
+                self.parts.append(_joined(self.fresh))
                 self.fresh = []
             self.at = k
             yield self._read(self.parts[k])
@@ -167,28 +176,42 @@ class Queue:
 
 
 class Heap:
-    """Priority queue of integer triples that spills sorted runs beyond ``limit`` entries."""
+    """Priority queue of integer triples that spills sorted runs beyond ``limit`` entries.
+
+    Of every run a small piece is in memory; many runs are merged into one.
+    """
+
+    RUNS = 32
 
     def __init__(self, limit: int):
         self.heap: list[tuple[int, int, int]] = []
         self.runs: list[tuple[tuple[int, int, int], int, Iterator]] = []
-        self.limit, self.files = max(4, limit), []
+        self.limit, self.spilled = max(4, limit), 0
+        self.piece = max(4, self.limit // (2 * self.RUNS))
 
     def push(self, item: tuple[int, int, int]) -> None:
         heapq.heappush(self.heap, item)
         if len(self.heap) > self.limit:
             self.heap.sort()
-            f = tempfile.TemporaryFile(dir=scratch_dir())
-            np.array(self.heap, np.int64).tofile(f)
-            f.seek(0)
-            self.files.append(f)
-            self.heap = []
-            self._advance(len(self.files), self._run(f))
-
-    @staticmethod
-    def _run(f) -> Iterator[tuple[int, int, int]]:
-        while data := f.read(24 * 4096):
+            heap, self.heap = self.heap, []
+            self._spill(iter(heap))
+            if len(self.runs) >= self.RUNS:
+                merged = heapq.merge(*(chain([first], run) for first, _, run in self.runs))
+                self.runs = []
+                self._spill(merged)
+
+    def _spill(self, items: Iterator[tuple[int, int, int]]) -> None:
+        f = tempfile.TemporaryFile(dir=scratch_dir())  # closed with its last reader
+        while some := list(islice(items, self.piece)):
+            f.write(np.array(some, np.int64).tobytes())
+        f.seek(0)
+        self.spilled += 1
+        self._advance(self.spilled, self._run(f))
+
+    def _run(self, f) -> Iterator[tuple[int, int, int]]:
+        while data := f.read(24 * self.piece):
             yield from map(tuple, np.frombuffer(data, np.int64).reshape(-1, 3).tolist())
+        f.close()
 
     def _advance(self, k: int, run: Iterator) -> None:
         if (item := next(run, None)) is not None:
@@ -207,8 +230,7 @@ class Heap:
         return item
 
     def close(self) -> None:
-        for f in self.files:
-            f.close()
+        self.heap, self.runs = [], []
 
 
 def _leftmost_s(text: np.ndarray, step: int) -> Iterator[np.ndarray]:
@@ -240,8 +262,8 @@ def leftmost_s(text: np.ndarray, step: int, room: int) -> np.ndarray:
     return out
 
 
-def order_in_memory(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of integers by prefix doubling."""
+def order_in_memory(names: np.ndarray, enough: int | None = None) -> np.ndarray:
+    """Suffix order of a string of integers by prefix doubling; of ``enough`` first names only, if that is given."""
     rank = names.astype(np.int64)
     n, span = len(rank), 1
     while True:
@@ -255,7 +277,7 @@ def order_in_memory(names: np.ndarray) -> np.ndarray:
         if new[-1] == n - 1:
             return order
         span *= 2
-        if span >= n:
+        if span >= (n if enough is None else min(n, enough)):
             return order
 
 
@@ -371,22 +393,26 @@ def _same(names: np.ndarray, i: int, to_i: int, j: int, to_j: int) -> bool:
     return all(np.array_equal(names[i + at.start : i + at.stop], names[j + at.start : j + at.stop]) for at in blocks(to_i - i + 1, 4096))
 
 
-def suffix_order(names: np.ndarray, limit: int) -> np.ndarray:
-    return order_in_memory(names) if len(names) <= limit * NAMES_PER_TUPLE else order_external(names, limit)
+def suffix_order(names: np.ndarray, limit: int, enough: int | None = None) -> np.ndarray:
+    return order_in_memory(names, enough) if len(names) <= limit * NAMES_PER_TUPLE else order_external(names, limit)
 
 
 class Sorter:
     """Sorts all suffixes of a text of bytes whose last byte is 0.
 
-    ``padded`` is the text with 8 more zero bytes behind it (``np.memmap`` will do).
+    ``padded`` is the text with 8 more zero bytes behind it (``np.memmap`` will do).  With ``depth`` suffixes that
+    agree on so many bytes may come in any order, one after another, and common prefixes stop there.
     """
 
-    def __init__(self, padded: np.ndarray, limit: int = MEMORY_TUPLES):
+    def __init__(self, padded: np.ndarray, limit: int = MEMORY_TUPLES, depth: int | None = None):
+        self.depth = 255 if depth is None else depth
+        # a leftmost-S substring has two bytes of its own at least
+        self.enough = None if depth is None else depth // 2 + 1
         text = padded[:-8]
         self.text, self.limit, self.n = text, limit, len(text)
         self.room = limit * TUPLE.itemsize
         self.words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        self.counts = sum(np.bincount(text[at], minlength=256) for at in blocks(self.n, 1 << 22))
+        self.counts = sum(np.bincount(text[at], minlength=256) for at in blocks(self.n, 1 << 18))
         self.letters = np.flatnonzero(self.counts)
 
     def _ahead(self, pos: np.ndarray) -> np.ndarray:
@@ -402,7 +428,7 @@ class Sorter:
         return out
 
     def _common(self, a: int, b: int) -> int:
-        x, y = self.text[a : a + 255], self.text[b : b + 255]
+        x, y = self.text[a : a + self.depth], self.text[b : b + self.depth]
         m = min(len(x), len(y))
         stop = np.flatnonzero((x[:m] != y[:m]) | (x[:m] == 0))
         return int(stop[0]) if len(stop) else m
@@ -455,7 +481,7 @@ class Sorter:
             if least is not None:
                 spans = np.minimum.reduceat(wide, np.append(0, at[mine] + 1))
                 spans[0] = min(spans[0], low[c])
-                out["lcp"] = np.minimum(spans[:-1], 254) + 1
+                out["lcp"] = np.minimum(spans[:-1], self.depth - 1) + 1
                 low[c] = spans[-1]
             queues[c].append(out)
 
@@ -540,7 +566,7 @@ class Sorter:
                 pos = order[lo:hi]
                 lcp = np.zeros(hi - lo, np.uint8)
                 skip = int(lo == 0)
-                lcp[skip:] = self._common_many(order[lo - 1 + skip : hi - 1], pos[skip:], 255)
+                lcp[skip:] = self._common_many(order[lo - 1 + skip : hi - 1], pos[skip:], self.depth)
                 yield self._tuples(pos, lcp)
 
         return of
@@ -578,7 +604,7 @@ class Sorter:
             order = found.array()[::-1]
             names, labels = self._name(seeds, order)
             if labels < len(seeds):
-                inner, sorted_seeds = suffix_order(names, self.limit), Shelf(np.int64, self.room)
+                inner, sorted_seeds = suffix_order(names, self.limit, self.enough), Shelf(np.int64, self.room)
                 for at in blocks(len(inner), self.step):
                     sorted_seeds.append(seeds[inner[at]])
                 order = sorted_seeds.array()

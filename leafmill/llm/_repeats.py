@@ -15,7 +15,7 @@ the operator's method, over the classes' texts: in shards of bounded size, which
 The first member's windows repeat where another class has them earlier (``own``); those of all others
 where the method meets them at all (``again``).  Equal runs of one Arrow batch send one row to the
 anchor; the others follow the verdict on that one, so a passage that a third of all documents share
-costs one row per batch.
+costs a few rows per batch.
 """
 
 from __future__ import annotations
@@ -25,26 +25,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import _induced as I
 from . import _text as X
 
-# place: first window << 32 | whether runs of the batch follow this one << 31 | number of windows; extra: see FOLLOW
-RUNS = "anchor long, ctx long, id long, tag long, place long, extra binary"
+# place: first window << 32 | whether runs of the batch follow this one << 31 | number of windows; extra: followers
+RUNS = "anchor long, ctx long, id long, place long, tag long, extra binary"
 CLASSES = "kind int, anchor long, id long, tag long, start int, n int, many boolean, followed boolean, extra binary"
 CUTS = CLASSES + ", body binary"
 FOUND = "kind int, id long, tag long, start int, n int, extra binary"
 SPANS = "id long, tag long, start int, n int"
 
-#: Kinds of CLASSES rows: earliest member of a class (extra: others), more of its members, and runs that
-#: follow others; of FOUND rows: windows that are removed, windows whose followers are removed, both, followers.
+#: Kinds of CLASSES rows: earliest member of a class (extra: others), more of its members, and lists of
+#: followers; of FOUND rows: windows that are removed, windows whose followers are removed, both, followers.
 LEAD, MORE, FOLLOWS = 0, 1, 2
 OWN, AGAIN, BOTH, FOLLOWER = 0, 1, 2, 3
 MEMBER = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("followed", "u1")])
-#: Windows [start, start + n) of a follower equal those from ``at`` on of the leading document.
-FOLLOW = np.dtype([("id", "<i8"), ("tag", "<i8"), ("at", "<i8")])
+#: Windows [start, start + n) of a follower equal those from ``at`` on of the document that leads; rows of the
+#: leading document list its followers.
+FOLLOW = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("at", "<i4"), ("n", "<i4")])
+#: Documents of an Arrow batch with equal runs of which one leads.
+FOLLOWERS = 64
 #: Members that one row lists, and bytes of text after which a shard ends at the next anchor.
 MEMBERS, SHARD_BYTES = 4_096, 4_000_000
 
@@ -61,6 +66,8 @@ class Unit:
     gram: int
     values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     within: bool
+    followers: int = FOLLOWERS
+    members: int = MEMBERS
 
 
 def byte_values(data: np.ndarray, offsets: np.ndarray):
@@ -73,20 +80,56 @@ def word_values(data: np.ndarray, offsets: np.ndarray):
     return X.bytes_hash(data, starts, ends), starts, ends, first
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, tag, text) of every row, and the rows to search: one per (id, tag), no null ids.
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, tag, text) of every row, the rows to search (one per (id, tag), no null ids), and whether ids repeat.
 
     ``tag`` is 0 unless an id occurs more than once; then it is a hash of the text, so that repeated
-    rows count as one document and equal ids with different texts as two.
+    rows count as one document and equal ids with different texts as two.  With ``carry`` the rows bring
+    ``rest``: whether the text is null, and all other columns.
     """
     X.small_batches(docs.sparkSession)
-    # an expression of its own in each column: both joins then have one and the same exchange of the texts
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rest = [F.struct(F.col(f"`{text_col}`").isNull().alias("null"), others.alias("row")).alias("rest")] if carry else []
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), *rest)
     repeated = plain.filter("id is not null").groupBy("id").count().filter("count > 1").limit(1).count() > 0
-    rows = plain.select("id", (F.xxhash64("text") if repeated else F.col("id") - F.col("id")).alias("tag"), "text")
-    search = rows.filter(USABLE)
-    return rows, search.dropDuplicates(["id", "tag"]) if repeated else search
+    rows = plain.select("id", (F.xxhash64("text") if repeated else F.col("id") - F.col("id")).alias("tag"), "text", *["rest"] * carry)
+    search = rows.filter(USABLE).select("id", "tag", "text")
+    return rows, search.dropDuplicates(["id", "tag"]) if repeated else search, repeated
+
+
+def tables(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with deflated texts, the plain rows to search, and the rows to cut from.
+
+    Where no id repeats the first and the last are one plan, so that the joins read one exchange of the texts.
+    """
+    rows, search, repeated = keyed(docs, id_col, text_col, carry)
+    small = squeezed(rows)
+    return small, search, squeezed(search) if repeated else small.filter(USABLE)
+
+
+def squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` with deflated texts, for their way through the shuffle."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield batch.set_column(2, "text", pa.array([press.compress(t.as_buffer() or b"") for t in batch.column(2).cast(pa.binary())], pa.binary()))
+
+    schema = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+    return rows.mapInArrow(X.tidy(squeeze), schema)
+
+
+def unsqueezed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As :func:`_text.chunks`, of deflated texts."""
+    raw = zstandard.ZstdDecompressor()
+    lo, texts, held = 0, [], 0
+    for k, t in enumerate(column):
+        texts.append(raw.decompress(t.as_buffer()))
+        held += len(texts[-1])
+        if held >= X.CHUNK_BYTES or k + 1 == len(column):
+            yield lo, k + 1, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts]))
+            lo, texts, held = k + 1, [], 0
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,11 +156,6 @@ def _table(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-def _records(rows: np.ndarray) -> pa.Array:
-    """One binary value per structured row."""
-    return X.binary_column(np.frombuffer(rows.tobytes(), np.uint8), rows.dtype.itemsize * np.arange(1, len(rows) + 1))
-
-
 def _spread(ids: np.ndarray) -> np.ndarray:
     return X.mix(ids.astype(np.uint64)).view(np.int64)
 
@@ -162,17 +200,30 @@ def _emit_runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             order = order[np.argsort(X.mix(anchor) + ctx, kind="stable")]
             doc, start, n, anchor, ctx = (x[order] for x in (doc, start, n, anchor, ctx))
             head = np.append(True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1]))[: len(doc)]
-            lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(doc) else doc
-            follows = ~head if unit.within else ids[doc] != ids[doc[lead]]
+            # the first run of every so many documents of a class leads the others
+            class_ = np.cumsum(head) - 1
+            turn = np.cumsum(head | np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+            turn -= turn[np.flatnonzero(head)][class_]
+            leads = np.append(True, (class_[1:] != class_[:-1]) | (turn[1:] // unit.followers != turn[:-1] // unit.followers))[: len(doc)]
+            lead = np.flatnonzero(leads)[np.cumsum(leads) - 1]
+            follows = ~leads & (unit.within | (ids[doc] != ids[doc[lead]]))
             d, s, m, l_doc, l_at = _chains(doc[follows], start[follows], n[follows], doc[lead[follows]], start[lead[follows]])
-            extra = np.empty(len(d), FOLLOW)
-            extra["id"], extra["tag"], extra["at"] = ids[l_doc], tags[l_doc], l_at
             if len(d):
-                yield _table(RUNS, _spread(ids[d]), np.zeros(len(d), np.int64), ids[d], tags[d], s << 32 | m, _records(extra))
+                extra = np.empty(len(d), FOLLOW)
+                extra["id"], extra["tag"], extra["start"], extra["at"], extra["n"] = ids[d], tags[d], s, l_at, m
+                by_lead = np.argsort(l_doc, kind="stable")
+                turn = np.arange(len(d))
+                new = np.append(True, l_doc[by_lead][1:] != l_doc[by_lead][:-1])
+                new |= (turn - np.maximum.accumulate(np.where(new, turn, 0))) % unit.members == 0
+                at = np.flatnonzero(new)
+                who, none = l_doc[by_lead][at], np.zeros(len(at), np.int64)
+                lists = X.binary_column(np.frombuffer(extra[by_lead].tobytes(), np.uint8), FOLLOW.itemsize * np.append(at[1:], len(d)))
+                yield _table(RUNS, _spread(ids[who]), none, ids[who], none, tags[who], lists)
             followed = np.zeros(len(doc), np.int64)
             followed[lead[follows]] = 1
-            k = ~follows
-            yield _table(RUNS, anchor[k].view(np.int64), ctx[k].view(np.int64), ids[doc[k]], tags[doc[k]], start[k] << 32 | followed[k] << 31 | n[k])
+            k = np.flatnonzero(~follows)
+            k = k[np.argsort(doc[k] << 32 | start[k])]  # a document's runs stand together and compress better
+            yield _table(RUNS, anchor[k].view(np.int64), ctx[k].view(np.int64), ids[doc[k]], start[k] << 32 | followed[k] << 31 | n[k], tags[doc[k]])
 
     return emit
 
@@ -201,7 +252,7 @@ def _classes(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 rest = batch.filter(pa.array(~plain))
                 anchor, ids, tags, place = _columns(rest, "anchor", "id", "tag", "place")
                 no = np.zeros(len(ids), bool)
-                yield _table(CLASSES, np.full(len(ids), FOLLOWS), anchor, ids, tags, place >> 32, place & 0xFFFFFFFF, no, no, rest.column(5))
+                yield _table(CLASSES, np.full(len(ids), FOLLOWS), anchor, ids, tags, place, place, no, no, rest.column(5))
                 batch = batch.filter(pa.array(plain))
             anchor, ctx, ids, tags, place = _columns(batch, "anchor", "ctx", "id", "tag", "place")
             if len(anchor) == 0:
@@ -228,17 +279,17 @@ def _classes(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             bounds = np.searchsorted(of, np.arange(len(heads) + 1))
             done = many | several[group[heads]]
             done[-1] = False
-            full = bounds[-1] - bounds[-2] >= MEMBERS  # of the class that waits: what it lists leaves
-            yield from _class_rows(heads[done], anchor, ids, tags, place, many[done], records, bounds[:-1][done], bounds[1:][done], LEAD)
+            full = bounds[-1] - bounds[-2] >= unit.members  # of the class that waits: what it lists leaves
+            yield from _class_rows(heads[done], anchor, ids, tags, place, many[done], records, bounds[:-1][done], bounds[1:][done], LEAD, unit.members)
             h = heads[-1:]
             if full:
                 several[-1] = True  # its first row must come, too
-                yield from _class_rows(h, anchor, ids, tags, place, many[-1:], records, bounds[-2:-1], bounds[-1:], MORE)
+                yield from _class_rows(h, anchor, ids, tags, place, many[-1:], records, bounds[-2:-1], bounds[-1:], MORE, unit.members)
             left = MEMBER_NONE if full else records[bounds[-2] :]
             wait = (anchor[h[0]], ctx[h[0]], ids[h[0]], tags[h[0]], place[h[0]], many[-1], several[-1], left)
         if wait is not None and (wait[5] or wait[6]):
             h = np.zeros(1, np.int64)
-            yield from _class_rows(h, *(np.array([w]) for w in (wait[0], *wait[2:5])), np.array([wait[5]]), wait[7], h, np.array([len(wait[7])]), LEAD)
+            yield from _class_rows(h, *(np.array([w]) for w in (wait[0], *wait[2:5])), np.array([wait[5]]), wait[7], h, np.array([len(wait[7])]), LEAD, unit.members)
 
     return stream
 
@@ -246,15 +297,15 @@ def _classes(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 MEMBER_NONE = np.zeros(0, MEMBER)
 
 
-def _class_rows(heads, anchor, ids, tags, place, many, records, lo, hi, kind) -> Iterator[pa.RecordBatch]:
+def _class_rows(heads, anchor, ids, tags, place, many, records, lo, hi, kind, most) -> Iterator[pa.RecordBatch]:
     """One row per class, and further ones for members beyond what a row lists."""
     size = MEMBER.itemsize
     raw = np.frombuffer(records.tobytes(), np.uint8)
-    rows = np.maximum(1, -(-(hi - lo) // MEMBERS))
+    rows = np.maximum(1, -(-(hi - lo) // most))
     which = np.repeat(np.arange(len(heads)), rows)
     turn = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)
-    a = lo[which] + turn * MEMBERS
-    b = np.minimum(a + MEMBERS, hi[which])
+    a = lo[which] + turn * most
+    b = np.minimum(a + most, hi[which])
     extra = X.binary_column(raw[X.gather_ranges(a * size, (b - a) * size)], np.cumsum((b - a) * size))
     h = heads[which]
     if len(h):
@@ -279,7 +330,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             if len(rest := np.flatnonzero(kind != LEAD)):
                 yield out(rest, None)
             todo = np.flatnonzero(kind == LEAD)
-            for lo, hi, data, offsets in X.chunks(batch.column(2)):
+            for lo, hi, data, offsets in unsqueezed(batch.column(2)):
                 mine = todo[(doc[todo] >= lo) & (doc[todo] < hi)]
                 _, starts, stops, first = unit.values(data, offsets)
                 s = first[doc[mine] - lo] + start[mine]
@@ -384,11 +435,7 @@ def _resolve(judge: Judge, within: bool, shard_bytes: int, room: int) -> Callabl
             follows = batch.column("kind").to_numpy(zero_copy_only=False) == FOLLOWS
             if follows.any():
                 rest = batch.filter(pa.array(follows))
-                extra = np.frombuffer(X.packed(rest.column("extra"))[0].tobytes(), FOLLOW)
-                ids, tags, start, n = _columns(rest, "id", "tag", "start", "n")
-                own = np.empty(len(ids), FOLLOW)  # the row goes to the document that leads, and says who follows
-                own["id"], own["tag"], own["at"] = ids, tags, start
-                yield _table(FOUND, np.full(len(ids), FOLLOWER), extra["id"], extra["tag"], extra["at"], n, _records(own))
+                yield _table(FOUND, np.full(rest.num_rows, FOLLOWER), *_columns(rest, "id", "tag", "start", "n"), rest.column("extra"))
                 batch = batch.filter(pa.array(~follows))
             for lo, hi, _, _ in X.chunks(batch.column("body")):
                 rows = batch.slice(lo, hi - lo)
@@ -442,24 +489,26 @@ def _settle(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             again, follows = (kind == AGAIN) | (kind == BOTH), np.flatnonzero(kind == FOLLOWER)
             if len(follows) == 0:
                 continue
+            raw, ends = X.packed(rows.column("extra").combine_chunks().take(pa.array(follows)))
+            f = np.frombuffer(raw.tobytes(), FOLLOW)
+            lead = np.repeat(doc[follows], np.diff(ends) // FOLLOW.itemsize)
+            at, n_f = f["at"].astype(np.int64), f["n"].astype(np.int64)
             d, s, e = merged(doc[again], start[again], start[again] + n[again])
-            wide = int(max((start + n).max(), 1)) + 2
-            lo = np.searchsorted(d * wide + e, doc[follows] * wide + start[follows], "right")
-            hi = np.searchsorted(d * wide + s, doc[follows] * wide + start[follows] + n[follows], "left")
+            wide = int(max((start + n).max(), (at + n_f).max())) + 2
+            lo = np.searchsorted(d * wide + e, lead * wide + at, "right")
+            hi = np.searchsorted(d * wide + s, lead * wide + at + n_f, "left")
             count = np.maximum(hi - lo, 0)
-            at, who = X.gather_ranges(lo, count), np.repeat(np.arange(len(follows)), count)
-            extra = np.frombuffer(X.packed(rows.column("extra").combine_chunks().take(pa.array(follows)))[0].tobytes(), FOLLOW)[who]
-            f = follows[who]
-            a, b = np.maximum(s[at], start[f]), np.minimum(e[at], start[f] + n[f])
-            yield _table(SPANS, extra["id"], extra["tag"], extra["at"] + a - start[f], b - a + window - 1)
+            k, who = X.gather_ranges(lo, count), np.repeat(np.arange(len(f)), count)
+            a, b = np.maximum(s[k], at[who]), np.minimum(e[k], at[who] + n_f[who])
+            yield _table(SPANS, f["id"][who], f["tag"][who], f["start"][who] + a - at[who], b - a + window - 1)
 
     return settle
 
 
-def repeated_spans(search: DataFrame, unit: Unit, judge: Judge, shard_bytes: int = SHARD_BYTES, room: int = 4 * SHARD_BYTES) -> DataFrame:
+def repeated_spans(search: DataFrame, rows: DataFrame, unit: Unit, judge: Judge, shard_bytes: int = SHARD_BYTES, room: int = 4 * SHARD_BYTES) -> DataFrame:
     """Spans (id, tag, start, n) in units that repeat what stands earlier.
 
-    ``judge`` gives the verdicts on a shard (see :func:`_verdicts`).  A shard ends at the first anchor after
+    ``search`` are the plain texts, each (id, tag) once, ``rows`` the same with deflated texts; ``judge`` gives the verdicts on a shard (see :func:`_verdicts`).  A shard ends at the first anchor after
     ``shard_bytes`` bytes of text, and holds ``room`` bytes of a kind in memory.
     """
     # a number of its own: adaptive execution must not join partitions that the method works on for long
@@ -467,17 +516,19 @@ def repeated_spans(search: DataFrame, unit: Unit, judge: Judge, shard_bytes: int
     runs = search.mapInArrow(X.tidy(_emit_runs(unit)), RUNS)
     runs = runs.repartition("anchor").sortWithinPartitions("anchor", "ctx", "id", "tag", "place").mapInArrow(X.tidy(_classes(unit)), CLASSES)
     per_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("kind", "anchor", "start", "n", "many", "followed", "extra")).alias("runs"))
-    cuts = search.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs").mapInArrow(X.tidy(_cut(unit)), CUTS)
+    rest = [c for c in rows.columns if c == "rest"]
+    cuts = rows.join(per_doc, ["id", "tag"]).select("id", "tag", "text", "runs", *rest).mapInArrow(X.tidy(_cut(unit)), CUTS)
     cuts = cuts.repartition(shards, "anchor").sortWithinPartitions("anchor", "id", "tag", "start", "kind")
     found = cuts.mapInArrow(X.tidy(_resolve(judge, unit.within, shard_bytes, room)), FOUND)
     return found.repartition("id", "tag").sortWithinPartitions("id", "tag").mapInArrow(X.tidy(_settle(unit.window)), SPANS)
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, tag, text, spans): all spans of every row; rows with a null id have none."""
+    """(id, tag, text, spans) and what ``rows`` carry: all spans of every row; rows with a null id have none."""
+    rest = [c for c in rows.columns if c == "rest"]
     per_doc = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    found = rows.filter(USABLE).join(per_doc, ["id", "tag"], "left").select("id", "tag", "text", "spans")
-    empty = rows.filter("id is null").select("id", "tag", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"))
+    found = rows.filter(USABLE).join(per_doc, ["id", "tag"], "left").select("id", "tag", "text", "spans", *rest)
+    empty = rows.filter("id is null").select("id", "tag", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"), *rest)
     return found.unionByName(empty)
 
 

@@ -13,7 +13,10 @@
    exact for components and spares a group of thousands of near copies its millions of pairs.
 5. Links give components; the smallest id of a component names it.
 
-A cluster with more than ``BLOCK_SHINGLES`` shingles is dealt to tasks by pairs of blocks.
+A cluster with more than ``BLOCK_SHINGLES`` shingles is dealt to tasks by blocks, each with a few sets that all
+blocks get (pivots), which joins what the blocks have in common.  Sets that are still outside the cluster's
+largest component then search in every block, passing over what is joined already.  Two sets inside that
+component need no search, so all links that matter are found.
 
 Defined results
 ---------------
@@ -41,14 +44,14 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _text as X
-from ._graph import components, stored
+from ._graph import components, stored, written
 
 #: Shingles found in this many documents of one Arrow batch are ordered last; at most so many are.
 COMMON_IN_BATCH, COMMON_KEPT = 4, 200_000
-#: Shingles of a cluster that one task takes.
-BLOCK_SHINGLES = 4_000_000
-#: Places of the table that tells which texts a cluster may need.
-SLOTS = 1 << 20
+#: Shingles of a cluster that one task takes, and sets of a larger one that all its tasks take.
+BLOCK_SHINGLES, PIVOTS = 300_000, 8
+#: Least and most places (bits) of the table that tells which texts a cluster may need, and places per text.
+SLOTS, SLOTS_PER_TEXT = (1 << 20, 1 << 28), 16
 #: Weight of a heap step against a binary probe in the choice of how many lists to set aside.
 PROBE_WEIGHT = 0.0085
 
@@ -363,40 +366,93 @@ def link_cluster(sets: list[np.ndarray], low: int, high: int) -> list[int]:
     return [forest.find(i) for i in range(n)]
 
 
-def _search(n: int, low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (cluster, task, node, text) rows with whole tasks in order: links between nodes as stars."""
-
-    def solve(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        root = link_cluster(sets, low, high)
-        edges = [(nodes[r], nodes[i]) for i, r in enumerate(root) if r != i]
+def link_across(inside: list[np.ndarray], queries: list[np.ndarray], labels: list[int], low: int, high: int) -> list[tuple[int, int]]:
+    """Links (place in ``queries``, place in ``inside``) that join different components.  ``labels`` names the
+    component of every set, first of those inside, then of the queries."""
+    seen: dict[int, int] = {}
+    forest = Forest(len(labels))
+    for i, label in enumerate(labels):
+        forest.join(i, seen.setdefault(label, i))
+    sizes = [len(s) for s in inside]
+    shingles, number = np.unique(np.concatenate(inside), return_inverse=True)
+    owner = np.repeat(np.arange(len(inside)), sizes)
+    order = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[order], np.arange(len(shingles) + 1))
+    out = []
+    for j, q in enumerate(queries):
+        at = np.minimum(np.searchsorted(shingles, q), len(shingles) - 1)
+        lists = [owner[order[starts[k] : starts[k + 1]]].tolist() for k in at[shingles[at] == q].tolist()]
+        me = len(inside) + j
+        for i, both in divide_skip(lists, -(-low * len(q) // high), lambda i: forest.find(i) == forest.find(me)):
+            if high * both >= low * (len(q) + sizes[i] - both):
+                forest.join(i, me)
+                out.append((j, i))
+    return out
+
+
+Pairs = Callable[[list[int], list[int], list[int], list[np.ndarray]], list[tuple[int, int]]]
+
+
+def _search(n: int, solve: Pairs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (cluster, task, role, label, node, text) rows with whole tasks in order: links between nodes."""
+
+    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        edges = solve(*(list(x) for x in zip(*rows, strict=True)))
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, rows = None, []
         for batch in batches:
-            for lo, hi, data, offsets in X.chunks(batch.column(3)):
-                keys = zip(*(batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 1)), strict=True)
-                for k, node, s in zip(keys, batch.column(2).slice(lo, hi - lo).to_pylist(), shingle_sets(data, offsets, n), strict=True):
+            for lo, hi, data, offsets in X.chunks(batch.column(5)):
+                cluster, task, role, label, node = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in range(5))
+                for k, *row in zip(zip(cluster, task, strict=True), role, label, node, shingle_sets(data, offsets, n), strict=True):
                     if k != key:
-                        if len(nodes) > 1:
-                            yield solve(nodes, sets)
-                        key, nodes, sets = k, [], []
-                    nodes.append(node)
-                    sets.append(s)
-        if len(nodes) > 1:
-            yield solve(nodes, sets)
+                        if len(rows) > 1:
+                            yield links(rows)
+                        key, rows = k, []
+                    rows.append(tuple(row))
+        if len(rows) > 1:
+            yield links(rows)
 
     return search
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Near-duplicate components: doc_id, n_shingles, component_id (smallest id, null for null ids).
+def _within(low: int, high: int) -> Pairs:
+    def solve(roles: list[int], labels: list[int], nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return [(nodes[r], nodes[i]) for i, r in enumerate(link_cluster(sets, low, high)) if r != i]
 
-    ``threshold`` (a, b) links sets when b * |intersection| >= a * |union|.
-    """
+    return solve
+
+
+def _across(low: int, high: int) -> Pairs:
+    def solve(roles: list[int], labels: list[int], nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        first, more = ([k for k, r in enumerate(roles) if r == role] for role in (0, 1))
+        if not first or not more:
+            return []
+        found = link_across([sets[k] for k in first], [sets[k] for k in more], [labels[k] for k in first + more], low, high)
+        return [(nodes[more[j]], nodes[first[i]]) for j, i in found]
+
+    return solve
+
+
+def _bits(members: DataFrame) -> np.ndarray:
+    """A bit table of the members' ids: bounded, and built by aggregation (4 KB rows)."""
+    n = members.count()
+    slots = min(max(1 << (n * SLOTS_PER_TEXT).bit_length(), SLOTS[0]), SLOTS[1])
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots)) + 1
+    parts = members.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    table = np.zeros(slots // 8, np.uint8)
+    for row in parts.toLocalIterator():  # slots / 32,768 rows of 4 KB at most
+        at = (row["bucket"] - 1) * 4_096
+        table[at : at + 4_096] = np.frombuffer(row["bits"], np.uint8)
+    return table
+
+
+def _grouped(search: DataFrame, shingle: int, threshold: tuple[int, int]) -> tuple[DataFrame, Callable, str]:
+    """(id, tag, n_shingles, first) of the rows to search, first being the least (id, tag) of the component;
+    and the function that made the sets, with its schema."""
     low, high = threshold
-    spark = docs.sparkSession
-    rows, search = R.keyed(docs, id_col, text_col)
+    spark = search.sparkSession
     counted = search.select("text").mapInArrow(X.tidy(_common(shingle)), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").toPandas()["shingle"].to_numpy()
     common = spark.sparkContext.broadcast(top.view(np.uint64))
@@ -419,30 +475,80 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = filled.groupBy("sig").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("size").alias("size"))
     members = members.join(clusters, members.sig == clusters.node).select("rep.id", "rep.tag", "sig", "size", "component")
+    members = written(members)
     blocks = members.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = members.join(blocks, "component").withColumn("block", F.pmod("sig", F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("id", "tag", "sig", "size", "component", "block", "blocks", other.alias("other"))
-    # a block meets every other one once; alone it is part of each of its meetings
-    dealt = dealt.filter("blocks = 1 or block <> other").withColumn("task", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    # a table of fixed size lets few other texts pass, so that not all of them are shuffled
-    taken = np.zeros(SLOTS, bool)
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot")
-    taken[members.select(slot).distinct().toPandas()["slot"].to_numpy()] = True
-    table = spark.sparkContext.broadcast(taken)
+    placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    # a bit table lets few other texts pass, so that not all of them are shuffled
+    table = spark.sparkContext.broadcast(_bits(members))
+    slots = len(table.value) * 8
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(table.value[batch.column(3).to_numpy(zero_copy_only=False)]))
-
-    few = search.select("id", "tag", "text", slot).mapInArrow(X.tidy(passing), "id long, tag long, text string, slot int").drop("slot")
-    work = few.join(dealt, ["id", "tag"]).select("component", "task", "sig", "size", "text")
-    work = work.repartition("component", "task").sortWithinPartitions("component", "task", "size", "sig").select("component", "task", "sig", "text")
-    links = components(work.mapInArrow(X.tidy(_search(shingle, low, high)), "a long, b long"))
+            at = batch.column(3).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(table.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+
+    few = search.select("id", "tag", "text", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"))
+    few = few.mapInArrow(X.tidy(passing), "id long, tag long, text string, slot long").drop("slot")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def searched(dealt: DataFrame, solve: Pairs) -> DataFrame:
+        """Edges of the tasks (component, task, role, label, sig, size)."""
+        work = few.join(dealt, ["id", "tag"]).select("component", "task", "role", "label", "sig", "size", "text")
+        work = work.repartition(tasks, "component", "task").sortWithinPartitions("component", "task", "role", "size", "sig")
+        return work.select("component", "task", "role", "label", "sig", "text").mapInArrow(X.tidy(_search(shingle, solve)), "a long, b long")
+
+    def to_all_blocks(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    columns = ["id", "tag", "component", "task", "role", "label", "sig", "size"]
+    own = placed.withColumns({"task": F.col("block"), "role": F.lit(0), "label": F.col("sig")}).select(*columns)
+    large = placed.filter("blocks > 1")
+    split = large.limit(1).count() > 0
+    dealt = own
+    if split:
+        some = large.groupBy("component", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(PIVOTS)).alias("p")).agg(F.min("sig").alias("sig")).select("sig")
+        pivots = to_all_blocks(large.join(some, "sig", "left_semi")).filter("task <> block").withColumns({"role": F.lit(0), "label": F.col("sig")})
+        dealt = own.unionByName(pivots.select(*columns))
+    links = written(components(searched(dealt, _within(low, high))))
+    if split:
+        labelled = large.join(links.select(F.col("node").alias("sig"), F.col("component").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        labelled = written(labelled)
+        main = labelled.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        outside = written(labelled.join(main, "component").filter("label <> main"))
+        if outside.limit(1).count() > 0:
+            here = labelled.join(outside.select("component").distinct(), "component", "left_semi").withColumns({"task": F.col("block"), "role": F.lit(0)})
+            asking = to_all_blocks(outside).withColumn("role", F.lit(1))
+            more = searched(here.select(*columns).unionByName(asking.select(*columns)), _across(low, high))
+            links = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = sketches.select("id", "tag", "size", "sig").join(links, F.col("sig") == links.node, "left").select("id", "tag", "size", F.coalesce("component", "sig").alias("group"))
-    least = named.filter("size > 0").groupBy("group").agg(F.min("id").alias("least"))
-    out = named.join(least, "group", "left").select("id", "tag", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
-    known = rows.filter("id is not null").select("id", "tag").join(out, ["id", "tag"]).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    least = named.filter("size > 0").groupBy("group").agg(F.min(F.struct("id", "tag")).alias("least"))
+    own = F.struct("id", "tag")
+    grouped = named.join(least, "group", "left").select("id", "tag", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(own).alias("first"))
+    return grouped, sketch, shape
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Near-duplicate components: doc_id, n_shingles, component_id (smallest id, null for null ids).
+
+    ``threshold`` (a, b) links sets when b * |intersection| >= a * |union|.
+    """
+    rows, search, _ = R.keyed(docs, id_col, text_col)
+    grouped, sketch, shape = _grouped(search, shingle, threshold)
+    known = rows.filter("id is not null").select("id", "tag").join(grouped, ["id", "tag"]).select(F.col("id").alias("doc_id"), "n_shingles", F.col("first.id").alias("component_id"))
     unnamed = rows.filter("id is null").mapInArrow(X.tidy(sketch), shape)
     return known.unionByName(unnamed.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs``, with all columns, without the documents of a component but its first.
+
+    The first is the one with the smallest id, of equal ids the one with the smallest text hash.  Rows with a
+    null id stay; repeated rows (same id and text) are one document.
+    """
+    rows, search, _ = R.keyed(docs, id_col, text_col, carry=True)
+    grouped, _, _ = _grouped(search, shingle, threshold)
+    gone = grouped.filter(F.col("first") != F.struct("id", "tag")).select("id", "tag")
+    kept = rows.join(gone, ["id", "tag"], "left_anti")
+    text = F.when(~F.col("rest.null"), F.col("text"))
+    return kept.select(*[text.alias(c) if c == text_col else F.col("rest.row").getField(c).alias(c) for c in docs.columns])

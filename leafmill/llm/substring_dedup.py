@@ -112,7 +112,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         row, start, end = R.batch_spans(batch)
-        for lo, hi, data, offsets in X.chunks(batch.column(2)):
+        for lo, hi, data, offsets in R.unsqueezed(batch.column(2)):
             a, b, first = X.word_bounds(data, offsets, X.space_class())
             mine = (row >= lo) & (row < hi)
             r, s, e = row[mine] - lo, start[mine], end[mine]
@@ -142,6 +142,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < SEED_WORDS:
         raise ValueError(f"window must be at least {SEED_WORDS} words")
-    rows, search = R.keyed(docs, id_col, text_col)
-    spans = R.repeated_spans(search, R.Unit(window, SEED_WORDS, R.word_values, within=False), _judge(window))
+    rows, search, texts = R.tables(docs, id_col, text_col)
+    spans = R.repeated_spans(search, texts, R.Unit(window, SEED_WORDS, R.word_values, False, R.FOLLOWERS, R.MEMBERS), _judge(window))
     return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)

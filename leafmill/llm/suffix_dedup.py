@@ -28,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import _induced as I
 from . import _repeats as R
 from . import _text as X
 
-GRAM_BYTES = 20
+GRAM_BYTES = 32
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 #: Bits of a verdict: the window repeats an earlier one, its copies repeat it, its stretch has copies.
 OWN, AGAIN, COPIED = 1, 2, 4
@@ -74,23 +77,27 @@ def _judge(window: int, limit: int) -> R.Judge:
             k = np.array(keys[at])
             k = k[k["many"] > 0]
             verdict[X.gather_ranges(k["base"], k["n"].astype(np.int64))] = COPIED
-        I.Sorter(text, limit).run(Groups(verdict, window).visit)
+        I.Sorter(text, limit, window).run(Groups(verdict, window).visit)
         return keys["base"], verdict
 
     return judge
 
 
+def _covered(offsets: np.ndarray, size: int, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    mark = np.zeros(size + 1, np.int32)
+    np.add.at(mark, offsets[row] + start, 1)
+    np.add.at(mark, offsets[row] + end, -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         row, start, end = R.batch_spans(batch)
-        for lo, hi, data, offsets in X.chunks(batch.column(2)):
+        for lo, hi, data, offsets in R.unsqueezed(batch.column(2)):
             mine = (row >= lo) & (row < hi)
             r, s, e = row[mine] - lo, start[mine], end[mine]
-            mark = np.zeros(len(data) + 1, np.int32)
-            np.add.at(mark, offsets[r] + s, 1)
-            np.add.at(mark, offsets[r] + e, -1)
-            kept = np.cumsum(mark)[:-1] == 0
+            kept = ~_covered(offsets, len(data), r, s, e)
             total = np.append(0, np.cumsum(kept))[offsets]
             size = np.diff(offsets)
             removed = size - np.diff(total)
@@ -99,6 +106,50 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), spans, body], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
+def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, removed, rest): texts without their spans; a character that a span cuts goes whole."""
+    for batch in batches:
+        row, start, end = R.batch_spans(batch)
+        rest = batch.column(4)
+        null = rest.field("null").to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in R.unsqueezed(batch.column(2)):
+            mine = (row >= lo) & (row < hi)
+            gone = _covered(offsets, len(data), row[mine] - lo, start[mine], end[mine])
+            character = np.cumsum((data & 0xC0) != 0x80)
+            cut = np.zeros(len(data) + 1, bool)
+            cut[character[gone]] = True
+            kept = ~cut[character]
+            total = np.append(0, np.cumsum(kept))[offsets]
+            body = pa.Array.from_buffers(pa.string(), hi - lo, X.binary_column(data[kept], total[1:]).buffers())
+            text = pc.if_else(pa.array(null[lo:hi]), pa.scalar(None, pa.string()), body)
+            yield pa.RecordBatch.from_arrays([text, pa.array(np.diff(offsets) - np.diff(total), pa.int64()), rest.slice(lo, hi - lo).field("row")], names=["text", "removed", "row"])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all columns, without the bytes that :func:`suffix_dedup` removes.
+
+    What is left of a character that a removed run cuts goes with it.  ``length_col`` gets the number of
+    characters left in texts that lose some.  A text that a repeat covers whole becomes empty and stays.
+    """
+    rows, search, texts = R.tables(docs, id_col, text_col, carry=True)
+    spans = _spans(search, texts, window, I.MEMORY_TUPLES, R.SHARD_BYTES)
+    others = StructType([f for f in docs.schema.fields if f.name != text_col])
+    out = R.with_spans(rows, spans).mapInArrow(X.tidy(_trim), StructType([StructField("text", StringType()), StructField("removed", LongType()), StructField("row", others)]))
+
+    def column(c: str) -> Column:
+        if c == text_col:
+            return F.col("text").alias(c)
+        old = F.col("row").getField(c)
+        return (F.when(F.col("removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(old) if c == length_col else old).alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
+
+
+def _spans(search: DataFrame, texts: DataFrame, window: int, memory_tuples: int, shard_bytes: int) -> DataFrame:
+    unit = R.Unit(window, GRAM_BYTES, R.byte_values, True, R.FOLLOWERS, R.MEMBERS)
+    return R.repeated_spans(search, texts, unit, _judge(window, memory_tuples), shard_bytes, memory_tuples * I.TUPLE.itemsize)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, memory_tuples: int = I.MEMORY_TUPLES, shard_bytes: int = R.SHARD_BYTES) -> DataFrame:
     """Removes every byte covered by a ``window``-byte string that also starts earlier.
 
@@ -108,7 +159,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not GRAM_BYTES + 8 <= window <= 250:
         raise ValueError("window must be 40 to 250 bytes")
-    rows, search = R.keyed(docs, id_col, text_col)
-    unit = R.Unit(window, GRAM_BYTES, R.byte_values, within=True)
-    spans = R.repeated_spans(search, unit, _judge(window, memory_tuples), shard_bytes, memory_tuples * I.TUPLE.itemsize)
-    return R.with_spans(rows, spans).mapInArrow(X.tidy(_apply), RESULT)
+    rows, search, texts = R.tables(docs, id_col, text_col)
+    return R.with_spans(rows, _spans(search, texts, window, memory_tuples, shard_bytes)).mapInArrow(X.tidy(_apply), RESULT)

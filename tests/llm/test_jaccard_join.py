@@ -97,3 +97,44 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (500, 400), (400, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, **{k: 300 for k in (300, 400, 500)}}
+
+
+def test_sets_outside_search_across_blocks():
+    r = random.Random(11)
+    for _ in range(100):
+        base = [r.randint(0, 60) for _ in range(30)]
+        sets = [np.unique(np.array([x if r.random() > 0.1 else r.randint(0, 99) for x in base], np.uint64)) for _ in range(12)]
+        labels = [r.randint(0, 5) for _ in sets]
+        links = J.link_across(sets[:8], sets[8:], labels, 80, 100)
+        up = J.Forest(12)
+        for i, x in enumerate(labels):
+            up.join(i, labels.index(x))
+        for j, i in links:
+            both = len(np.intersect1d(sets[8 + j], sets[i]))
+            assert 100 * both >= 80 * (len(sets[8 + j]) + len(sets[i]) - both)
+            up.join(i, 8 + j)
+        for j in range(8, 12):  # every link ends inside one component
+            for i in range(8):
+                both = len(np.intersect1d(sets[j], sets[i]))
+                if 100 * both >= 80 * (len(sets[j]) + len(sets[i]) - both):
+                    assert up.find(i) == up.find(j)
+
+
+def test_one_large_cluster_in_many_blocks(spark, monkeypatch):
+    """Near copies of one text, of which some link only by chains: components match all pairs."""
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    r = random.Random(8)
+    rows, w = [], [f"w{r.randint(0, 500)}" for _ in range(120)]
+    for i in range(90):
+        if i % 9 == 8:
+            w = list(w)
+            w[r.randrange(len(w))] = f"drift{i}"
+            w[r.randrange(len(w))] = f"drift{i}"
+        x = list(w)
+        for _ in range(r.choice([0, 1, 2, 4])):
+            x[r.randrange(len(x))] = f"edit{i}"
+        rows.append((i, " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in J.jaccard_components(df, shingle=4, threshold=(85, 100)).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100) and len({c for *_, c in got}) > 1

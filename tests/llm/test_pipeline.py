@@ -4,7 +4,6 @@ import public_tokenizers
 import pytest
 from test_decontaminate import brute as contained
 from test_jaccard_join import brute as linked
-from test_suffix_dedup import brute as cut
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -43,9 +42,52 @@ def test_near_duplicate_stage_keeps_one_of_each_group(stages):
 
 
 def test_repeat_stage_cuts_bytes(stages):
-    want = {i: kept.decode("utf-8", "ignore") for i, _, _, _, kept in cut([(r.doc_id, r.text) for r in stages[2]], 100)}
-    assert {r.doc_id: r.text for r in stages[3]} == want
-    assert all(r.n_chars == len(r.text) for r in stages[3])
+    want = trimmed([(r.doc_id, r.text) for r in stages[2]])
+    assert sorted((r.doc_id, r.text) for r in stages[3]) == sorted(want)
+    before = {r.doc_id: r for r in stages[2]}
+    assert all(r.n_chars == (len(r.text) if r.text != before[r.doc_id].text else before[r.doc_id].n_chars) for r in stages[3])
+
+
+def trimmed(rows, window=100):
+    """Straight from the rule: characters that a repeated byte string touches go."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        b = t.encode()
+        cover = bytearray(len(b))
+        for k in range(len(b) - window + 1):
+            if b[k : k + window] in seen:
+                cover[k : k + window] = b"\1" * window
+            seen.add(b[k : k + window])
+        at, kept = 0, ""
+        for c in t:
+            size = len(c.encode())
+            kept += "" if any(cover[at : at + size]) else c
+            at += size
+        out.append((i, kept))
+    return out
+
+
+def odd(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, cut_id long, cut_text string, tag string, id string, rest int, removed int")
+
+
+def test_stages_lose_no_text(spark):
+    a, b, c = (f"{w} " + " ".join(f"{w}{k * 7919 % 101}" for k in range(60)) for w in ("first", "second", "third"))
+    shared = "é" * 70
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, "a wholly different text " + b[::-1]), (4, "genuine \ufffd mark " + "x" * 20 + " tail \ufffd."), (None, a), (5, None), (6, "A" + shared), (7, "\ufffdBB" + shared + "\ufffd"), (8, b[:50])]
+    rows = [(i, t, 7, 1, "z", "t", "i", 5, 6) for i, t in rows]
+    docs = odd(spark, rows)
+    kept = C.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd(spark, [r for r in rows if r[1] != a + " more"]).collect()))
+    cut = C.repeats(spark, docs, SF)
+    got = {(r.doc_id, r.text): r.n_chars for r in cut.collect()}
+    assert cut.columns == docs.columns and len(got) == len(rows)
+    texts = {t for _, t in got}
+    assert {a, b, c, None, "a wholly different text " + b[::-1], "genuine \ufffd mark " + "x" * 20 + " tail \ufffd."} <= texts
+    assert (2, " more") in got or (2, a[-1:] + " more") in got
+    assert got[7, "\ufffdBB\ufffd"] == 4 and got[6, "A" + shared] == 7
+    assert all(tuple(r)[3:] == (1, "z", "t", "i", 5, 6) for r in cut.collect())
 
 
 def test_contamination_stage_drops_documents_with_items(spark, stages):

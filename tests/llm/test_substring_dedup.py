@@ -69,3 +69,29 @@ def test_spans_are_disjoint_and_long(spark):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
         assert all(s.end - s.start >= 50 for s in r.spans)
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+def test_every_removal_comes_from_the_extension(spark, monkeypatch):
+    def nothing(shard):
+        import numpy as np
+
+        n = shard.keys.array()["n"].astype(np.int64)
+        return np.cumsum(n) - n, np.zeros(int(n.sum()), np.uint8)
+
+    monkeypatch.setattr("leafmill.llm.substring_dedup._judge", lambda window: nothing)
+    df = spark.createDataFrame(corpus(5), "doc_id long, text string").repartition(3)
+    assert sum(r.n_removed for r in substring_dedup(df).collect()) == 0
+
+
+def test_many_copies_with_few_followers_and_members(spark, monkeypatch):
+    from leafmill.llm import _repeats as R
+
+    monkeypatch.setattr(R, "FOLLOWERS", 3)
+    monkeypatch.setattr(R, "MEMBERS", 2)
+    r = random.Random(2)
+    passage = " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(80))
+    rows = [(k // 2, f"{k} " * r.randint(0, 9) + passage + f" {k}") for k in range(90)] + [(300 + k, passage) for k in range(30)]
+    rows += [(700, " ".join([passage] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((x.doc_id, x.n_words, x.n_removed, x.text) for x in substring_dedup(df).collect()), key=str)
+    assert got == brute(rows, 50)

@@ -63,3 +63,32 @@ def test_spilling_and_other_windows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert got(df, window=60, memory_tuples=500) == brute(rows, 60)
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_every_removal_comes_from_the_sorted_order(spark, monkeypatch):
+    """With a sorter that orders nothing, nothing is removed.  Workers are forked anew, so the setting travels in the plan."""
+    from leafmill.llm import _repeats as R
+
+    def nothing(shard):
+        import numpy as np
+
+        return shard.keys.array()["base"], np.zeros(shard.text.size, np.uint8)
+
+    monkeypatch.setattr("leafmill.llm.suffix_dedup._judge", lambda window, limit: nothing)
+    rows = corpus(5, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(r.n_removed for r in suffix_dedup(df).collect()) == 0
+    assert R.FOLLOWERS > 1
+
+
+def test_many_copies_and_small_shards(spark, monkeypatch):
+    from leafmill.llm import _repeats as R
+
+    monkeypatch.setattr(R, "FOLLOWERS", 3)
+    monkeypatch.setattr(R, "MEMBERS", 2)
+    r = random.Random(9)
+    passage = "".join(r.choice("the aon é") for _ in range(260))
+    rows = [(k, "".join(r.choice("abcdef") for _ in range(r.randint(0, 60))) + passage[: r.choice([150, 260])] + str(k)) for k in range(90)]
+    rows += [(200 + k, rows[4][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(df, shard_bytes=2_000) == brute(rows, 100)
