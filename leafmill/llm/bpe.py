@@ -77,6 +77,10 @@ class Codec:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level BPE without normaliser or prefix space is needed")
+        odd = [k for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        odd += [k for k in ("lstrip", "rstrip", "single_word") if any(t.get(k) for t in spec.get("added_tokens", []))]
+        if odd:
+            raise ValueError(f"this description asks for what is not done here: {', '.join(odd)}")
         vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
         to_byte = {c: b for b, c in enumerate(letters)}

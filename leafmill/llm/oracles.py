@@ -1,7 +1,8 @@
 """SQL (DuckDB) that gives the rows of the queries that SQL can express, straight from their rules.
 
 The learned operators (2's own labels, 4, 8, 10's verdicts) and the tokenizer (3) have none; tests hold
-them against brute force, held-out rows and the tokenizers library.
+them against brute force, held-out rows and the tokenizers library.  What SQL can express of 2 and 10 are
+queries of their own: ``license_base`` and ``url_rules``.
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -11,13 +12,33 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP1 = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
      iw AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
-     i AS (SELECT DISTINCT item_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM iw)),
-     d AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM dw)) SEMI JOIN i USING (s)),
+     g AS (SELECT item_id, w, least(5, len(w)) AS z FROM iw WHERE len(w) > 0),
+     i AS (SELECT DISTINCT item_id, array_to_string(w[k:k+z-1], ' ') AS s FROM (SELECT item_id, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM g)),
+     d AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[k:k+z-1], ' ') AS s FROM
+            (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM dw, (SELECT DISTINCT z FROM g) WHERE len(w) >= z)) SEMI JOIN i USING (s)),
      n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
 FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
+LICENSE_BASE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+     b AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w),
+     p AS (SELECT doc_id, k - 1 AS k, label FROM b, (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) AS t(phrase, label)
+           WHERE w[k:k+len(phrase)-1] = phrase),
+     f AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN f USING (doc_id)
+"""
+
+URL_RULES = """
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+     r AS (SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+                                 ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')) AS t(rule, name, tail, verdict)),
+     f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rule_verdict FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, tail) GROUP BY page_id)
+SELECT page_id, host, path, rule, rule_verdict FROM h LEFT JOIN f USING (page_id)
+"""
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -61,4 +82,4 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1, "op5_vector_search": OP5, "op6_suffix_dedup": OP6, "op7_jaccard_join": OP7, "op9_substring_dedup": OP9}
+SQL = {"op1_decontaminate": OP1, "op5_vector_search": OP5, "op6_suffix_dedup": OP6, "op7_jaccard_join": OP7, "op9_substring_dedup": OP9, "license_base": LICENSE_BASE, "url_rules": URL_RULES}

@@ -16,7 +16,7 @@ from .quality import fit_quality, quality_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import fit_toxicity, toxicity_scores
-from .url_filter import filter_urls
+from .url_filter import RULES, filter_urls, ruled
 from .vector_search import top_inner_products
 
 
@@ -78,6 +78,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_licenses that SQL can express."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_url_filter that SQL can express, and the verdict of the rule alone."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return ruled(pages, RULES).select("page_id", "host", "path", "rule", F.col("ruled").alias("rule_verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -90,6 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
+        "license_base": license_base,
+        "url_rules": url_rules,
     }
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _learn as L
 from . import _text as X
+from ._graph import written
 
 _BEGINNINGS = (4, 5, 6)
 
@@ -118,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     plain = L.texts(docs, id_col, text_col)
     rest = plain.select("id").filter("id is not null").filter(L.fold("id") != 0).distinct().join(toxic, "id", "left_anti")
     sample = L.bounded(toxic, max_positive).select("id", F.lit(1).alias("y")).unionByName(L.bounded(rest, max_unlabelled).select("id", F.lit(0).alias("y")))
-    rows = plain.join(F.broadcast(sample), "id").select("y", "text")  # max_positive + max_unlabelled rows bound the broadcast
+    rows = written(plain.join(F.broadcast(sample), "id").select("y", "text"))  # max_positive + max_unlabelled rows bound both
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 found, which = np.unique(hashes, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(which, toxic, len(found)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(found)))], names=["feature", "p", "n"])
 
-    sizes = sample.groupBy("y").count().collect()
+    sizes = rows.groupBy("y").count().collect()
     size = {r["y"]: r["count"] for r in sizes}
     if not size.get(1) or not size.get(0):
         return Linear(np.zeros(0, np.uint64), np.zeros(0), -np.inf)

@@ -73,6 +73,14 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def ruled(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Adds host, path, rule and ruled (the rule's verdict) to rows with a url."""
+    host, path = parts(F.col("url"))
+    rows = rows.withColumns({"host": host, "path": path})
+    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
+    return rows.withColumns({"rule": rule, "ruled": verdict})
+
+
 def _count(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
@@ -246,11 +254,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id
     picked = [F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")]
     if label_col is not None:
         picked.append(F.col(f"`{label_col}`").cast("int").alias("y"))
-    rows = pages.select(*picked)
-    host, path = parts(F.col("url"))
-    rows = rows.withColumns({"host": host, "path": path})
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
+    rows = ruled(pages.select(*picked), rules)
     if label_col is None:
         rows = rows.withColumn("y", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     rows = lexical(rows)

@@ -54,3 +54,17 @@ def test_decoding_broken_sequences():
         codec = Codec(f.read())
     flat, size = codec.encode_many(["é"])
     assert codec.decode_many(flat[:1], [1])[0].decode() in ("é", "�")
+
+
+def test_descriptions_that_ask_for_more_are_refused():
+    import json
+
+    import pytest
+
+    from leafmill.llm.bpe import Codec
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    for change in ({"model": {"dropout": 0.1}}, {"model": {"ignore_merges": True}}, {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]}):
+        new = spec | {k: (spec["model"] | v if k == "model" else v) for k, v in change.items()}
+        with pytest.raises(ValueError):
+            Codec(json.dumps(new))

@@ -96,3 +96,82 @@ def test_statistics_do_not_depend_on_the_batch():
     for k, t in enumerate(texts):
         assert np.allclose(Q.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], together[k])
     assert together.shape[1] == len(Q.NAMES)
+
+
+def test_training_follows_the_risk_estimator():
+    """Against a plain implementation: the risk of the definition, its slope by differences, Adam by the book."""
+    r = np.random.default_rng(5)
+    rows = (r.random((40, 4)) < 0.4).astype(np.float32)
+    positive = np.arange(40) < 8
+    rows[:8, 0] = 1
+    prior, ridge = 0.2, 0.35 / 8
+
+    def parts(w):
+        z = rows @ w[:-1] + w[-1]
+        loss = lambda margin: np.log1p(np.exp(-margin))
+        plus, minus = loss(z[positive]).mean(), loss(-z[positive]).mean()
+        return prior * plus, loss(-z[~positive]).mean() - prior * minus
+
+    def slope(f, w):
+        return np.array([(f(w + e) - f(w - e)) / 2e-6 for e in np.eye(5) * 1e-6])
+
+    w = np.append(np.zeros(4), np.log(prior / (1 - prior)))
+    m, v, steps, climbed = np.zeros(5), np.zeros(5), 120, 0
+    for k in range(1, steps + 1):
+        if parts(w)[1] >= 0:
+            g = slope(lambda x: sum(parts(x)), w)
+        else:
+            g, climbed = -slope(lambda x: parts(x)[1], w), climbed + 1
+        g = g + ridge * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    weights, intercept = T.train(rows, positive, prior, steps=steps)
+    assert np.allclose(np.append(weights, intercept), w, atol=1e-3)
+
+
+def test_negative_risk_is_climbed_back():
+    rows = np.eye(6, dtype=np.float32)[[0, 0, 0, 0, 0, 1]]
+    positive = np.array([True, True, True, True, False, False])
+    weights, intercept = T.train(rows, positive, 0.9, steps=200)
+    z = rows @ weights + intercept
+    risk = np.logaddexp(0, z[~positive]).mean() - 0.9 * np.logaddexp(0, z[positive]).mean()
+    assert risk > -0.2  # without the correction it falls without bound
+
+
+def plain_boost(rows, y, trees, depth, rate, bins, ridge, least):
+    """Trees by trying every split of every node."""
+    margin = [np.log(y.mean() / (1 - y.mean()))] * len(y)
+    edges = [sorted(set(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1]))) for f in range(rows.shape[1])]
+
+    def grow(members, level):
+        g = sum(1 / (1 + np.exp(-margin[i])) - y[i] for i in members)
+        h = sum((p := 1 / (1 + np.exp(-margin[i]))) * (1 - p) for i in members)
+        found, best = None, 1e-9
+        if level < depth:
+            for f, cuts in enumerate(edges):
+                for c in cuts:
+                    left = [i for i in members if rows[i, f] <= c]
+                    gl = sum(1 / (1 + np.exp(-margin[i])) - y[i] for i in left)
+                    hl = sum((p := 1 / (1 + np.exp(-margin[i]))) * (1 - p) for i in left)
+                    if hl < least or h - hl < least:
+                        continue
+                    gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
+                    if gain > best + 1e-9:
+                        found, best = (f, c), gain
+        if found is None:
+            return {i: -rate * g / (h + ridge) for i in members}
+        f, c = found
+        return grow([i for i in members if rows[i, f] <= c], level + 1) | grow([i for i in members if rows[i, f] > c], level + 1)
+
+    for _ in range(trees):
+        step = grow(list(range(len(y))), 0)
+        margin = [z + step[i] for i, z in enumerate(margin)]
+    return np.array(margin)
+
+
+def test_trees_match_exhaustive_search():
+    r = np.random.default_rng(9)
+    rows = np.round(r.normal(size=(120, 3)), 1)
+    y = (rows[:, 0] + 0.5 * rows[:, 1] ** 2 + 0.3 * r.normal(size=120) > 0.4).astype(float)
+    forest = Q.boost(rows, y, trees=4, depth=3, rate=0.3, bins=8, ridge=1.0, least=2.0)
+    assert np.allclose(forest.margin(rows), plain_boost(rows, y, 4, 3, 0.3, 8, 1.0, 2.0), atol=1e-9)
