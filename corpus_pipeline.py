@@ -4,14 +4,14 @@ Each stage works on what its predecessor kept and returns the columns of ``docum
 returns token ids.  Stages:
 
 * ``quality``: documents below the classifier's threshold go;
-* ``near_duplicates``: of each component of the 5-word Jaccard join at 0.8 the smallest id stays;
-* ``repeats``: bytes of 100-byte strings that stand earlier go, with what is left of a cut character;
-  a text that a repeat covered whole becomes empty and stays, ``n_chars`` follows the text;
+* ``near_duplicates``: of each component of the 5-word Jaccard join at 0.8 the document with the smallest id stays;
+* ``repeats``: bytes of 100-byte strings that stand earlier go, and characters that such a run cuts go whole;
+  a text that a repeat covered whole becomes empty and stays, ``n_chars`` follows texts that change;
 * ``contamination``: documents that contain a benchmark item go;
 * ``tokens``: token ids of the byte-level BPE, with the text that they decode to.
 
-Rows with a null id pass ``near_duplicates`` and ``repeats`` unchanged; rows that share the id that stays all
-stay, as they are one document to these stages.
+Rows with a null id pass ``near_duplicates`` and ``repeats`` unchanged.  Rows with equal ids and different texts
+are different documents to them, rows with equal ids and texts one that stays or goes whole.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import bpe_round_trip
 from leafmill.llm.decontaminate import drop_contaminated
-from leafmill.llm.jaccard_join import jaccard_components
+from leafmill.llm.jaccard_join import drop_near_duplicates
 from leafmill.llm.quality import fit_quality, keep_quality
 from leafmill.llm.queries import tokenizer_path
-from leafmill.llm.suffix_dedup import suffix_dedup
+from leafmill.llm.suffix_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(docs, shingle=5, threshold=(80, 100))
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_duplicates(docs, shingle=5, threshold=(80, 100))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup(docs).filter("n_removed > 0 and doc_id is not null").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    # bytes of a character that a removed run cut are no text: they decode to U+FFFD and go
-    text = F.replace(F.decode(F.expr("make_valid_utf8(cast(kept as string))").cast("binary"), "UTF-8"), F.lit("�"), F.lit(""))
-    cut = cut.select(F.col("doc_id").alias("cut_id"), text.alias("cut_text"))
-    joined = docs.join(cut, docs.doc_id == cut.cut_id, "left")
-    new = F.when(F.col("cut_id").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("cut_id").isNotNull(), F.length("cut_text").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*[new.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    return without_repeats(docs, length_col="n_chars")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
