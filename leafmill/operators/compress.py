@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import codecs, pixels
+from leafmill.functions.text import image_format
+from leafmill.sources.pdf_tables import map_files
 
 KEY = ["path", "obj_num", "gen"]
 SCHEMA = "path string, obj_num long, gen int, kind string, data binary, width int, height int, original_size long, compressed_size long, force boolean, supported boolean, error string"
@@ -95,3 +97,27 @@ def selected(images: DataFrame, chosen: DataFrame, previews: DataFrame) -> DataF
     """Chosen images that are supported, with whether they have a preview."""
     mine = images.filter("supported").join(chosen.select(*KEY), KEY, "left_semi")
     return mine.join(previews.select(*KEY, F.lit(True).alias("has_preview")), KEY, "left").withColumn("has_preview", F.coalesce("has_preview", F.lit(False)))
+
+
+def preview_pngs(images: DataFrame, side: int = 400, most: int = 24_000_000) -> DataFrame:
+    """(path, obj_num, gen, width, height, content): small PNG pictures of PNG rows; what cannot be read is left out."""
+
+    def rows(path: str, content: bytes, obj_num: int, gen: int) -> Iterator[dict]:
+        try:
+            small = pixels.preview(codecs.read_png(content), side, most)
+        except (ValueError, KeyError, zlib.error):
+            return
+        yield {"path": path, "obj_num": obj_num, "gen": gen, "width": small.shape[1], "height": small.shape[0], "preview": codecs.png(small)}
+
+    return map_files(images, "path string, obj_num long, gen int, width int, height int, preview binary", rows, "obj_num", "gen")
+
+
+def user_replacements(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files of a user as replacement images: format by extension (png, webp, else jpeg), always forced."""
+    form = image_format(F.col(path))
+    return files.withColumns({"format": F.when(form.isin("png", "webp"), form).otherwise("jpeg"), "force": F.lit(True)})
+
+
+def with_bytes(entries: DataFrame, files: DataFrame, path: str = "image_path") -> DataFrame:
+    """Entries with the bytes of the file that they name; entries whose file is not there are left out."""
+    return entries.join(files.select(F.col("path").alias(path), F.col("content").alias("data")), path)

@@ -253,6 +253,11 @@ def by_page_and_name(rows: DataFrame, page: str, member: str, name: str = "posit
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(page, F.col(member).cast("string"))))
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of every row in its group's order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def distinct_pages(rows: DataFrame, by: list[str], page: str, form: str, order: str) -> DataFrame:
     """Pages in ascending order, and formats in the order in which they are first seen."""
     firsts = rows.groupBy(*by, form).agg(F.min(order).alias("_at"), F.collect_set(page).alias("_pages"))

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("relational", "pdf_queries", "pdf_checks")
+_MODULES = ("relational", "listing", "pdf_queries", "pdf_checks")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

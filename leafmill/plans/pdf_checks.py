@@ -511,3 +511,59 @@ SELECT s_suppkey, obj_num, CASE obj_num WHEN 20 THEN false WHEN 21 THEN true WHE
 def pdf_compressed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = P.object_table(P.parse_files(build(suppliers(spark, sf_dir), with_streams), with_content=False)).filter("obj_num between 20 and 24")
     return objects.select(supplier(), "obj_num", D.already_compressed().alias("compressed"))
+
+
+_GRAY = "floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)::INTEGER"
+
+
+def _level(channel: str, levels: int) -> str:
+    return f"floor(floor({channel}::DOUBLE / 255 * {levels - 1} + 0.5::DOUBLE) / {levels - 1} * 255 + 0.5::DOUBLE)::INTEGER"
+
+
+@query(f"""
+WITH c AS (SELECT s_suppkey, (s_suppkey * 5) % 256 AS r, (s_suppkey * 11) % 256 AS g, CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey * 5) % 256 ELSE (s_suppkey * 17) % 256 END AS b FROM supplier),
+     m AS (SELECT s_suppkey, 'none' AS mode, r, g, b FROM c UNION ALL SELECT s_suppkey, 'grayscale', {_GRAY}, {_GRAY}, {_GRAY} FROM c
+           UNION ALL SELECT s_suppkey, 'binary', 255 * ({_GRAY} >= 180)::INTEGER, 255 * ({_GRAY} >= 180)::INTEGER, 255 * ({_GRAY} >= 180)::INTEGER FROM c
+           UNION ALL SELECT s_suppkey, '64', {_level("r", 4)}, {_level("g", 4)}, {_level("b", 4)} FROM c UNION ALL SELECT s_suppkey, '16', {_level("r", 4)}, {_level("g", 2)}, {_level("b", 2)} FROM c)
+SELECT s_suppkey, mode, CASE WHEN r <> g OR g <> b THEN 'rgb' WHEN r IN (0, 255) THEN 'bits' ELSE 'gray' END AS kind,
+       CASE WHEN r <> g OR g <> b THEN printf('%02X%02X%02X', r, g, b) WHEN r = 0 THEN '00' WHEN r = 255 THEN '80' ELSE printf('%02X', r) END AS samples FROM m
+""")
+def pdf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pixel through every kind of colour reduction."""
+
+    def make(row: dict) -> Document:
+        s = row["s"]
+        r = s * 5 % 256
+        doc = skeleton(b"", [bytes((r, s * 11 % 256, r if s % 4 == 0 else s * 17 % 256))])
+        doc.objects[Ref(6, 0)].dict["ColorSpace"] = Name("DeviceRGB")
+        return doc
+
+    found = written(E.extract_images(build(suppliers(spark, sf_dir), make)))
+    out = None
+    for mode in ("none", "grayscale", "binary", "64", "16"):
+        some = C.compress(found, C.CompressOptions(colours=mode)).select(supplier(), F.lit(mode).alias("mode"), "kind", F.hex("data").alias("samples"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, floor(((s_suppkey % 256) + (s_suppkey * 2) % 256 + (s_suppkey * 3) % 256 + (s_suppkey * 4) % 256) / 4.0::DOUBLE + 0.5::DOUBLE)::INTEGER AS v FROM supplier)
+SELECT s_suppkey, CASE WHEN v IN (0, 255) THEN 'bits' ELSE 'gray' END AS kind, CASE v WHEN 0 THEN '00' WHEN 255 THEN '80' ELSE printf('%02X', v) END AS samples, 1 AS width, 1 AS height FROM s
+""")
+def pdf_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four shades at half the size: their average."""
+    found = E.extract_images(build(suppliers(spark, sf_dir), with_pixels)).filter("obj_num = 6")
+    return C.compress(found, C.CompressOptions(scale=0.5)).select(supplier(), "kind", F.hex("data").alias("samples"), "width", "height")
+
+
+@query("SELECT s_suppkey, CASE WHEN (s_suppkey * 7) % 900 + 1 > 400 THEN 400 ELSE (s_suppkey * 7) % 900 + 1 END AS width, CASE WHEN (s_suppkey * 7) % 900 + 1 > 800 THEN 1 WHEN (s_suppkey * 7) % 900 + 1 > 400 THEN round_even(800.0 / ((s_suppkey * 7) % 900 + 1), 0)::INTEGER ELSE 2 END AS height FROM supplier")
+def pdf_preview_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of images two pixels high and up to 900 wide."""
+
+    def make(row: dict) -> Document:
+        width = row["s"] * 7 % 900 + 1
+        doc = skeleton(b"", [b"p" * (2 * width)])
+        doc.objects[Ref(6, 0)].dict |= {"Width": width, "Height": 2}
+        return doc
+
+    return C.preview_pngs(E.extract_images(build(suppliers(spark, sf_dir), make))).select(supplier(), "width", "height")
