@@ -138,7 +138,7 @@ def pdf_components_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_COUNTS}
 SELECT s_suppkey, 0::BIGINT AS other_count, true AS rest_counted, images + fonts * 2 + xml + forms + 6 AS total_objects,
-       (14 + xml * 68 + 15)::BIGINT AS potential_savings, 1::BIGINT AS unused_objects, 0::BIGINT AS duplicate_groups, ['f' || fonts] AS font_state FROM c
+       (14 + xml * 68 + 15)::BIGINT AS potential_savings, 1::BIGINT AS unused_objects, 0::BIGINT AS duplicate_groups, fonts::BIGINT AS fonts FROM c
 """)
 def pdf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = written(P.parse_files(build(suppliers(spark, sf_dir), with_everything)))
@@ -148,8 +148,7 @@ def pdf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = facts.select("path", "total_objects", "file_size", "n_fonts").join(rest, "path").join(whole, "path")
     small = F.col("other_size") < F.col("file_size")
     return known.select(
-        supplier(), "other_count", small.alias("rest_counted"), F.col("total").alias("total_objects"), "potential_savings", F.col("unused").alias("unused_objects"), "duplicate_groups",
-        F.array(F.concat(F.lit("f"), F.col("n_fonts").cast("string"))).alias("font_state"),
+        supplier(), "other_count", small.alias("rest_counted"), F.col("total").alias("total_objects"), "potential_savings", F.col("unused").alias("unused_objects"), "duplicate_groups", F.col("n_fonts").alias("fonts"),
     )
 
 
@@ -232,7 +231,6 @@ def pdf_reused_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT s_suppkey, 'c' AS k, 1 AS n FROM supplier UNION ALL SELECT s_suppkey, 'pages', 1 + 1 + s_suppkey % 3 FROM supplier)
 SELECT s_suppkey, (1 + (1 + 1 + s_suppkey % 3) + 1 + (1 + s_suppkey % 3) + 2 + (s_suppkey % 3 = 2)::INTEGER * 3)::BIGINT AS edges, 'Root' AS trailer_key,
        (2 + 1 + s_suppkey % 3 + 2 + (s_suppkey % 3 = 2)::INTEGER)::BIGINT AS reached FROM supplier
 """)
