@@ -198,15 +198,19 @@ def summary(parsed: DataFrame) -> DataFrame:
 def analyse(parsed: DataFrame, rule: str = "small") -> DataFrame:
     """One row per file: sizes, version, pages, components, fonts, unused objects, duplicates and possible savings."""
     objects = P.object_table(parsed)
-    parts = components(objects, rule).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("position", "category", "n", "size"))).alias("components"),
-        F.sum(F.when(F.col("category").isin(["unused"] if rule == "large" else ["unused", "metadata"]), F.col("size")).otherwise(0)).alias("potential_savings"),
-    )
-    counts = objects.groupBy("path").agg(F.count("*").alias("total_objects"), F.count_if(~F.col("reachable")).alias("unused_objects"))
+    facts = summary(parsed)
+    if rule == "small":
+        parts = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(c).alias("category"), F.col(f"n_{c}").alias("n"), F.col(f"size_{c}").alias("size")) for k, c in enumerate(CATEGORIES)])
+        out = facts.withColumns({"components": F.when(F.col("total_objects") > 0, parts), "potential_savings": F.col("size_unused") + F.col("size_metadata")})
+    else:
+        parts = components(objects, rule).groupBy("path").agg(
+            F.array_sort(F.collect_list(F.struct("position", "category", "n", "size"))).alias("components"), F.sum(F.when(F.col("category") == "unused", F.col("size")).otherwise(0)).alias("potential_savings")
+        )
+        out = facts.join(parts, "path", "left")
+    out = out.drop("stream_bytes", *[f"{k}_{c}" for c in CATEGORIES for k in ("n", "size")])
     listed = fonts(objects).groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "name", "subtype", "embedded", "size"))).alias("fonts"))
     doubles = duplicate_images(objects).groupBy("path").agg(F.count("*").alias("duplicate_groups"), F.sum("savings").alias("duplicate_savings"))
-    out = P.file_table(parsed)
-    for more in (parts, counts, listed, doubles):
+    for more in (listed, doubles):
         out = out.join(more, "path", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("total_objects", "unused_objects", "potential_savings", "duplicate_groups", "duplicate_savings")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("potential_savings", "duplicate_groups", "duplicate_savings")}
     return out.withColumns(zero)
