@@ -40,11 +40,13 @@ CUTS = CLASSES + ", body binary"
 FOUND = "kind int, id long, tag long, start int, n int, extra binary"
 SPANS = "id long, tag long, start int, n int"
 
-#: Kinds of CLASSES rows: earliest member of a class (extra: others), more of its members, and lists of
-#: followers; of FOUND rows: windows that are removed, windows whose followers are removed, both, followers.
-LEAD, MORE, FOLLOWS = 0, 1, 2
+#: Kinds of CLASSES rows: earliest member of a class (extra: others), more of its members, lists of followers,
+#: and the earliest member of an anchor's only class; of FOUND rows: windows that are removed, windows whose followers are removed, both, followers.
+LEAD, MORE, FOLLOWS, LONE = 0, 1, 2, 3
 OWN, AGAIN, BOTH, FOLLOWER = 0, 1, 2, 3
 MEMBER = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("followed", "u1")])
+#: The same with the windows [at, at + n) of the class's text that a member shares.
+PART = np.dtype([*((k, MEMBER[k]) for k in MEMBER.names), ("at", "<i4"), ("n", "<i4")])
 #: Windows [start, start + n) of a follower equal those from ``at`` on of the document that leads; rows of the
 #: leading document list its followers.
 FOLLOW = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("at", "<i4"), ("n", "<i4")])
@@ -68,6 +70,8 @@ class Unit:
     within: bool
     followers: int = FOLLOWERS
     members: int = MEMBERS
+    #: Neighbouring classes that are alone at their anchors become one text.
+    chains: bool = False
 
 
 def byte_values(data: np.ndarray, offsets: np.ndarray):
@@ -280,16 +284,17 @@ def _classes(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             done = many | several[group[heads]]
             done[-1] = False
             full = bounds[-1] - bounds[-2] >= unit.members  # of the class that waits: what it lists leaves
-            yield from _class_rows(heads[done], anchor, ids, tags, place, many[done], records, bounds[:-1][done], bounds[1:][done], LEAD, unit.members)
+            kind = np.where(several[group[heads]], LEAD, LONE)[done]
+            yield from _class_rows(heads[done], anchor, ids, tags, place, many[done], records, bounds[:-1][done], bounds[1:][done], kind, unit.members)
             h = heads[-1:]
             if full:
                 several[-1] = True  # its first row must come, too
-                yield from _class_rows(h, anchor, ids, tags, place, many[-1:], records, bounds[-2:-1], bounds[-1:], MORE, unit.members)
+                yield from _class_rows(h, anchor, ids, tags, place, many[-1:], records, bounds[-2:-1], bounds[-1:], np.array([MORE]), unit.members)
             left = MEMBER_NONE if full else records[bounds[-2] :]
             wait = (anchor[h[0]], ctx[h[0]], ids[h[0]], tags[h[0]], place[h[0]], many[-1], several[-1], left)
         if wait is not None and (wait[5] or wait[6]):
             h = np.zeros(1, np.int64)
-            yield from _class_rows(h, *(np.array([w]) for w in (wait[0], *wait[2:5])), np.array([wait[5]]), wait[7], h, np.array([len(wait[7])]), LEAD, unit.members)
+            yield from _class_rows(h, *(np.array([w]) for w in (wait[0], *wait[2:5])), np.array([wait[5]]), wait[7], h, np.array([len(wait[7])]), np.array([LEAD if wait[6] else LONE]), unit.members)
 
     return stream
 
@@ -308,8 +313,22 @@ def _class_rows(heads, anchor, ids, tags, place, many, records, lo, hi, kind, mo
     b = np.minimum(a + most, hi[which])
     extra = X.binary_column(raw[X.gather_ranges(a * size, (b - a) * size)], np.cumsum((b - a) * size))
     h = heads[which]
+    first = np.where((kind == LONE) & (rows > 1), LEAD, kind)[which]
     if len(h):
-        yield _table(CLASSES, np.where(turn == 0, kind, MORE), anchor[h], ids[h], tags[h], place[h] >> 32, place[h] & 0x7FFFFFFF, many[which], (place[h] >> 31 & 1).astype(bool), extra)
+        yield _table(CLASSES, np.where(turn == 0, first, MORE), anchor[h], ids[h], tags[h], place[h] >> 32, place[h] & 0x7FFFFFFF, many[which], (place[h] >> 31 & 1).astype(bool), extra)
+
+
+def _parts(extra: pa.Array, n: np.ndarray, at: np.ndarray, of: np.ndarray) -> pa.Array:
+    """Members of classes with the windows that they share, listed by text (``of``: ascending numbers)."""
+    raw, ends = X.packed(extra)
+    members = np.frombuffer(raw.tobytes(), MEMBER)
+    owner = np.repeat(np.arange(len(n)), np.diff(ends) // MEMBER.itemsize)
+    parts = np.empty(len(members), PART)
+    for name in MEMBER.names:
+        parts[name] = members[name]
+    parts["at"], parts["n"] = at[owner], n[owner]
+    count = np.bincount(of[owner], minlength=int(of[-1]) + 1)
+    return X.binary_column(np.frombuffer(parts.tobytes(), np.uint8), np.cumsum(count) * PART.itemsize)
 
 
 def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -324,22 +343,38 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             kind, anchor, start, n, many, followed = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "anchor", "start", "n", "many", "followed"))
             extra = rows.field("extra")
 
-            def out(at: np.ndarray, body: pa.Array | None) -> pa.RecordBatch:
-                return _table(CUTS, kind[at], anchor[at], ids[doc[at]], tags[doc[at]], start[at], n[at], many[at], followed[at], extra.take(pa.array(at)), body)
+            def out(at: np.ndarray, size: np.ndarray, members: pa.Array, body: pa.Array | None) -> pa.RecordBatch:
+                return _table(CUTS, np.where(kind[at] == LONE, LEAD, kind[at]), anchor[at], ids[doc[at]], tags[doc[at]], start[at], size, many[at], followed[at], members, body)
 
-            if len(rest := np.flatnonzero(kind != LEAD)):
-                yield out(rest, None)
-            todo = np.flatnonzero(kind == LEAD)
+            if len(rest := np.flatnonzero(kind == FOLLOWS)):
+                yield out(rest, n[rest], extra.take(pa.array(rest)), None)
+            if len(rest := np.flatnonzero(kind == MORE)):
+                yield out(rest, n[rest], _parts(extra.take(pa.array(rest)), n[rest], np.zeros(len(rest), np.int64), np.arange(len(rest))), None)
+            todo = np.flatnonzero((kind == LEAD) | (kind == LONE))
+            todo = todo[np.argsort(doc[todo] << 32 | start[todo])]
             for lo, hi, data, offsets in unsqueezed(batch.column(2)):
                 mine = todo[(doc[todo] >= lo) & (doc[todo] < hi)]
+                if len(mine) == 0:
+                    continue
                 _, starts, stops, first = unit.values(data, offsets)
-                s = first[doc[mine] - lo] + start[mine]
-                a, b = starts[s], stops[s + n[mine] + unit.window - 2]
+                goes_on = (doc[mine][1:] == doc[mine][:-1]) & (start[mine][1:] == start[mine][:-1] + n[mine][:-1]) & (kind[mine][1:] == LONE) & (kind[mine][:-1] == LONE)
+                heads = np.flatnonzero(np.append(True, ~(goes_on & unit.chains)))
+                which = np.searchsorted(heads, np.arange(len(mine)), "right") - 1
+                head = mine[heads]
+                followed[head] = np.logical_or.reduceat(followed[mine], heads)
+                s = first[doc[head] - lo] + start[head]
+                last = mine[np.append(heads[1:], len(mine)) - 1]
+                windows = start[last] + n[last] - start[head]
+                a, b = starts[s], stops[s + windows + unit.window - 2]
+                bounds = np.append(heads, len(mine))
                 step = max(1, 2_000_000 // (4 * unit.window))
-                for k in range(0, len(mine), step):
-                    at, part = mine[k : k + step], slice(k, k + step)
+                for k in range(0, len(head), step):
+                    part = slice(k, min(k + step, len(head)))
+                    inside = mine[bounds[part.start] : bounds[part.stop]]
+                    of = which[bounds[part.start] : bounds[part.stop]]
+                    members = _parts(extra.take(pa.array(inside)), n[inside], start[inside] - start[head[of]], of - k)
                     size = b[part] - a[part]
-                    yield out(at, X.binary_column(data[X.gather_ranges(a[part], size)], np.cumsum(size)))
+                    yield out(head[part], windows[part], members, X.binary_column(data[X.gather_ranges(a[part], size)], np.cumsum(size)))
 
     return cut
 
@@ -352,7 +387,7 @@ class Shard:
 
     def __init__(self, room: int):
         self.text, self.keys = I.Shelf(np.uint8, room), I.Shelf(KEY, room)
-        self.members = I.Shelf(np.dtype([("piece", "<i8"), ("m", MEMBER)]), room)
+        self.members = I.Shelf(np.dtype([("piece", "<i8"), ("m", PART)]), room)
         self.groups, self.anchor = 0, None
 
     def add(self, rows: pa.RecordBatch) -> None:
@@ -373,9 +408,9 @@ class Shard:
         self.text.append(text)
         self.keys.append(keys)
         raw, ends = X.packed(rows.column("extra"))
-        count = np.diff(ends) // MEMBER.itemsize
+        count = np.diff(ends) // PART.itemsize
         members = np.empty(int(count.sum()), self.members.kind)
-        members["piece"], members["m"] = np.repeat(piece, count), np.frombuffer(raw.tobytes(), MEMBER)
+        members["piece"], members["m"] = np.repeat(piece, count), np.frombuffer(raw.tobytes(), PART)
         self.members.append(members)
 
     def close(self) -> None:
@@ -414,8 +449,11 @@ def _verdicts(shard: Shard, base: np.ndarray, verdict: np.ndarray, within: bool)
                 who = np.flatnonzero(which)
                 count = bounds[p[who] + 1] - bounds[p[who]]
                 i, who = X.gather_ranges(bounds[p[who]], count), np.repeat(who, count)
+                a = np.maximum(use[1][i], m["at"][who])
+                b = np.minimum(use[1][i] + use[2][i], m["at"][who].astype(np.int64) + m["n"][who])
+                who, a, b = who[a < b], a[a < b], b[a < b]
                 if len(who):
-                    yield _table(FOUND, np.array(kinds)[m["followed"][who]], m["id"][who], m["tag"][who], m["start"][who] + use[1][i], use[2][i])
+                    yield _table(FOUND, np.array(kinds)[m["followed"][who]], m["id"][who], m["tag"][who], m["start"][who] + a - m["at"][who], b - a)
 
 
 Judge = Callable[[Shard], tuple[np.ndarray, np.ndarray]]

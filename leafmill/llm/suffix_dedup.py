@@ -2,7 +2,7 @@
 
 Every shard gets stretches of text around byte anchors that occur more than once, so shards are
 independent and unique text never reaches one; a stretch that occurs several times stands there once,
-with its count.  A shard's suffixes are sorted with their common-prefix values by
+with its count, and neighbouring stretches that have no others to compare with are one.  A shard's suffixes are sorted with their common-prefix values by
 :class:`leafmill.llm._induced.Sorter`, and neighbours that share ``window`` bytes form groups.  Every
 removed byte lies in a string of such a group: of its places all but the earliest are repeats, and all
 copies but the first of a counted stretch.
@@ -146,7 +146,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _spans(search: DataFrame, texts: DataFrame, window: int, memory_tuples: int, shard_bytes: int) -> DataFrame:
-    unit = R.Unit(window, GRAM_BYTES, R.byte_values, True, R.FOLLOWERS, R.MEMBERS)
+    unit = R.Unit(window, GRAM_BYTES, R.byte_values, True, R.FOLLOWERS, R.MEMBERS, chains=True)
     return R.repeated_spans(search, texts, unit, _judge(window, memory_tuples), shard_bytes, memory_tuples * I.TUPLE.itemsize)
 
 
