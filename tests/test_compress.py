@@ -44,3 +44,14 @@ def test_previews_and_replacement(spark):
     doc = parse(bytes(out.content))
     assert out.changed == 2 and doc.objects[Ref(6, 0)].dict["Width"] == 16 and doc.objects[Ref(6, 0)].dict["BitsPerComponent"] == 1
     assert out.savings > 0
+
+
+def test_pictures_user_files_and_bytes_by_path(spark):
+    wide = C.png(np.zeros((2, 900, 4), np.uint8))
+    rows = spark.createDataFrame([("a", 1, 0, wide), ("a", 2, 0, b"no png")], "path string, obj_num long, gen int, content binary")
+    r = Z.preview_pngs(rows).collect()
+    assert [(x.obj_num, x.width, x.height) for x in r] == [(1, 400, 1)] and C.read_png(bytes(r[0].preview)).shape[:2] == (1, 400)
+    files = spark.createDataFrame([("x/1.PNG",), ("x/2.webp",), ("x/3.bmp",), ("x/none",)], "path string")
+    assert [(x.format, x.force) for x in Z.user_replacements(files).orderBy("path").collect()] == [("png", True), ("webp", True), ("jpeg", True), ("jpeg", True)]
+    stored = spark.createDataFrame([("x/1.PNG", b"one")], "path string, content binary")
+    assert [(x.image_path, bytes(x.data)) for x in Z.with_bytes(files.withColumnRenamed("path", "image_path"), stored).collect()] == [("x/1.PNG", b"one")]

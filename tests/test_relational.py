@@ -60,3 +60,17 @@ def test_rollup_by_file_is_zero_filled(spark):
     df = spark.createDataFrame([("x", "a", 3), ("x", "a", 4), ("y", "b", 1)], "path string, c string, s long")
     got = sorted((r.path, r.position, r.category, r.n, r["size"]) for r in O.category_rollup(df, F.col("c"), F.col("s"), ["a", "b"], ["path"]).collect())
     assert got == [("x", 0, "a", 2, 7), ("x", 1, "b", 0, 0), ("y", 0, "a", 0, 0), ("y", 1, "b", 1, 1)]
+
+
+def test_shares_by_group_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 0), (None, 5)], "k string, s long")
+    assert sorted((r.k or "", r.s, r.share) for r in O.share_of_total(df, "s", ["k"]).collect()) == [("", 5, 1.0), ("a", 1, 0.25), ("a", 3, 0.75), ("b", 0, 0.0)]
+    assert [r.share for r in O.share_of_total(df.filter("s = 0"), "s").collect()] == [0.0]
+    assert O.share_of_total(df.limit(0), "s").count() == 0
+
+
+def test_reachability_through_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(O, "MERGE_LEVELS", 3)
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(9)] + [("9", "0"), ("x", "y")], "src string, dst string")
+    roots = spark.createDataFrame([("0",)], "node string")
+    assert sorted(r.node for r in O.reachable(edges, roots).collect()) == [str(k) for k in range(10)]
