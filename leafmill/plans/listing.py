@@ -9,6 +9,7 @@ from leafmill.functions import text as T
 from leafmill.operators import compress as C
 from leafmill.operators import rewrite as W
 from leafmill.operators import tables as O
+from leafmill.sources import listings as L
 
 from .catalog import query
 from .relational import cents, read
@@ -137,3 +138,48 @@ def duplicate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select(F.col("p_size").alias("bucket"), (F.col("p_partkey") % 20).alias("fp"), "p_partkey", (F.col("p_partkey") % 9 + 1).alias("size"))
     groups = O.duplicate_groups(rows, ["bucket"], F.col("fp"), "size", "p_partkey")
     return O.ranked(groups, ["bucket"], [F.desc("savings"), F.col("first_member")]).select("bucket", "first_member", "savings", "position")
+
+
+def lines(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    """Three files with a line of text for every part."""
+    return read(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("string").alias("path"), F.col("p_partkey").alias("line_no"), line.alias("line"))
+
+
+@query("""
+WITH r AS (SELECT (p_size % 3)::VARCHAR AS path, p_partkey, p_size, p_partkey % 300 AS obj_num FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 10 <> 0),
+     f AS (SELECT *, row_number() OVER (PARTITION BY path, obj_num ORDER BY p_partkey) AS n FROM r)
+SELECT path, p_partkey % 9 + 1 AS page, p_partkey AS num, p_size::BIGINT AS width, p_size::BIGINT + 1 AS height, 'rgb' AS color_space, 8 AS bits, 'jpeg' AS encoding, obj_num, 0 AS gen, p_size::BIGINT * 1024 AS pdf_size FROM f WHERE n = 1
+""")
+def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text table of images: masks and short lines are left out, an object counts once."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "smask").otherwise("image")
+    end = F.when(k % 10 == 0, "").otherwise(" 9%")
+    line = F.concat(F.concat_ws("   ", F.lit(" "), k % 9 + 1, k, kind, "p_size", F.col("p_size") + 1, F.lit("rgb 3 8 jpeg no"), k % 300, F.lit("0 72 72"), F.concat("p_size", F.lit("K"))), end)
+    return L.image_listing(lines(spark, sf_dir, line))
+
+
+@query("""
+WITH r AS (SELECT (p_size % 3)::VARCHAR AS path, p_partkey, p_partkey % 200 AS obj_num, p_size, CASE WHEN p_partkey % 6 = 0 THEN p_partkey % 11 END AS opens FROM part),
+     p AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY path ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM r),
+     i AS (SELECT * FROM p WHERE opens IS NULL AND page > 0 AND p_partkey % 7 <> 0)
+SELECT path, obj_num, 0 AS gen, arg_min(p_size, p_partkey)::BIGINT AS width, (arg_min(p_size, p_partkey) + 1)::BIGINT AS height, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, count(*) AS occurrences FROM i GROUP BY path, obj_num
+""")
+def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text listing of pages and their images; some lines name none."""
+    k = F.col("p_partkey")
+    image = F.concat(F.lit("  /Im"), k, F.lit(": "), k % 200, F.lit(" 0 R, "), F.col("p_size"), F.lit(" x "), F.col("p_size") + 1)
+    line = F.when(k % 6 == 0, F.concat(F.lit("page "), k % 11, F.lit(": 3 0 R"))).when(k % 7 == 0, F.concat(F.lit("  /Im"), k, F.lit(": none"))).otherwise(image)
+    out = L.image_references(lines(spark, sf_dir, line))
+    return out.withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
+
+
+@query("""
+WITH f AS (SELECT (p_size % 3)::VARCHAR AS path, min(p_partkey) FILTER (p_partkey > 20) AS first_line FROM part GROUP BY 1)
+SELECT path, CASE WHEN first_line % 2 = 0 THEN coalesce(first_line, 0) ELSE 0 END AS page_count FROM f
+""")
+def listed_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line that tells the number of pages, if it is a number."""
+    k = F.col("p_partkey")
+    value = F.when(k % 2 == 0, F.concat(F.lit("  "), k)).otherwise(" many")
+    return L.page_counts(lines(spark, sf_dir, F.when(k > 20, F.concat(F.lit("Pages:"), value)).otherwise("Title: Pages: 7")))
