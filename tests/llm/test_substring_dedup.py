@@ -95,3 +95,42 @@ def test_many_copies_with_few_followers_and_members(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(((x.doc_id, x.n_words, x.n_removed, x.text) for x in substring_dedup(df).collect()), key=str)
     assert got == brute(rows, 50)
+
+
+def periodic(seed):
+    """Texts that repeat a few words for long, alone, behind and before others, and with equal ids."""
+    r = random.Random(seed)
+    lines = [[f"p{k}_{j}" for j in range(k)] for k in (1, 2, 3, 7, 20, 61, 90)]
+    rows = []
+    for i in range(70):
+        line = r.choice(lines)
+        a = r.randrange(len(line))
+        w = (line * (r.randint(60, 300) // len(line) + 2))[a:]
+        if i % 2:
+            w[r.randrange(len(w))] = f"edit{i}"
+        head = [f"h{r.randint(0, 3)}_{k}" for k in range(r.randint(0, 40))]
+        rows.append((i // 3 if i % 4 else 100 - i, " ".join(head + w + r.choice(lines) * 3 + head)))
+    return rows + [(200, rows[0][1]), (201, rows[0][1])]
+
+
+def test_periodic_texts_match_brute_force(spark, monkeypatch):
+    from leafmill.llm import _repeats as R
+
+    for seed, followers in ((1, 64), (2, 64), (3, 3)):
+        monkeypatch.setattr(R, "FOLLOWERS", followers)
+        rows = periodic(seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup(df).collect()), key=str)
+        assert got == brute(rows, 50)
+
+
+def test_spans_of_a_periodic_stretch_do_not_grow_with_it(spark):
+    from leafmill.llm import _repeats as R
+    from leafmill.llm import substring_dedup as S
+
+    rows = [(i, f"start{i} " + "very common " * 300 + f"end{i}") for i in range(60)]
+    _, search, texts = R.tables(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "doc_id", "text")
+    unit = R.Unit(50, S.SEED_WORDS, R.word_values, False)
+    assert search.mapInArrow(R._emit_runs(unit), R.RUNS).count() < 10 * len(rows)
+    spans = R.repeated_spans(search, texts, unit, S._judge(50))
+    assert spans.count() < 10 * len(rows)
