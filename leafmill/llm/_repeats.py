@@ -202,7 +202,7 @@ def _emit_runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             place = np.empty(len(ids), np.int64)
             place[np.lexsort((tags, ids))] = np.arange(len(ids))
             order = np.argsort((place[doc] << 32) | start)
-            order = order[np.argsort(X.mix(anchor) + ctx, kind="stable")]
+            order = order[np.argsort((X.mix(anchor) + ctx)[order], kind="stable")]
             doc, start, n, anchor, ctx = (x[order] for x in (doc, start, n, anchor, ctx))
             head = np.append(True, (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1]))[: len(doc)]
             # the first run of every so many documents of a class leads the others

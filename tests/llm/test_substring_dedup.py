@@ -134,3 +134,21 @@ def test_spans_of_a_periodic_stretch_do_not_grow_with_it(spark):
     assert search.mapInArrow(R._emit_runs(unit), R.RUNS).count() < 10 * len(rows)
     spans = R.repeated_spans(search, texts, unit, S._judge(50))
     assert spans.count() < 10 * len(rows)
+
+
+def test_rows_out_of_order_follow_earlier_ones(spark):
+    """Of equal runs of a batch the earliest leads, whatever the order of its rows."""
+    import numpy as np
+
+    from leafmill.llm import _repeats as R
+
+    r = random.Random(6)
+    passage = " ".join(f"v{r.randint(0, 99)}" for _ in range(90))
+    rows = [(i * 7 % 40, f"{i} " + (passage if i % 2 else "very common " * 200) + f" {i}") for i in range(40)]
+    _, search, _ = R.tables(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    runs = search.mapInArrow(R._emit_runs(R.Unit(50, 18, R.word_values, False)), R.RUNS).collect()
+    lists = [(x.id, np.frombuffer(x.extra, R.FOLLOW)) for x in runs if x.extra]
+    assert lists
+    assert all((i, at) < (j, start) for i, f in lists for j, start, at in zip(f["id"], f["start"], f["at"], strict=True))
+    whole = [x for x in runs if not x.extra]
+    assert len({(x.anchor, x.ctx) for x in whole}) == len(whole)

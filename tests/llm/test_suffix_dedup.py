@@ -92,3 +92,22 @@ def test_many_copies_and_small_shards(spark, monkeypatch):
     rows += [(200 + k, rows[4][1]) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(df, shard_bytes=2_000) == brute(rows, 100)
+
+
+def test_periodic_texts_in_any_order(spark):
+    for seed in (14, 15):
+        r = random.Random(seed)
+        lines = ["".join(r.choice("abcdé ") for _ in range(k)) for k in (1, 2, 5, 33, 101, 140, 260)]
+        rows = []
+        for i in range(60):
+            line = r.choice(lines)
+            a = r.randrange(len(line))
+            t = (line * (600 // len(line) + 3))[a:]
+            if i % 3 == 0:
+                t = line * 2
+            if i % 3 == 1:
+                k = r.randrange(len(t))
+                t = t[:k] + f"E{i}" + t[k:]
+            rows.append((i * 37 % 61, f"{r.randint(0, 3)}" * r.randint(0, 60) + t))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert got(df) == brute(rows, 100)
