@@ -26,14 +26,12 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word pattern, the base phrases, and public licence wording, short and in full.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before A-Z are lower-cased
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = [
     # label, wording, mandatory key phrases
@@ -223,6 +221,12 @@ class Index:
         return chosen
 
 
+def listed(pattern: str) -> str:
+    """The same class with its ASCII ranges spelled out: Java finds single characters in a table, but asks range
+    after range, for every character of a text."""
+    return re.sub(r"\\x(..)-\\x(..)", lambda m: "".join(f"\\x{c:02X}" for c in range(int(m[1], 16), int(m[2], 16) + 1)), pattern)
+
+
 def bind(value: Column, f) -> Column:
     """``f(value)`` with the value computed once, however often ``f`` uses it."""
     return F.transform(F.array(value), f)[0]
@@ -236,7 +240,7 @@ def lowered(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words; those of ASCII alone are what A-Z to a-z makes of them."""
-    return F.regexp_extract_all(lowered(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(F.coalesce(text.cast("string"), F.lit(""))), F.lit(listed(WORD)), F.lit(0))
 
 
 def _strings(values: list[str]) -> Column:
@@ -250,7 +254,7 @@ def build_index(docs: DataFrame, text_col: str = "text", phrases: dict[str, str]
     if sum(len(t.words) for t in templates) > INDEX_WORDS:
         raise ValueError(f"templates of more than {INDEX_WORDS} words do not fit into a plan")
     vocabulary = sorted({w for p in phrases for w in split(p)} | {w for t in templates for w in t.words})
-    found = docs.select(F.array_intersect(_strings(vocabulary), words_of(F.col(f"`{text_col}`"))).alias("w"))
+    found = docs.select(F.array_distinct(F.filter(words_of(F.col(f"`{text_col}`")), lambda w: w.isin(vocabulary))).alias("w"))
     counts = found.select(F.explode(F.array_append("w", "")).alias("w")).groupBy("w").count()
     n = {r["w"]: r["count"] for r in counts.collect()}  # one row per vocabulary word at most
     total = n.get("", 0)
@@ -318,9 +322,6 @@ def _verified(words: Column, voted: Column, index: Index) -> Column:
 def scan_licenses(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start)."""
     vocabulary = sorted({w for p in index.phrases for w in split(p)} | set(index.postings()))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    # a cheap test that no file with a phrase or template fails; only what passes is taken apart
-    maybe = bind(F.lower(text), lambda t: reduce(lambda a, b: a | b, [t.contains(k) for k in index.keys()]))
     labels = _strings([t.label for t in index.templates])
 
     def look(words: Column) -> Column:
@@ -329,10 +330,12 @@ def scan_licenses(docs: DataFrame, index: Index, id_col: str = "doc_id", text_co
             return F.struct(base.alias("base"), _verified(words, _voted(hits, index), index).alias("notices"))
 
         known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(vocabulary))
-        return bind(known, found)
+        # a cheap test that no file with a phrase or template fails; only what passes is looked up
+        maybe = F.arrays_overlap(words, _strings(index.keys()))
+        return F.struct(F.size(words).cast("long").alias("n"), F.when(maybe, bind(known, found)).alias("found"))
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(maybe, bind(words_of(text), look)).alias("found"))
-    rows = rows.select("doc_id", "n_words", F.col("found.base").alias("base"), F.col("found.notices").alias("notices"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), bind(words_of(F.col(f"`{text_col}`")), look).alias("seen"))
+    rows = rows.select("doc_id", F.col("seen.n").alias("n_words"), F.col("seen.found.base").alias("base"), F.col("seen.found.notices").alias("notices"))
     empty = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), empty)
     more = F.coalesce(F.transform("notices", lambda x: F.get(labels, x["t"])), empty)

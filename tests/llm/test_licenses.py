@@ -119,3 +119,25 @@ def test_whole_table_and_empty_table(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
     none = docs.limit(0)
     assert L.scan_licenses(none, L.build_index(none)).count() == 0
+
+
+def test_every_text_is_taken_apart_once_by_a_table_of_characters(spark):
+    """Ranges are asked one after another for every character: 2.5 s instead of 0.9 to count the words of 20,000 texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = L.scan_licenses(docs, L.build_index(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and r"\x00\x01\x02" in plan and r"\x00-" not in plan
+
+
+def test_words_of_every_character(spark):
+    """Each alone, between letters and before an upper-case one; the words that the contract's class finds, lower-cased or not."""
+    marks = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), 0x10400, 0x1F600, 0x10FFFF]]
+    df = spark.createDataFrame([(k, f"{c} a{c}B{c}{c}") for k, c in enumerate(marks)], "doc_id long, text string")
+    got = {r.doc_id: r.n_words for r in L.scan_licenses(df, L.build_index(df)).select("doc_id", "n_words").collect()}
+    assert got == {k: len(words(f"{c} a{c}B{c}{c}")) for k, c in enumerate(marks)}
+    assert re.findall(L.listed(L.WORD), "".join(marks)) == WORD.findall("".join(marks))
+
+
+def test_key_words_inside_longer_words_are_none(spark):
+    df = spark.createDataFrame([(1, "mitlicense sublicense, licensed mit"), (2, "MITé License"), (3, "x-MIT.LICENSE")], "doc_id long, text string")
+    rows = L.scan_licenses(df, L.build_index(df)).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_base, r.first_word, r.labels) for r in rows] == [(4, 0, None, ""), (2, 0, None, ""), (3, 1, 1, "mit")]
