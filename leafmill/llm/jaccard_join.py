@@ -7,10 +7,11 @@
    only, never the result.
 3. Sets that meet by chance part again by their parity bitmaps, whose distance is a lower bound of the
    number of shingles that only one of two sets has.  What stays together forms clusters.
-4. In a cluster each set is a query against the inverted lists of the others: short lists are merged
-   by a heap, the longest are set aside and probed by binary search for candidates with enough
-   occurrences (``divide_skip``).  Sets that already belong together are not probed again, which is
-   exact for components and spares a group of thousands of near copies its millions of pairs.
+4. In a cluster each set is a query against the inverted lists of the others: short lists are counted,
+   the longest are set aside and probed by binary search for candidates with enough occurrences, or
+   counted as well where most are candidates (``divide_skip``).  Sets that found a partner are not
+   searched for, which is exact for components and spares a group of thousands of linked copies its
+   millions of pairs.
 5. Links give components; the smallest id of a component names it.
 
 A cluster with more than ``BLOCK_SHINGLES`` shingles is dealt to tasks by blocks, each with a few sets that all
@@ -30,11 +31,9 @@ Defined results
 
 from __future__ import annotations
 
-import heapq
 import math
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -52,8 +51,10 @@ COMMON_IN_BATCH, COMMON_KEPT = 4, 200_000
 BLOCK_SHINGLES, PIVOTS = 300_000, 8
 #: Least and most places (bits) of the table that tells which texts a cluster may need, and places per text.
 SLOTS, SLOTS_PER_TEXT = (1 << 20, 1 << 28), 16
-#: Weight of a heap step against a binary probe in the choice of how many lists to set aside.
+#: Weight of a step in a short list against a binary probe in the choice of how many lists to set aside.
 PROBE_WEIGHT = 0.0085
+#: Cost of probing a list: at all, and for each member, in members counted; and of sorting one against a counter.
+PROBE_COST, SORT_WEIGHT = (2_000, 20), 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -274,30 +275,48 @@ def _near(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return near
 
 
-def divide_skip(lists: list[list[int]], needed: int, skip: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
+def occurrences(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending members of the lists, and in how many lists each occurs."""
+    every = np.concatenate(lists)
+    if len(every) * SORT_WEIGHT < every.max():  # few of many members
+        every.sort()
+        head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        return every[head], np.diff(np.append(head, len(every)))
+    n = np.bincount(every)
+    members = np.flatnonzero(n)
+    return members, n[members]
+
+
+def divide_skip(lists: Sequence[Sequence[int] | np.ndarray], needed: int, skip: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
     """Members that occur in at least ``needed`` of the sorted lists, with their number of occurrences.
 
-    The longest lists are set aside; the others are merged by a heap, and a member that occurs there
-    often enough is probed for in the long ones by binary search.  Members for which ``skip`` holds
-    when their turn comes are passed over.
+    The longest lists are set aside; the others are counted, and members that occur there often enough are
+    probed for in the long ones by binary search, or counted there too where so many are left that this is
+    less work.  Members for which ``skip`` holds when their turn comes are passed over.
     """
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((np.asarray(x) for x in lists if len(x)), key=len)
     if len(lists) < needed:
         return
     longest = max(2, len(lists[-1]))
     aside = min(needed - 1, int(needed / (PROBE_WEIGHT * math.log2(longest) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    for member, run in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in run)
-        if n + aside < needed or skip(member):
-            continue
-        for left, one in zip(range(aside, 0, -1), long, strict=True):
-            if n + left < needed:
-                break
-            at = bisect_left(one, member)
-            n += at < len(one) and one[at] == member
-        if n >= needed:
-            yield member, n
+    members, n = occurrences(short)
+    left = n + aside >= needed
+    members, n = members[left], n[left]
+    if aside and len(members) and aside * (PROBE_COST[0] + PROBE_COST[1] * len(members)) > sum(map(len, long)):
+        more = np.bincount(np.concatenate(long), minlength=int(members[-1]) + 1)
+        n = n + more[members]
+    else:
+        for rest, one in zip(range(aside, 0, -1), long, strict=True):
+            left = n + rest >= needed
+            members, n = members[left], n[left]
+            if len(members) == 0:
+                return
+            n = n + (one[np.minimum(np.searchsorted(one, members), len(one) - 1)] == members)
+    left = n >= needed
+    for member, count in zip(members[left].tolist(), n[left].tolist(), strict=True):
+        if not skip(member):
+            yield member, count
 
 
 class Forest:
@@ -328,19 +347,23 @@ def link_cluster(sets: list[np.ndarray], low: int, high: int) -> list[int]:
     sizes = [len(s) for s in sets]
     bounds = np.append(0, np.cumsum(sizes))
     _, number, width = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = [number[a:b][width[number[a:b]] > 1].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    index: dict[int, list[int]] = {}
+    shared = [number[a:b][width[number[a:b]] > 1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    # the list of a shingle: places in ``inside``, in a stretch with room for all sets that have it
+    start, filled = np.cumsum(width) - width, np.zeros(len(width), np.int64)
+    lists = np.zeros(len(number), np.int64)
     inside: list[int] = []
 
     def insert(i: int) -> None:
-        for k in shared[i]:
-            index.setdefault(k, []).append(len(inside))
+        k = shared[i]
+        lists[start[k] + filled[k]] = len(inside)
+        filled[k] += 1
         inside.append(i)
 
     def search(i: int) -> bool:
         found = False
-        lists = [index[k] for k in shared[i] if k in index]
-        for p, both in divide_skip(lists, -(-low * sizes[i] // high), lambda p: forest.find(inside[p]) == forest.find(i)):
+        k = shared[i][filled[shared[i]] > 0]
+        among = [lists[a:b] for a, b in zip(start[k].tolist(), (start[k] + filled[k]).tolist(), strict=True)]
+        for p, both in divide_skip(among, -(-low * sizes[i] // high), lambda p: forest.find(inside[p]) == forest.find(i)):
             if high * both >= low * (sizes[i] + sizes[inside[p]] - both):
                 forest.join(i, inside[p])
                 found = True
@@ -353,7 +376,7 @@ def link_cluster(sets: list[np.ndarray], low: int, high: int) -> list[int]:
     if len(inside) == n or len(set(root)) == 1:
         return root
     members = Counter(root)
-    index.clear()
+    filled[:] = 0
     inside.clear()
     settled = sorted(range(n), key=lambda i: (-members[root[i]], root[i], i))
     for r, group in groupby(settled, key=root.__getitem__):
@@ -378,10 +401,12 @@ def link_across(inside: list[np.ndarray], queries: list[np.ndarray], labels: lis
     owner = np.repeat(np.arange(len(inside)), sizes)
     order = np.argsort(number, kind="stable")
     starts = np.searchsorted(number[order], np.arange(len(shingles) + 1))
+    members = owner[order]
     out = []
     for j, q in enumerate(queries):
         at = np.minimum(np.searchsorted(shingles, q), len(shingles) - 1)
-        lists = [owner[order[starts[k] : starts[k + 1]]].tolist() for k in at[shingles[at] == q].tolist()]
+        at = at[shingles[at] == q]
+        lists = [members[a:b] for a, b in zip(starts[at].tolist(), starts[at + 1].tolist(), strict=True)]
         me = len(inside) + j
         for i, both in divide_skip(lists, -(-low * len(q) // high), lambda i: forest.find(i) == forest.find(me)):
             if high * both >= low * (len(q) + sizes[i] - both):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -82,6 +83,46 @@ def test_divide_skip_counts():
         assert dict(J.divide_skip(lists, needed, lambda m: False)) == {m: c for m, c in want.items() if c >= needed}
 
 
+def test_divide_skip_probes_and_counts_alike(monkeypatch):
+    r = random.Random(2)
+    for _ in range(30):
+        lists = [sorted(r.sample(range(20_000), r.choice([0, 3, 40, 900, 9_000]))) for _ in range(r.randint(2, 9))] + [sorted(r.sample(range(50), 20))]
+        needed = r.randint(1, 6)
+        n = np.bincount(np.concatenate([np.array(x, np.int64) for x in lists]))
+        want = {m: c for m, c in enumerate(n.tolist()) if c >= needed and m % 3}
+        for cost, weight in (((0, 0), 8), ((1 << 40, 0), 8), (J.PROBE_COST, 0), (J.PROBE_COST, 1 << 20)):
+            monkeypatch.setattr(J, "PROBE_COST", cost)
+            monkeypatch.setattr(J, "SORT_WEIGHT", weight)
+            assert dict(J.divide_skip(lists, needed, lambda m: m % 3 == 0)) == want
+        monkeypatch.undo()
+
+
+def test_many_copies_below_the_threshold_take_no_long():
+    """1,500 copies of one text, most of them too far from each other to link: one task's cluster."""
+    r = np.random.default_rng(3)
+    base, sets = r.integers(1_000, 1 << 30, 150), []
+    for _ in range(1_500):
+        x = base.copy()
+        edits = r.integers(0, 41)
+        x[r.choice(150, edits, replace=False)] = r.integers(0, 300, edits)
+        sets.append(np.unique(x.astype(np.uint64)))
+    assert sum(map(len, sets)) < J.BLOCK_SHINGLES
+    began = time.thread_time()
+    got = J.link_cluster(sets, 85, 100)
+    took = time.thread_time() - began
+
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    has = np.zeros((len(sets), number.max() + 1), np.float32)
+    has[np.repeat(np.arange(len(sets)), sizes), number] = 1
+    both = np.rint(has @ has.T).astype(np.int64)
+    forest = J.Forest(len(sets))
+    for a, b in np.argwhere(100 * both >= 85 * (sizes[:, None] + sizes - both)).tolist():
+        forest.join(a, b)
+    assert got == [forest.find(i) for i in range(len(sets))] and 500 < len(set(got)) < 1_400
+    assert took < 6, took  # 19 s with lists merged by a heap, 0.5 s as it is
+
+
 def test_cluster_links_match_all_pairs():
     r = random.Random(7)
     for _ in range(150):
