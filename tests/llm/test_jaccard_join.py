@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from leafmill.llm import jaccard_join as J
 from leafmill.llm._graph import components
@@ -123,6 +124,32 @@ def test_many_copies_below_the_threshold_take_no_long():
     assert took < 6, took  # 19 s with lists merged by a heap, 0.5 s as it is
 
 
+def test_meetings_keep_linked_pairs_and_drop_late_ones(monkeypatch):
+    r = random.Random(5)
+    for near in (2, 16):
+        monkeypatch.setattr(J, "NEAR", near)
+        for _ in range(25):
+            base = r.sample(range(400), 60)
+            sets = [sorted({x if r.random() > 0.1 else r.randrange(400) for x in base[: r.randint(40, 60)]}) for _ in range(30)]
+            sets += [sorted(r.sample(range(400), r.randint(20, 60))) for _ in range(60)]
+            rows = sorted((x, len(s) << J.PLACE_BITS | (k << J.PLACE_BITS) // len(s), i) for i, s in enumerate(sets) for k, x in enumerate(s[: len(s) - -(-85 * len(s) // 100) + 1]))
+            cuts = sorted(r.sample(range(len(rows)), 9))
+            batches = [pa.RecordBatch.from_arrays([pa.array([row[k] for row in part], pa.int64()) for k in range(3)], names=["a", "b", "c"]) for part in (rows[x:y] for x, y in zip([0, *cuts], [*cuts, len(rows)], strict=True))]
+            groups = {}
+            for out in J._meetings(85, 100)(iter(batches)):
+                for group, size, node in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    assert size == len(sets[node])
+                    groups.setdefault(group, set()).add(node)
+            for a in range(len(sets)):
+                for b in range(a):
+                    both = len(set(sets[a]) & set(sets[b]))
+                    if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                        assert any({a, b} <= g for g in groups.values())
+    late = [(x, 100 << J.PLACE_BITS | (k << J.PLACE_BITS) // 100, i) for x, k, i in ((7, 3, 1), (7, 12, 2), (9, 3, 1), (9, 7, 3))]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in late], pa.int64()) for k in range(3)], names=["a", "b", "c"])
+    assert [x for out in J._meetings(85, 100)(iter([batch])) for x in out.column(2).to_pylist()] == [1, 3]
+
+
 def test_cluster_links_match_all_pairs():
     r = random.Random(7)
     for _ in range(150):
